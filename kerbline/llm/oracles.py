@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kerbline.llm import chat_format as c
 from kerbline.llm import quality_rules as q
 
 _RATIO = {
@@ -37,7 +38,51 @@ qr_failed AS (SELECT q.*, n_words < {q.BASE_LEAST_WORDS} OR 100 * n_repeat_words
 qr_verdict AS (SELECT q.*, NOT base_failed AND {' AND '.join(f'coalesce({x} <= f_{x}, true)' for x in _RATIO)} AS kept FROM qr_failed q JOIN qr_fence f ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source)"""
 
 
+_WORD5 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = lambda t: f"translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def decontaminate_ctes(docs: str = "documents") -> str:
+    """CTEs ending in wm_report, one row per document."""
+    return f"""
+wm_doc AS (SELECT doc_id, regexp_extract_all({_LOWER('text')}, '{_WORD5}') AS w FROM {docs}),
+wm_item AS (SELECT item_id, regexp_extract_all({_LOWER('text')}, '{_WORD5}') AS w FROM benchmark),
+wm_start AS (SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM wm_item WHERE len(w) > 0),
+wm_pattern AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM wm_start),
+wm_length AS (SELECT DISTINCT m FROM wm_pattern),
+wm_at AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM wm_doc, wm_length WHERE len(w) >= m),
+wm_hit AS (SELECT a.doc_id, a.i, a.m, p.item_id FROM (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM wm_at) a JOIN wm_pattern p ON a.m = p.m AND a.s = p.s),
+wm_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM wm_hit) GROUP BY doc_id),
+wm_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM wm_hit GROUP BY doc_id),
+wm_report AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM wm_doc d LEFT JOIN wm_words USING (doc_id) LEFT JOIN wm_items USING (doc_id))"""
+
+
+def chat_sql() -> str:
+    """The windows' lengths follow from the same prefix sums; the digests come straight from the turns."""
+    esc = lambda t: f"replace(replace({t}, '&', '&amp;'), '<', '&lt;')"
+    share = int(c.BUDGET * c.HISTORY_SHARE)
+    leads = ", ".join(f"lead(win, {k}) OVER o AS l{k}" for k in range(1, c.HISTORY + 1))
+    again = " + ".join(f"CASE WHEN l{k} <> win{''.join(f' AND l{k} IS DISTINCT FROM l{j}' for j in range(1, k))} THEN 1 ELSE 0 END" for k in range(1, c.HISTORY + 1))
+    return f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+b AS (SELECT *, row_number() OVER o AS n, CAST(ceil(strlen(text) / {c.BYTES_PER_TOKEN}.0) AS BIGINT) + {c.TURN_TOKENS} AS tokens, length({esc('role')}) + length({esc('text')}) + {len('<|turn|><|text|><|end|>')} AS chars FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT conv_id, tokens AS s_tokens, chars AS s_chars FROM b WHERE n = 1 AND role = 'system'),
+d AS (SELECT b.*, s_chars, greatest({c.BUDGET} - coalesce(s_tokens, 0) - {share}, {c.BUDGET // 4}) // 2 AS half FROM b LEFT JOIN s USING (conv_id)),
+e AS (SELECT *, sum(tokens) OVER r AS prefix, sum(CAST(tokens > half AS INT)) OVER r AS longs FROM d WINDOW r AS (PARTITION BY conv_id ORDER BY n)),
+f AS (SELECT *, ((prefix - 1) // half) || ' ' || longs || ' ' || (tokens > half) AS cell FROM e),
+g AS (SELECT *, CAST(cell IS DISTINCT FROM lag(cell) OVER (PARTITION BY conv_id ORDER BY n) AS INT) AS fresh FROM f),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS win FROM g),
+i AS (SELECT *, {leads} FROM h WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
+j AS (SELECT *, CASE WHEN tokens * {c.HISTORY} <= {share} AND NOT (n = 1 AND role = 'system') THEN {again} ELSE 0 END AS repeats FROM i)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars * (1 + repeats)) + max(win) * coalesce(max(s_chars), 0) AS BIGINT) AS formatted_chars FROM j GROUP BY conv_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_sql(),
+    "op5_decontaminate": f"WITH {decontaminate_ctes()} SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_hit AS BIGINT) AS n_hit, CAST(n_items AS BIGINT) AS n_items, items_sha256, contaminated FROM wm_report",
     "op7_quality_rules": f"""WITH {quality_ctes()}
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, kept FROM qr_verdict""",

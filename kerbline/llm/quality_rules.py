@@ -22,7 +22,7 @@ LEAST_GROUP = 100
 #: A ratio is rejected above Q3 + FENCE * max(Q3 - Q1, least spread).
 FENCE = 3.0
 #: Ratio: least spread, in the ratio's own unit.
-LEAST_SPREAD = {"symbol_share": 0.01, "capital_share": 0.05, "shout_share": 0.02, "word_length": 0.75, "duplicate_line_share": 0.05, "repeat_share": 0.1}
+LEAST_SPREAD = {"symbol_share": 0.01, "capital_share": 0.05, "shout_share": 0.02, "word_length": 0.75, "duplicate_line_share": 0.15, "repeat_share": 0.1}
 BASE_LEAST_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -6,13 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import common, quality_rules
+from kerbline.llm import chat_format, common, decontaminate, packing, quality_rules
+
+#: The contract's planted conversation: both turns hold control strings.
+PLANTED = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+
+
+def vocabulary() -> tuple[str, str]:
+    """One public vocabulary, as a tokenizer file and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digest(turns.unionByName(spark.sql(f"SELECT * FROM {PLANTED}")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(common.documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), *vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op5_decontaminate": op5_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
 }
