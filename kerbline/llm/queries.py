@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, common, decontaminate, packing, quality_rules, simhash
+from kerbline.llm import chat_format, common, decontaminate, line_dedup, packing, quality_rules, simhash
 
 #: The contract's planted conversation: both turns hold control strings.
 PLANTED = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -36,6 +36,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), *vocabulary())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(common.documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(common.documents(spark, sf_dir))
 
@@ -45,5 +49,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
