@@ -1,24 +1,48 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate documents, benchmark decontamination, packing.
+
+Every stage reads all rows its predecessor wrote and applies one operator of kerbline.llm with its production parameters.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import common, quality_rules
+from kerbline.llm import common, decontaminate, line_dedup, packing, quality_rules, simhash
+from kerbline.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
     return quality_rules.quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that stand earlier in the corpus."""
+    return line_dedup.cleaned(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.representatives(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, laid into token windows."""
+    return packing.pack(docs, *vocabulary())
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash", near_duplicates), ("decontaminate", benchmark), ("packing", packed)]
+#: Packing has no SQL form; the tests hold each stage against its own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
