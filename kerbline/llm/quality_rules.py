@@ -72,7 +72,8 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
         "n_shouts": chars - _without(t, "!"),
         "n_lines": F.size(f"{_P}lines").cast("long"),
     }
-    return d.select(*docs.columns, *[c.alias(f"{prefix}{name}") for name, c in made.items()])
+    # inline() gives the counts a row of their own: a filter on one of them does not bring back, and repeat, what made it.
+    return d.select(*docs.columns, F.inline(F.array(F.struct(*[c.alias(f"{prefix}{name}") for name, c in made.items()]))))
 
 
 def _ratios(prefix: str) -> dict[str, Column]:
@@ -131,6 +132,7 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns. Reads the texts twice rather than shuffling them."""
-    fences = common.stored(thresholds(with_counts(docs.select("text", "lang", "source")).drop("text")))
+    counts = common.stored(with_counts(docs.select("text", "lang", "source")).drop("text"))
+    fences = common.stored(thresholds(counts))
     counted = with_counts(docs, prefix=_P)
     return judged(counted, fences, prefix=_P).filter(f"{_P}kept").select(*docs.columns)
