@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, common, decontaminate, line_dedup, packing, pii, quality_rules, simhash, toxicity
+from kerbline.llm import chat_format, common, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, simhash, toxicity
 
 #: The contract's planted conversation: both turns hold control strings.
 PLANTED = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -36,6 +36,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(common.documents(spark, sf_dir), vocabulary())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(common.documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op5_decontaminate": op5_decontaminate,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
