@@ -22,6 +22,8 @@ from kerbline.llm import common
 
 EDITS = 2
 LEAST_WORDS, LEAST_CHARS = 8, 30
+#: Pieces of the test before verification.
+PIECES = 10
 _P = "__ld_"
 
 
@@ -67,13 +69,24 @@ def _probes(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), F.col("lid").alias("b"), F.col("len").alias("b_len"))
 
 
-def within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether the edit distance of a and b is at most `edits`: bit d of R[e] says that, after j characters of b, the first
-    j + d - edits characters of a are matched with e errors at most."""
-    left, right = F.split(a, ""), F.split(b, "")
+def _alike(a: Column, b: Column, a_len: Column, edits: int) -> Column:
+    """A short test that every pair within the edits passes: each edit breaks one of PIECES pieces of a at most, and the others stand in b, shifted by the edits at most."""
+    size = F.floor(a_len / PIECES).cast("int")
+    found = F.lit(0)
+    for k in range(PIECES):
+        at = size * k + 1
+        # A window that would begin before b begins at its first character.
+        low = F.greatest(at - edits, F.lit(1))
+        found = found + F.contains(F.substring(b, low, at + size + edits - low), F.substring(a, at, size)).cast("int")
+    return found >= PIECES - edits
+
+
+def within(left: Column, right: Column, edits: int = EDITS) -> Column:
+    """Whether two lines, given as arrays of their characters, are within the edits: bit d of R[e] says that, after j characters
+    of the second, the first j + d - edits characters of the first are matched with e errors at most."""
     width = 2 * edits + 1
     band = (1 << width) - 1
-    m, n = F.length(a), F.length(b)
+    m, n = F.size(left), F.size(right)
 
     def inside(d_bits: Column, j: Column) -> Column:
         """Clears the bits of lengths below 0 or above that of a."""
@@ -101,7 +114,7 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
             out.append(r.alias(f"r{e}"))
         return F.struct((j + 1).alias("j"), *out)
 
-    last = F.aggregate(F.when(n > 0, right).otherwise(F.array().cast("array<string>")), zero, step, lambda s: s[f"r{edits}"])
+    last = F.aggregate(right, zero, step, lambda s: s[f"r{edits}"])
     at = m - n + edits
     return (F.abs(m - n) <= edits) & (F.call_function("shiftright", last, at).bitwiseAND(1) == 1)
 
@@ -110,7 +123,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: ids of distinct lines (lid, line, len) within the edits, each pair once."""
     pair = _index(lines, edits).join(_probes(lines, edits), "key").filter("a_len < b_len OR a < b").select("a", "b").distinct()
     one, two = (lines.select(F.col("lid").alias(x), F.col("line").alias(f"{x}_line")) for x in "ab")
-    return pair.join(one, "a").join(two, "b").filter(within(F.col("a_line"), F.col("b_line"), edits)).select("a", "b")
+    both = pair.join(one, "a").join(two, "b").filter(_alike(F.col("a_line"), F.col("b_line"), F.length("a_line"), edits))
+    # inline() holds the characters in a row of their own, so that no step of the automaton splits the lines again.
+    spelt = both.select("a", "b", F.inline(F.array(F.struct(F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y")))))
+    return spelt.filter(within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
 def _hashes(line: str) -> list[Column]:
