@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import chat_format, common, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, simhash, toxicity
+from kerbline.llm import chat_format, common, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, simhash, token_shards, toxicity
 
 #: The contract's planted conversation: both turns hold control strings.
 PLANTED = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -32,6 +32,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.documents(spark, sf_dir))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.report(common.documents(spark, sf_dir), vocabulary())
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op4_token_shards": op4_token_shards,
     "op5_decontaminate": op5_decontaminate,
     "op6_lm_score": op6_lm_score,
     "op7_quality_rules": op7_quality_rules,
