@@ -1,16 +1,18 @@
 """Line dedup across documents by a segment-partition edit join, with DataFrame functions only.
 
-A line of LEAST_WORDS words and LEAST_CHARS characters or more is removed where the same line stands earlier, in the order of
-(doc_id, text hash, position), or where a line within EDITS edits has its first place earlier. Shorter lines stay.
+A line of LEAST_CHARS characters or more is removed where the same line stands earlier, in the order of (doc_id, text hash,
+position), or where a line within EDITS edits has its first place earlier. Shorter lines stay.
 
-Distinct lines are stored once. Each is cut into EDITS + 1 segments: two lines within EDITS edits share one segment at nearly
-the same place. A line's segments, keyed by length, number and hash, are the index; its substrings, at the few starts that the
-difference in length allows, probe it. Candidate pairs are verified by an edit automaton whose states are the bits of one band
-of 2 * EDITS + 1 diagonals, for each number of errors. Only hashes travel with the lines' places; texts are not shuffled but
-for the last join, which brings the removed positions to the documents.
+Lines are cut into EDITS + 1 segments: two lines within EDITS edits share one segment at nearly the same place. A line's
+segments, keyed by length, number and hash, are the index; its substrings, at the few starts that the difference in length
+allows, probe it. Candidate pairs are verified by an edit automaton whose states are the bits of one band of 2 * EDITS + 1
+diagonals, for each number of errors. Two hashes of together 96 bits stand for a line wherever lines travel: only the lines of
+candidate pairs are shuffled as text. The commonest lines, at most HOT_LINES, are broadcast so that each enters the join once;
+copies of other lines meet only in the join, where pairs are made distinct.
 
 Defined cases: a null text has no lines and stays null; a text of which every line goes is empty; identical rows (id and text)
-count as one and keep what one of them keeps; rows without an id come first; an empty table gives an empty result; extra columns are carried through.
+count as one and keep what one of them keeps; rows without an id come first; an empty table gives an empty result; extra columns
+are carried through.
 """
 
 from __future__ import annotations
@@ -21,20 +23,19 @@ from pyspark.sql import functions as F
 from kerbline.llm import common
 
 EDITS = 2
-LEAST_WORDS, LEAST_CHARS = 8, 30
+LEAST_CHARS = 30
+#: Repeated lines that enter the join once, and candidate lines that are broadcast; beyond these the same joins shuffle.
+HOT_LINES, MOST_BROADCAST = 200_000, 1_000_000
 #: Pieces of the test before verification.
 PIECES = 10
 _P = "__ld_"
 
 
-def _eligible(line: Column) -> Column:
-    return (F.length(line) >= LEAST_CHARS) & (F.size(common.words(line)) >= LEAST_WORDS)
-
-
 def places(docs: DataFrame) -> DataFrame:
-    """One row per eligible line: place (doc_id, text hash, position) and line."""
+    """One row per eligible line: place (doc_id, text hash, position), line, its length and its two hashes."""
     lines = docs.filter(F.length("text") >= LEAST_CHARS).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.filter(_eligible(F.col("line"))).select(F.struct("doc_id", "th", "pos").alias("place"), "line")
+    lines = lines.filter(F.length("line") >= LEAST_CHARS)
+    return lines.select(F.struct("doc_id", "th", "pos").alias("place"), "line", F.length("line").alias("len"), F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -54,7 +55,7 @@ def _key(line: Column, length: Column, segment: int, start: Column, size: Column
 
 def _index(lines: DataFrame, edits: int) -> DataFrame:
     keys = [_key(F.col("line"), F.col("len"), i, s, n) for i, (s, n) in enumerate(_segments(F.col("len"), edits))]
-    return lines.select(F.explode(F.array(*keys)).alias("key"), F.col("lid").alias("a"), F.col("len").alias("a_len"))
+    return lines.select(F.explode(F.array(*keys)).alias("key"), F.col("h").alias("a"), F.col("len").alias("a_len"))
 
 
 def _probes(lines: DataFrame, edits: int) -> DataFrame:
@@ -66,7 +67,7 @@ def _probes(lines: DataFrame, edits: int) -> DataFrame:
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 at = s + shift
                 keys.append(F.when((at >= 1) & (at + n - 1 <= F.col("len")), _key(F.col("line"), length, i, at, n)))
-    return lines.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), F.col("lid").alias("b"), F.col("len").alias("b_len"))
+    return lines.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), F.col("h").alias("b"), F.col("len").alias("b_len"))
 
 
 def _alike(a: Column, b: Column, a_len: Column, edits: int) -> Column:
@@ -119,36 +120,37 @@ def within(left: Column, right: Column, edits: int = EDITS) -> Column:
     return (F.abs(m - n) <= edits) & (F.call_function("shiftright", last, at).bitwiseAND(1) == 1)
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b: ids of distinct lines (lid, line, len) within the edits, each pair once."""
-    pair = _index(lines, edits).join(_probes(lines, edits), "key").filter("a_len < b_len OR a < b").select("a", "b").distinct()
-    one, two = (lines.select(F.col("lid").alias(x), F.col("line").alias(f"{x}_line")) for x in "ab")
-    both = pair.join(one, "a").join(two, "b").filter(_alike(F.col("a_line"), F.col("b_line"), F.length("a_line"), edits))
-    # inline() holds the characters in a row of their own, so that no step of the automaton splits the lines again.
-    spelt = both.select("a", "b", F.inline(F.array(F.struct(F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y")))))
-    return spelt.filter(within(F.col("x"), F.col("y"), edits)).select("a", "b")
-
-
-def _hashes(line: str) -> list[Column]:
-    return [F.xxhash64(line).alias("h"), F.hash(line).alias("g")]
+def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """a, b: hashes of lines (h, line, len) that share a segment, each pair once; the shorter line first."""
+    # The index is the smaller side: hashing it spares sorting the probes.
+    pair = _probes(lines, edits).join(_index(lines, edits).hint("shuffle_hash"), "key").filter("a_len < b_len OR a < b")
+    return pair.select("a", "b").distinct()
 
 
-def distinct_lines(at: DataFrame) -> DataFrame:
-    """lid, line, len, h, g (two hashes of the line) and first, its earliest place."""
-    lines = at.groupBy("line").agg(F.min("place").alias("first"))
-    return common.stored(lines.select(F.monotonically_increasing_id().alias("lid"), "line", F.length("line").alias("len"), *_hashes("line"), "first"))
+def verified(pairs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """The pairs within the edits, with the columns of both lines (h, g, line, first) as structs a and b."""
+    one, two = (lines.select(F.col("h").alias(x), F.struct("h", "g", "first").alias(f"{x}_at"), F.col("line").alias(f"{x}_line")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").filter(_alike(F.col("a_line"), F.col("b_line"), F.length("a_line"), edits))
+    # inline() holds the characters in a row of their own, so that no step of the automaton splits the lines again.
+    spelt = both.select("a_at", "b_at", F.inline(F.array(F.struct(F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y")))))
+    return spelt.filter(within(F.col("x"), F.col("y"), edits)).select(F.col("a_at").alias("a"), F.col("b_at").alias("b"))
 
 
 def decided(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """One row per eligible line's place: doc_id, th, pos, exact and near (why it is removed, if it is)."""
     at = places(docs)
-    lines = distinct_lines(at)
-    pairs = near_lines(lines, edits)
-    first = lines.select("lid", "first")
-    both = pairs.join(first.toDF("a", "a_first"), "a").join(first.toDF("b", "b_first"), "b")
-    later = both.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct().withColumn("near", F.lit(True))
-    verdict = lines.join(later, "lid", "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return at.select("place", *_hashes("line")).join(verdict, ["h", "g"]).select("place.*", (F.col("place") != F.col("first")).alias("exact"), "near")
+    firsts = common.stored(at.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    hot = firsts.filter("n > 1").orderBy(F.desc("n"), "h", "g").limit(HOT_LINES).select("h", "g", "first")
+    once = at.join(F.broadcast(hot), ["h", "g"], "left").filter("first IS NULL OR place = first").select("h", "line", "len")
+    pairs = common.stored(candidates(once, edits))
+    ids = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    some = at.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "h", "left_semi")
+    texts = common.stored(some.groupBy("h", "g", "line").agg(F.min("place").alias("first")))
+    near = verified(pairs, texts, edits)
+    later = F.when(F.col("a.first") < F.col("b.first"), F.col("b")).otherwise(F.col("a"))
+    gone = near.select(later.alias("x")).select("x.h", "x.g").distinct().withColumn("near", F.lit(True))
+    verdict = firsts.join(gone, ["h", "g"], "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    return at.select("place", "h", "g").join(verdict, ["h", "g"]).select("place.*", (F.col("place") != F.col("first")).alias("exact"), "near")
 
 
 def deduped(docs: DataFrame, edits: int = EDITS) -> DataFrame:
