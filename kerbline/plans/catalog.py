@@ -1,20 +1,20 @@
-"""Registry of the engine's own queries."""
+"""All queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from kerbline.plans import projections, registry  # noqa: F401  each registers its queries
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """The flagship: classes of the parts, over the smallest data."""
+    return registry.QUERIES["prj02_first_rule"](spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
