@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.plans import aggregates, joins, projections, registry  # noqa: F401  each registers its queries
+from kerbline.plans import aggregates, geometry, joins, projections, registry, windows  # noqa: F401  each registers its queries
 
 
 def entry(spark: SparkSession) -> DataFrame:
