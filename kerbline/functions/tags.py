@@ -44,3 +44,11 @@ def road_level(layer: Column, bridge: Column, tunnel: Column) -> Column:
     """The layer tag, else 1 for a bridge, -1 for a tunnel, 0 for others."""
     no = lambda c: F.coalesce(c, F.lit("no")) == "no"
     return F.coalesce(layer.try_cast("int"), F.when(~no(bridge), 1).when(~no(tunnel), -1).otherwise(0))
+
+
+def vocabulary(value: Column, groups: dict[str, list[str]], otherwise: str) -> Column:
+    """The group that lists a value."""
+    out = F.when(F.lit(False), otherwise)
+    for name, values in groups.items():
+        out = out.when(value.isin(values), name)
+    return out.otherwise(otherwise)
