@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.plans import aggregates, geometry, graph, joins, projections, registry, scalars, windows  # noqa: F401  each registers its queries
+from kerbline.plans import aggregates, api, checks, geometry, graph, joins, matching, projections, registry, scalars, windows  # noqa: F401  each registers its queries
 
 
 def entry(spark: SparkSession) -> DataFrame:
