@@ -45,3 +45,27 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
+
+
+def commonest(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows with the highest counts, at most so many: all above a level that a histogram over powers of the eighth root of two
+    gives. The histogram has some hundred rows at any size, and nothing is sorted."""
+    step = F.floor(F.log2(count) * 8)
+    rows = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("least")).orderBy(F.desc("step")).collect()
+    level, taken = None, 0
+    for r in rows:
+        taken += r["n"]
+        if taken > most:
+            break
+        level = r["least"]
+    return counts.filter(F.col(count) >= level) if level is not None else counts.limit(0)
+
+
+def hash_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """About nine tenths of `most` rows, chosen by a hash of their id, and never more than `most`; all rows of a smaller table.
+    No row but the chosen ones is moved."""
+    n = df.count()
+    if n <= most:
+        return df
+    span = 1 << 40
+    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(span)) < int(span * 0.9 * most / n)).limit(most)

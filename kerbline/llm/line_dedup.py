@@ -140,7 +140,7 @@ def decided(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """One row per eligible line's place: doc_id, th, pos, exact and near (why it is removed, if it is)."""
     at = places(docs)
     firsts = common.stored(at.groupBy("h", "g").agg(F.min("place").alias("first"), F.count("*").alias("n")))
-    hot = firsts.filter("n > 1").orderBy(F.desc("n"), "h", "g").limit(HOT_LINES).select("h", "g", "first")
+    hot = common.commonest(firsts.filter("n > 1"), "n", HOT_LINES).select("h", "g", "first")
     once = at.join(F.broadcast(hot), ["h", "g"], "left").filter("first IS NULL OR place = first").select("h", "line", "len")
     pairs = common.stored(candidates(once, edits))
     ids = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())

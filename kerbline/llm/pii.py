@@ -6,7 +6,7 @@ digits of a number, the local part of an address) are joined by skip links, each
 Base nodes hold their kind; loopy sum-product message passing carries it to the candidates, and a candidate whose
 probability of one kind reaches LEVEL becomes a span of that kind.
 
-Learning reads a bounded sample of documents, the first MOST_TRAIN by a hash of the id: a softmax over shape features is fitted
+Learning reads a bounded sample of documents, MOST_TRAIN at most by a hash of the id: a softmax over shape features is fitted
 in numpy to the base spans, against other runs; pair potentials are smoothed log ratios of label pairs over the chain and skip
 links. Scoring runs over every text. Only the small model is broadcast; nothing is shuffled.
 
@@ -23,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbline.llm import common
+
 KINDS = ("email", "ip", "card", "phone")
 MOST_TRAIN = 2000
 #: Probability from which a candidate becomes a span, rounds of messages, and the share of candidates that are taken to be no entity before any link speaks.
@@ -220,8 +221,8 @@ def fit(texts: list[str]) -> Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    rows = docs.select("doc_id", "text").filter("text RLIKE '[0-9@]'").withColumn("k", F.xxhash64("doc_id")).orderBy("k", "doc_id").limit(MOST_TRAIN)
-    return fit([r["text"] for r in rows.select("text").collect()])  # bounded by MOST_TRAIN
+    rows = common.hash_sample(docs.select("doc_id", "text").filter("text RLIKE '[0-9@]'"), "doc_id", MOST_TRAIN)
+    return fit([r["text"] for r in rows.orderBy("doc_id", "text").collect()])  # bounded by MOST_TRAIN
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
