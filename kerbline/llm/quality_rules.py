@@ -93,8 +93,8 @@ def _ratios(prefix: str) -> dict[str, Column]:
 def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
     """One row per (lang, source): an upper fence for each ratio, from the narrowest level with LEAST_GROUP rows."""
     k, names = F.lit(SKETCH_K), list(LEAST_SPREAD)
-    sketch = counted.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), *[c.alias(x) for x, c in _ratios(prefix).items()])
-    group = common.stored(sketch.groupBy("g_lang", "g_source").agg(F.count(names[0]).alias("n"), *[F.kll_sketch_agg_double(x, k).alias(x) for x in names]))
+    sketch = counted.select(F.col(lang).alias(f"{_P}lang"), F.col(source).alias(f"{_P}source"), *[c.alias(x) for x, c in _ratios(prefix).items()])
+    group = common.stored(sketch.groupBy(f"{_P}lang", f"{_P}source").agg(F.count(names[0]).alias("n"), *[F.kll_sketch_agg_double(x, k).alias(x) for x in names]))
 
     def merged(of: DataFrame, *by: str) -> DataFrame:
         return of.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(x, k).alias(x) for x in names])
@@ -106,10 +106,10 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", p
             out.append(F.when(F.col("n") > 0, high + FENCE * F.greatest(high - low, F.lit(LEAST_SPREAD[x]))).alias(x))
         return of.select(*by, F.struct(F.col("n"), *out).alias(level))
 
-    by_lang = merged(group, "g_lang")
-    own, parent, root = fences(group, "own", "g_lang", "g_source"), fences(by_lang, "parent", F.col("g_lang").alias("p_lang")), fences(merged(group), "root")
-    levels = own.join(parent, F.col("g_lang").eqNullSafe(F.col("p_lang"))).join(root, F.lit(True), "left")  # root is one row
-    return levels.select("g_lang", "g_source", *[F.when(F.col("own.n") >= LEAST_GROUP, F.col(f"own.{x}")).when(F.col("parent.n") >= LEAST_GROUP, F.col(f"parent.{x}")).otherwise(F.col(f"root.{x}")).alias(f"fence_{x}") for x in names])
+    by_lang = merged(group, f"{_P}lang")
+    own, parent, root = fences(group, "own", f"{_P}lang", f"{_P}source"), fences(by_lang, "parent", F.col(f"{_P}lang").alias(f"{_P}parent_lang")), fences(merged(group), "root")
+    levels = own.join(parent, F.col(f"{_P}lang").eqNullSafe(F.col(f"{_P}parent_lang"))).join(root, F.lit(True), "left")  # root is one row
+    return levels.select(f"{_P}lang", f"{_P}source", *[F.when(F.col("own.n") >= LEAST_GROUP, F.col(f"own.{x}")).when(F.col("parent.n") >= LEAST_GROUP, F.col(f"parent.{x}")).otherwise(F.col(f"root.{x}")).alias(f"{_P}fence_{x}") for x in names])
 
 
 def judged(counted: DataFrame, fences: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
@@ -118,8 +118,8 @@ def judged(counted: DataFrame, fences: DataFrame, lang: str = "lang", source: st
     failed = (n < BASE_LEAST_WORDS) | (100 * repeat > 50 * n)
     within = F.lit(True)
     for x, ratio in _ratios(prefix).items():
-        within = within & F.coalesce(ratio <= F.col(f"fence_{x}"), F.lit(True))
-    joined = counted.join(fences, counted[lang].eqNullSafe(F.col("g_lang")) & counted[source].eqNullSafe(F.col("g_source")), "left")
+        within = within & F.coalesce(ratio <= F.col(f"{_P}fence_{x}"), F.lit(True))
+    joined = counted.join(fences, counted[lang].eqNullSafe(F.col(f"{_P}lang")) & counted[source].eqNullSafe(F.col(f"{_P}source")), "left")
     return joined.select(*counted.columns, failed.alias(f"{prefix}base_failed"), (~failed & within).alias(f"{prefix}kept"))
 
 
