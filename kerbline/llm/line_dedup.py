@@ -49,13 +49,20 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
+def _parity(line: Column) -> Column:
+    """32 bits: for each, whether the number of words that hash to it is odd. An edit changes one word into another, or one into
+    two or two into one: three bits at most. So lines within the edits differ in 3 * edits bits at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1), F.xxhash64(w).bitwiseAND(31).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0), lambda s, w: s.bitwiseXOR(bit(w)))
+
+
 def _key(line: Column, length: Column, segment: int, start: Column, size: Column) -> Column:
     return F.xxhash64(length, F.lit(segment), F.substring(line, start, size))
 
 
 def _index(lines: DataFrame, edits: int) -> DataFrame:
     keys = [_key(F.col("line"), F.col("len"), i, s, n) for i, (s, n) in enumerate(_segments(F.col("len"), edits))]
-    return lines.select(F.explode(F.array(*keys)).alias("key"), F.col("h").alias("a"), F.col("len").alias("a_len"))
+    return lines.select(F.explode(F.array(*keys)).alias("key"), F.col("h").alias("a"), F.col("len").alias("a_len"), F.col("parity").alias("a_parity"))
 
 
 def _probes(lines: DataFrame, edits: int) -> DataFrame:
@@ -67,7 +74,7 @@ def _probes(lines: DataFrame, edits: int) -> DataFrame:
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 at = s + shift
                 keys.append(F.when((at >= 1) & (at + n - 1 <= F.col("len")), _key(F.col("line"), length, i, at, n)))
-    return lines.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), F.col("h").alias("b"), F.col("len").alias("b_len"))
+    return lines.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), F.col("h").alias("b"), F.col("len").alias("b_len"), F.col("parity").alias("b_parity"))
 
 
 def _alike(a: Column, b: Column, a_len: Column, edits: int) -> Column:
@@ -122,8 +129,14 @@ def within(left: Column, right: Column, edits: int = EDITS) -> Column:
 
 def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: hashes of lines (h, line, len) that share a segment, each pair once; the shorter line first."""
-    # The index is the smaller side: hashing it spares sorting the probes.
-    pair = _probes(lines, edits).join(_index(lines, edits).hint("shuffle_hash"), "key").filter("a_len < b_len OR a < b")
+    # inline() keeps the parity from being counted anew for each key.
+    marked = lines.select("h", "line", "len", F.inline(F.array(F.struct(_parity(F.col("line")).alias("parity")))))
+    # The index is the smaller side: hashing it spares sorting the probes. Parities are compared inside the join, so the many
+    # variants of one line, which share segments but are further apart, do not become pairs.
+    index = _index(marked, edits).withColumnRenamed("key", "a_key").hint("shuffle_hash")
+    alike = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= 3 * edits
+    ordered = (F.col("a_len") < F.col("b_len")) | (F.col("a") < F.col("b"))
+    pair = _probes(marked, edits).join(index, (F.col("key") == F.col("a_key")) & alike & ordered)
     return pair.select("a", "b").distinct()
 
 

@@ -26,6 +26,8 @@ from kerbline.llm import common, components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 HOT_BUCKET = 4096
+#: Ids of dropped documents that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Children of a node of the Gray-order index.
 FANOUT = 16
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -204,8 +206,8 @@ def report(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents of which each component keeps the one with the smallest id, with their columns; of repeated ids one row stays."""
     made = common.stored(grouped(docs).select("doc_id", "component_id"))
-    gone = made.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = common.stored(made.filter("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti")
     twice = common.stored(made.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not twice.isEmpty():
         kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
