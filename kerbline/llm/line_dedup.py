@@ -50,9 +50,9 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
 
 
 def _parity(line: Column) -> Column:
-    """32 bits: for each, whether the number of words that hash to it is odd. An edit changes one word into another, or one into
+    """31 bits (the sign is not used): for each, whether the number of words that hash to it is odd. An edit changes one word into another, or one into
     two or two into one: three bits at most. So lines within the edits differ in 3 * edits bits at most."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1), F.xxhash64(w).bitwiseAND(31).cast("int"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64(w), F.lit(31)).cast("int"))
     return F.aggregate(F.split(line, " "), F.lit(0), lambda s, w: s.bitwiseXOR(bit(w)))
 
 
