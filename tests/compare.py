@@ -1,6 +1,7 @@
 """Rows of a Spark query against those of its DuckDB SQL, whatever their order."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,7 +15,7 @@ def database(sf_dir):
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
