@@ -44,9 +44,9 @@ def vocabulary(spark, sf):
     return table(spark, sf, "events").select("event_id", tags.vocabulary(F.col("event_type"), {"look": ["view", "click"], "trade": ["purchase", "signup"]}, "other").alias("grp"))
 
 
-@query("str08_rendered", "SELECT o_orderkey, concat_ws('; ', 'pay $' || printf('%.2f', round(o_totalprice / 1000, 2)) || '/h', CASE WHEN o_orderstatus = 'F' THEN 'no parking' END, nullif(o_orderpriority, '5-LOW')) AS rule FROM orders")
+@query("str08_rendered", "SELECT o_orderkey, concat_ws('; ', 'pay $' || CAST(floor(o_totalprice / 1000) AS BIGINT) || '/h', CASE WHEN o_orderstatus = 'F' THEN 'no parking' END, nullif(o_orderpriority, '5-LOW')) AS rule FROM orders")
 def rendered(spark, sf):
-    pay = F.concat(F.lit("pay $"), F.format_string("%.2f", F.round(F.col("o_totalprice") / 1000, 2)), F.lit("/h"))
+    pay = F.concat(F.lit("pay $"), F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit("/h"))
     return table(spark, sf, "orders").select("o_orderkey", F.concat_ws("; ", pay, F.when(F.col("o_orderstatus") == "F", "no parking"), F.nullif("o_orderpriority", F.lit("5-LOW"))).alias("rule"))
 
 
