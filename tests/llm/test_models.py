@@ -119,6 +119,24 @@ def test_attention_scores_and_gradients():
     assert got == pytest.approx([naive(t) for t in texts], abs=1e-3)
 
 
+def test_every_block_is_trained_on(spark):
+    """Short texts and all: a task's weights are those of the start, trained on over every block of its texts."""
+    texts = ["grey geese fly", "the old river bank " * 40, "a quick brown fox", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    enc = lm_score.Ids(vocabulary())
+    ids = [enc.numbers((r["text"] or "").encode().lower().split()) for r in df.collect()]
+    output = attention.Output(np.bincount(np.concatenate(ids), minlength=lm_score.END + 1).astype(float))
+    data = attention.examples(ids, output, lm_score.END)
+    assert len(data[0]) == sum(-(-(len(s) + 1) // attention.BLOCK) for s in ids)
+    want = attention.Model(output)
+    attention.Trainer(want, 0.02).run(data, lm_score.BATCH, lm_score.START_ROUNDS)
+    start = want.flat()
+    attention.Trainer(want, 0.003).run(data, lm_score.BATCH)
+    got = lm_score.trained(df, output, vocabulary()).flat()
+    assert np.abs(got - start).max() > 1e-3
+    assert got == pytest.approx(want.flat(), abs=1e-5)
+
+
 def test_base_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r["doc_id"]: r for r in lm_score.report(docs, vocabulary()).collect()}
