@@ -9,7 +9,8 @@ A task emits a spanning forest of each bucket, never its pairs.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero and links like any other; repeated rows
 share a fingerprint; rows without an id take part, and their component has the smallest id that is not null; an empty table gives
-an empty result; extra columns are ignored.
+an empty result; extra columns are ignored. Of each component one row is kept, the first by (doc_id, fingerprint, text hash), ids
+that are null last; rows that share an id stand for themselves.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ HOT_BUCKET = 4096
 MOST_BROADCAST = 1_000_000
 #: Children of a node of the Gray-order index.
 FANOUT = 16
+_P = "__sh_"
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
@@ -55,14 +57,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long)."""
+    """doc_id, fp (the fingerprint's bits as a long), th (the text's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py()) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], names=["doc_id", "fp", "th"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -188,15 +190,19 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.select(F.col("c").cast("int"), "key", "fp").mapInArrow(run, "a long, b long")
 
 
+def least_of_components(own: DataFrame, value: Column) -> DataFrame:
+    """fp, least: the smallest value of the rows of the fingerprint's component."""
+    fps = common.stored(own.groupBy("fp").agg(F.min(value).alias("least")))
+    tree = components.components(links(fps.select("fp")))
+    rooted = fps.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("lowest"))
+    return rooted.join(lowest, "root").select("fp", F.col("lowest").alias("least"))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id."""
     own = common.stored(with_fingerprint(docs))
-    fps = common.stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    tree = components.components(links(fps.select("fp")))
-    rooted = fps.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return own.join(least_of_components(own, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -204,11 +210,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents of which each component keeps the one with the smallest id, with their columns; of repeated ids one row stays."""
-    made = common.stored(grouped(docs).select("doc_id", "component_id"))
-    gone = common.stored(made.filter("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti")
-    twice = common.stored(made.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """The documents of which each component keeps one row, the first by (doc_id, fingerprint, text hash), ids that are null last,
+    with their columns; of rows with the same id and text one stays."""
+    own = common.stored(with_fingerprint(docs))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "th")
+    made = own.select("doc_id", "fp", "th", row.alias("row")).join(least_of_components(own, row), "fp")
+    gone = common.stored(made.filter(F.col("row") != F.col("least")).select(*_row_of("doc_id", "th")).distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, _same_row(docs), "left_anti")
+    twice = common.stored(made.filter(F.col("row") == F.col("least")).groupBy("doc_id", "th").count().filter("count > 1").select(*_row_of("doc_id", "th")))
     if not twice.isEmpty():
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        again = kept.join(twice, _same_row(docs), "left_semi").withColumn(f"{_P}text", F.xxhash64("text")).dropDuplicates(["doc_id", f"{_P}text"])
+        kept = kept.join(twice, _same_row(docs), "left_anti").unionByName(again.select(*docs.columns))
     return kept.select(*docs.columns)
+
+
+def _row_of(doc_id: str, th: str) -> list[Column]:
+    return [F.col(doc_id).alias(f"{_P}id"), F.col(th).alias(f"{_P}th")]
+
+
+def _same_row(docs: DataFrame) -> Column:
+    return docs["doc_id"].cast("long").eqNullSafe(F.col(f"{_P}id")) & (F.xxhash64(docs["text"]) == F.col(f"{_P}th"))

@@ -55,6 +55,22 @@ def test_repeated_ids_leave_one_row(odd_docs):
     assert 3 in kept
 
 
+def test_each_component_keeps_one_row(spark):
+    x, y, z = ("".join(f"{w}{k} " for k in range(60)) for w in ("ash", "birch", "cedar"))
+    rows = [
+        # Id 3 stands in the components of x and of y: its row in x is the first there, the one in y gives way to id 1.
+        (3, x), (3, y), (1, y), (5, x),
+        # Two rows of one id that are not near copies stay both; identical rows leave one.
+        (7, z), (7, "one text of its own"), (7, z),
+        # Copies without an id leave one row, and none where a copy has an id.
+        (None, "nobody owns this text"), (None, "nobody owns this text"), (None, y), (None, "nor this one"),
+    ]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, fp string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.representatives(docs).collect()), key=repr)
+    want = [(3, x), (1, y), (7, z), (7, "one text of its own"), (None, "nobody owns this text"), (None, "nor this one")]
+    assert got == sorted(want, key=repr)
+
+
 def test_contaminated(odd_docs, benchmark):
     got = {r["doc_id"]: r for r in decontaminate.report(odd_docs, benchmark).collect()}
     assert got[1]["contaminated"] and got[1]["n_items"] == 2 and not got[6]["contaminated"]
