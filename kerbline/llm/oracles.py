@@ -83,11 +83,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 
 def line_ctes(docs: str = "documents") -> str:
     """CTEs ending in ld_text (doc_id, text, n_exact, n_near), for documents with distinct ids."""
-    return f"""
+    return rf"""
 ld_all AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {docs}),
-ld_line AS (SELECT *, length(line) >= {d.LEAST_CHARS} AS eligible FROM ld_all),
+ld_line AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS eligible FROM ld_all),
 ld_first AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM ld_line WHERE eligible GROUP BY line),
-ld_near AS (SELECT DISTINCT b.line FROM ld_first a JOIN ld_first b ON b.n BETWEEN a.n - {d.EDITS} AND a.n + {d.EDITS} AND a.first < b.first AND levenshtein(a.line, b.line) <= {d.EDITS}),
+ld_near AS (SELECT DISTINCT b.line FROM ld_first a JOIN ld_first b ON b.n BETWEEN a.n - {d.EDITS} AND a.n + {d.EDITS} AND a.n >= {d.LEAST_CHARS} AND b.n >= {d.LEAST_CHARS}
+  AND a.first < b.first AND levenshtein(a.line, b.line) <= {d.EDITS}),
 ld_verdict AS (SELECT l.*, coalesce(eligible AND (doc_id, pos) <> f.first, false) AS exact, coalesce(eligible AND l.line IN (SELECT line FROM ld_near), false) AS near FROM ld_line l LEFT JOIN ld_first f ON l.line = f.line),
 ld_kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT exact AND NOT near) AS kept, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near FROM ld_verdict GROUP BY doc_id),
 ld_text AS (SELECT d.* EXCLUDE (text), CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near FROM {docs} d LEFT JOIN ld_kept USING (doc_id))"""

@@ -192,20 +192,54 @@ def test_permutation_is_one():
         assert sorted(token_shards.permuted(np.arange(n), n)) == list(range(n))
 
 
-def test_near_lines(spark):
-    r = random.Random(3)
+def near_variants(r, n):
+    """Variants of few lines, within and beyond the edits, and a large group that differs from one line by an inserted word each."""
     base = ["".join(r.choice("abcd ") for _ in range(40)) for _ in range(10)]
     lines = set(base)
-    for _ in range(150):
+    for _ in range(n):
         b = list(r.choice(base))
         for _ in range(r.randint(1, 3)):
             i = r.randint(0, len(b))
             b[i : i + r.randint(0, 1)] = r.choice(["", "x", "é"])
         lines.add("".join(b))
-    d = spark.createDataFrame(list(enumerate(sorted(lines))), "h long, line string").withColumns({"len": F.length("line"), "g": F.lit(0), "first": F.col("h")})
-    got = {tuple(sorted(x)) for x in line_dedup.verified(line_dedup.candidates(d), d).select("a.h", "b.h").collect()}
-    want = d.alias("x").join(d.alias("y"), F.col("x.h") < F.col("y.h")).filter(F.levenshtein("x.line", "y.line") <= line_dedup.EDITS).select("x.h", "y.h").collect()
+    one = base[0] + " the same end of every line of this group"
+    for _ in range(n):
+        i = r.randint(0, len(one))
+        lines.add(one[:i] + "".join(r.choice("pqrs") for _ in range(4)) + one[i:])
+    return sorted(lines)
+
+
+@pytest.mark.parametrize(("bucket", "group"), [(16, 512), (1, 7), (10_000, 1)])
+def test_near_lines(spark, monkeypatch, bucket, group):
+    monkeypatch.setattr(line_dedup, "HOT_BUCKET", bucket)
+    monkeypatch.setattr(line_dedup, "HOT_GROUP", group)
+    lines = near_variants(random.Random(3), 150)
+    d = spark.createDataFrame(list(enumerate(lines)), "h long, line string").withColumns({"len": F.length("line"), "g": F.lit(0), "first": F.col("h")})
+    pairs = line_dedup.candidates(d)
+    got = {tuple(sorted(x)) for x in line_dedup.verified(pairs, d).select("a.h", "b.h").collect()}
+    want = d.alias("x").join(d.alias("y"), F.col("x.h") < F.col("y.h"))
+    want = want.filter(F.levenshtein("x.line", "y.line") <= line_dedup.EDITS).select("x.h", "y.h").collect()
     assert got == {tuple(x) for x in want}
+    assert pairs.groupBy("a", "b").count().filter("count > 1").count() == 0
+
+
+def test_automaton(spark):
+    """Against the plain distance, also where nothing or all is left between the common ends."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(0, 7)))
+    d = spark.createDataFrame([(word(), word()) for _ in range(3000)], "a string, b string")
+    ends = d.select("a", "b", line_dedup._common_length(F.col("a"), F.col("b"), F.least(F.length("a"), F.length("b"))).alias("n"))
+    for x in ends.collect():
+        assert x["n"] == next((k for k, (y, z) in enumerate(zip(x["a"], x["b"])) if y != z), min(len(x["a"]), len(x["b"])))
+    near = d.select("a", "b", line_dedup.within(line_dedup._letters(F.col("a")), line_dedup._letters(F.col("b"))).alias("near"), (F.levenshtein("a", "b") <= 2).alias("want"))
+    assert near.filter("near <> want").count() == 0
+
+
+def test_short_lines_go_as_exact_copies(spark):
+    texts = ["Read more\n\nown first line", "Read more\n \nRead mor", "a\n\n\nRead more", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(docs).collect()}
+    assert got == {0: texts[0], 1: " \nRead mor", 2: "a\n\n", 3: None, 4: ""}
 
 
 def test_gray_index_finds_every_pair():
