@@ -94,47 +94,102 @@ def test_wu_manber_finds_what_a_scan_finds():
         assert (n[k], set(hits[k].tolist()), found[k]) == (len(w), want, ids)
 
 
+def bigrams(texts, n):
+    """Statistics of texts over the symbols below n, of which the last is the end."""
+    pairs = Counter((a, x) for s in texts for a, x in zip([n - 1, *s], [*s, n - 1]))
+    counts, company = np.zeros(n), np.zeros(n)
+    for (_, x), c in pairs.items():
+        counts[x] += c
+        company[x] += 1
+    keys = sorted(pairs)
+    return attention.Statistics(counts, company, np.array([a << 16 | x for a, x in keys], np.uint32), np.array([pairs[k] for k in keys], float)), pairs
+
+
 def test_attention_scores_and_gradients():
     r = np.random.default_rng(0)
-    out = attention.Output(r.integers(0, 50, 300).astype(float))
-    m = attention.Model(out)
-    texts = [r.integers(0, 299, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 70)]
+    n, size, width = 300, attention.BLOCK, attention.WIDTH
+    texts = [r.integers(0, n - 1, k).astype(np.int32) for k in (0, 1, size - 1, size, size + 1, 70)]
+    by, pairs = bigrams([t.tolist() for t in texts[1:]] * 2, n)
+    m = attention.Model(by)
+    m.p["w2"] += r.normal(size=m.p["w2"].shape).astype(np.float32) * 0.3
+    m.p["r"] += r.normal(size=2 * size).astype(np.float32)
     p = {k: v.astype(float) for k, v in m.p.items()}
 
-    def naive(s):
-        ins, targets, total = [299, *s], [*s, 299], 0.0
-        x = p["e"][out.row[ins]]
-        q, k, v = x @ p["q"] / 4, x @ p["k"], x @ p["v"]
+    def naive(s, settle=None):
+        ins, targets, total, loss = [n - 1, *s], [*s, n - 1], 0.0, 0.0
+        x = p["e"][by.row[ins]]
+        q, k, v = x @ p["q"] / width**0.5, x @ p["k"], x @ p["v"]
         for t in range(len(ins)):
-            lo = max(0, (t // 16 - 1) * 16)
+            lo = max(0, (t // size - 1) * size)
             w = np.exp([q[t] @ k[j] + p["r"][t - j] for j in range(lo, t + 1)])
             h = np.concatenate([x[t], w / w.sum() @ v[lo : t + 1]])
             o = np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]
-            full = (o - np.log(np.exp(o).sum()))[out.head] + out.inside
-            assert np.exp(full).sum() == pytest.approx(1)
-            total += full[targets[t]]
-        return total
-
-    got = m.score(np.concatenate(texts), np.array([len(t) for t in texts]), 299)
-    assert got == pytest.approx([naive(t) for t in texts], abs=1e-3)
-
-
-def test_every_block_is_trained_on(spark):
-    """Short texts and all: a task's weights are those of the start, trained on over every block of its texts."""
-    texts = ["grey geese fly", "the old river bank " * 40, "a quick brown fox", None]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    enc = lm_score.Ids(vocabulary())
-    ids = [enc.numbers((r["text"] or "").encode().lower().split()) for r in df.collect()]
-    output = attention.Output(np.bincount(np.concatenate(ids), minlength=lm_score.END + 1).astype(float))
-    data = attention.examples(ids, output, lm_score.END)
-    assert len(data[0]) == sum(-(-(len(s) + 1) // attention.BLOCK) for s in ids)
-    want = attention.Model(output)
-    attention.Trainer(want, 0.02).run(data, lm_score.BATCH, lm_score.START_ROUNDS)
-    start = want.flat()
-    attention.Trainer(want, 0.003).run(data, lm_score.BATCH)
-    got = lm_score.trained(df, output, vocabulary()).flat()
-    assert np.abs(got - start).max() > 1e-3
-    assert got == pytest.approx(want.flat(), abs=1e-5)
+            plain = np.exp(by.log_pairs(np.full(n, ins[t]), np.arange(n)).astype(float))
+            assert plain.sum() == pytest.approx(1, abs=1e-4)
+            full = plain * np.exp(o)[by.head]
+            full /= full.sum()
+            total += np.log(full[targets[t]])
+            loss -= np.log(np.bincount(by.head, weights=full)[by.head[targets[t]]])
+        return total, loss
+
+    lengths = np.array([len(t) for t in texts])
+    got = m.score(np.concatenate(texts), lengths, n - 1)
+    assert got == pytest.approx([naive(t)[0] for t in texts], abs=1e-2)
+    layout = attention.Layout(np.concatenate(texts), lengths, n - 1)
+    blocks = (layout.inputs, layout.before(), layout.first, layout.targets)
+    loss, g = m.gradient(*blocks)
+    places = int((lengths + 1).sum())
+    assert loss == pytest.approx(sum(naive(t)[1] for t in texts) / places, abs=1e-3)
+    for name in ("e", "q", "k", "v", "r", "w1", "b1", "w2", "b2"):
+        at = np.unravel_index(np.argmax(np.abs(g[name])), m.p[name].shape)
+        old = m.p[name][at]
+        sides = []
+        for d in (1e-2, -1e-2):
+            m.p[name][at] = old + d
+            sides.append(m.gradient(*blocks)[0])
+        m.p[name][at] = old
+        assert (sides[0] - sides[1]) / 2e-2 == pytest.approx(g[name][at], rel=0.05, abs=1e-4), name
+    sums = m.output_sums(layout)
+    assert sums[:-1, : attention.CLASSES] / places == pytest.approx(g["w2"], abs=1e-5)
+    m.settle(sums)
+    assert m.gradient(*blocks)[0] < loss
+    assert len(pairs)
+
+
+def test_lookup_finds_every_key():
+    r = np.random.default_rng(2)
+    keys = np.unique(r.integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32))
+    table = attention.Lookup(keys[::2], np.arange(len(keys[::2])))
+    out = np.full(len(keys), -1, np.float32)
+    table.get(keys, out)
+    assert out[::2].tolist() == list(range(len(keys[::2]))) and (out[1::2] == -1).all()
+
+
+def test_pair_counts_cover_every_position(spark):
+    texts = ["grey geese fly", "the old river bank " * 400, "a quick brown fox", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = tokens.ids(*vocabulary())
+    ids = [[x for w in (t or "").split() for x in enc.piece(" " + w)] for t in texts]
+    ready = lm_score.prepared(docs, vocabulary(), {b"geese": -2.0, b"river": -1.5})
+    got = {r["doc_id"]: r for r in ready.collect()}
+    assert [np.frombuffer(got[k]["symbols"], "<u2").tolist() for k in range(4)] == ids
+    assert [(got[k]["n_words"], got[k]["known"], got[k]["base"]) for k in range(4)] == [(3, 1, -2.0), (1600, 400, -600.0), (4, 0, 0.0), (0, 0, 0.0)]
+    assert {bytes(r["word"]): r["n"] for r in got[1]["rare"]} == {b"the": 400, b"old": 400, b"bank": 400}
+    want = Counter((a << 16 | x) for s in ids for a, x in zip([lm_score.END, *s], [*s, lm_score.END]))
+    counts, sample = lm_score.pair_counts(ready, 1.0)
+    assert {r["pair"]: r["n"] for r in counts.collect()} == want
+    assert len(sample) == sum(-(-(len(s) + 1) // attention.BLOCK) for s in ids)  # the level takes all of so few
+
+
+def test_model_scores_held_out_text_above_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sums = []
+    for parts in (4, 40):
+        out = lm_score.report(docs.repartition(parts), vocabulary()).filter("held_out")
+        sums.append(out.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first())
+    (score, base, n), (again, _, _) = sums
+    assert score / n > base / n + 0.1
+    assert score == pytest.approx(again, rel=1e-4)
 
 
 def test_base_scores(spark):
