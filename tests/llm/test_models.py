@@ -213,9 +213,17 @@ def test_karmarkar_karp_balances():
     assert all(sum(sizes[i] for i in w) <= 1024 for w in packing.windows(sizes))
 
 
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary()[0])
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    enc = tokens.Ids(*vocabulary()).tokenizer
+    enc = fresh_tokenizer()
+    special = spark.createDataFrame([(-1, "a <|endoftext|> b", None, None, None), (-2, "<|endoftext|>", None, None, None)], docs.schema)
+    docs = docs.unionByName(special)
     pieces = {}
     used = {}
     for r in packing.pack(docs, *vocabulary(), with_ids=True).collect():
@@ -237,9 +245,10 @@ def test_packing_round_trip(spark):
 def test_pieces_and_whole_texts_have_the_same_ids(spark):
     enc = tokens.Ids(*vocabulary())
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    texts += ["a  b\n\n c \n d", "a\n b", "it's  don't ' s", "  lead", "trail  ", "a \n", " ", "\n", "", "²½ x１２ ٣٤", "tab\tx y", "a\n \nb", "<|endoftext|> hi"]
+    texts += ["a  b\n\n c \n d", "a\n b", "it's  don't ' s", "  lead", "trail  ", "a \n", " ", "\n", "", "²½ x１２ ٣٤", "tab\tx y", "a\n \nb", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext"]
+    plain = fresh_tokenizer()
     for t in texts:
-        assert np.frombuffer(enc.of(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(enc.of(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_permutation_is_one():
