@@ -131,8 +131,8 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns. Reads the texts twice rather than shuffling them."""
-    counts = common.stored(with_counts(docs.select("text", "lang", "source")).drop("text"))
-    fences = common.stored(thresholds(counts))
-    counted = with_counts(docs, prefix=_P)
+    """The documents that pass, with their columns. Texts are counted once: they are stored with their counts, of which the fences
+    need the counts alone."""
+    counted = common.stored(with_counts(docs, prefix=_P))
+    fences = common.stored(thresholds(counted, prefix=_P))
     return judged(counted, fences, prefix=_P).filter(f"{_P}kept").select(*docs.columns)
