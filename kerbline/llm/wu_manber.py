@@ -2,11 +2,13 @@
 
 Patterns are the windows of the benchmark items: 13 consecutive words, or the whole of a shorter item. Patterns of one length m
 share a shift table over blocks of two words: the block that ends at a position tells how far the search may move on. Where the
-shift is zero, patterns that share the suffix block and the prefix block are compared directly, word by word and then by bytes.
+shift is zero, the bucket of the suffix block and the words before it gives the patterns that are compared directly, word by word
+and then by bytes. Patterns are places in the items' words: no window is held as text of its own.
 
 Texts stay in their Arrow buffers: bytes are classified, words hashed and positions advanced with numpy, many stretches of
-words at a time. The index is broadcast in blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark takes further
-passes over the rows of each task. Nothing is shuffled.
+words at a time. The index is broadcast in blocks of about BLOCK_BYTES of benchmark text, which are built one after the other; a
+larger benchmark takes further passes over the rows of each task, and after BLOCKS_AT_ONCE blocks what is found so far is stored and
+their indexes are given up. Nothing is shuffled.
 
 Defined cases: a null or empty text has no words and no hits; a null benchmark text has no window; repeated items count once
 per item_id; an empty benchmark gives no hits; extra columns are carried through.
@@ -16,15 +18,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kerbline.llm import common
+
 WINDOW = 13
-#: Benchmark text in one broadcast index.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text in one broadcast index, which takes about ten times as much, and indexes that one pass over the rows uses.
+BLOCK_BYTES, BLOCKS_AT_ONCE = 4 << 20, 4
 #: Bytes hashed at once, and window ends that one lane of the search covers.
 CHUNK, LANE = 1 << 20, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -102,26 +107,31 @@ def _blocks(w: np.ndarray, m: int) -> np.ndarray:
 
 
 class Patterns:
-    """The windows of one length: shift table, buckets by suffix and prefix block, and what to compare."""
-
-    def __init__(self, m: int, found: dict[bytes, set[int]]) -> None:
-        self.m, self.texts = m, sorted(found)
-        self.items = [sorted(found[t]) for t in self.texts]
-        data = b" ".join(self.texts)
-        w, _, _ = word_hashes(np.frombuffer(data, np.uint8), np.zeros(0, np.int64))
-        self.words = w.reshape(-1, m)
-        size = 1 << max(12, int(np.ceil(np.log2(16 * self.words.size + 1))))
-        self.mask, self.most = np.uint64(size - 1), m - min(m, 2) + 1
-        self.shift = np.full(size, self.most, dtype=np.uint8)
+    """The windows of one length, as places in the items' words: shift table, and buckets by suffix block and rest of the window."""
+
+    def __init__(self, m: int, items: Items, starts: np.ndarray) -> None:
+        self.m, self.items = m, items
+        w = items.hashes
+        blocks = _blocks(w, m)
+        used = starts[:, None] + np.arange(min(m, 2) - 1, m)[None, :]
+        size = 1 << max(12, int(np.ceil(np.log2(16 * len(np.unique(used)) + 1))))
+        self.mask, most = np.uint64(size - 1), m - min(m, 2) + 1
+        self.shift = np.full(size, most, dtype=np.uint8)
         for j in range(min(m, 2) - 1, m):
-            block = self.words[:, j] * _MIX if m == 1 else _joined(self.words[:, j - 1], self.words[:, j])
-            np.minimum.at(self.shift, block & self.mask, np.uint8(m - 1 - j))
-        if m == 1:
-            key = self.words[:, 0] * _MIX
-        else:
-            key = _joined(_joined(self.words[:, 0], self.words[:, 1]), _joined(self.words[:, -2], self.words[:, -1]))
-        self.order = np.argsort(key, kind="stable")
-        self.keys = key[self.order]
+            np.minimum.at(self.shift, blocks[starts + j] & self.mask, np.uint8(m - 1 - j))
+        key = self._key(w, blocks, starts + m - 1)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.starts = key[order], starts[order].astype(np.int32)
+
+    def _key(self, w: np.ndarray, blocks: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the windows that end at these words: their suffix block joined with the words before it."""
+        key = blocks[last]
+        for j in range(2, self.m):
+            key = _joined(key, w[last - j])
+        return key
+
+    def bytes_(self) -> int:
+        return self.shift.nbytes + self.keys.nbytes + self.starts.nbytes
 
     def ends(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of last words and numbers of the patterns that may end there; first: where each text's words begin, with the end."""
@@ -141,31 +151,45 @@ class Patterns:
             if not live.all():
                 at, end = at[live], end[live]
         pos = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-        key = block[pos] if m == 1 else _joined(block[pos - m + 2], block[pos])
+        key = self._key(w, block, pos)
         lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        p, q = [], []
-        for k in range(int((hi - lo).max(initial=0))):
-            some = lo + k < hi
-            who, which = pos[some], self.order[lo[some] + k]
-            same = np.ones(len(who), dtype=bool)
-            for j in range(m):
-                same &= w[who - m + 1 + j] == self.words[which, j]
-            p.append(who[same])
-            q.append(which[same])
-        return (np.concatenate(p), np.concatenate(q)) if p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n = hi - lo  # items that share the window
+        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        who, which = np.repeat(pos, n), self.starts[which]
+        same = np.ones(len(who), dtype=bool)
+        for j in range(m):
+            same &= w[who - m + 1 + j] == self.items.hashes[which + j]
+        return who[same], which[same]
+
+
+class Items:
+    """Words of some benchmark items: one buffer of lower-cased bytes, word hashes, starts and ends, and the item of each word."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
+        texts = [(t or "").encode() for _, t in items]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        self.hashes, s, e = word_hashes(data, offsets)
+        self.data, self.start, self.end = _LOWER[data].tobytes(), s.astype(np.int32), e.astype(np.int32)
+        self.first = np.searchsorted(s, offsets)
+        self.ids = [i for i, _ in items]
+        self.of = np.repeat(np.arange(len(items), dtype=np.int32), np.diff(self.first))
+
+    def said(self, first: int, m: int) -> list[bytes]:
+        return [self.data[self.start[k] : self.end[k]] for k in range(first, first + m)]
 
 
 def build(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[Patterns]:
-    by: dict[int, dict[bytes, set[int]]] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        _, s, e = word_hashes(data, np.zeros(0, np.int64))
-        low = _LOWER[data].tobytes()
-        words = [low[i:j] for i, j in zip(s, e, strict=True)]
-        m = min(window, len(words))
-        for k in range(len(words) - m + 1 if m else 0):
-            by.setdefault(m, {}).setdefault(b" ".join(words[k : k + m]), set()).update([item] if item is not None else [])
-    return [Patterns(m, found) for m, found in sorted(by.items())]
+    own = Items(items)
+    n = np.diff(own.first)
+    length = np.minimum(n, window)
+    sets = []
+    for m in np.unique(length[length > 0]).tolist():
+        some = np.flatnonzero(length == m)
+        count = n[some] - m + 1
+        starts = np.repeat(own.first[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        sets.append(Patterns(m, own, starts))
+    return sets
 
 
 def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -202,11 +226,11 @@ def search(data: np.ndarray, offsets: np.ndarray, sets: list[Patterns]) -> tuple
         text = np.searchsorted(first, pos, "right") - 1
         for p, q, t in zip(pos.tolist(), which.tolist(), text.tolist(), strict=True):
             k = p - own.m + 1
-            said = b" ".join(_LOWER[data[s[x] : e[x]]].tobytes() for x in range(k, p + 1))
-            if said == own.texts[q]:
+            if [_LOWER[data[s[x] : e[x]]].tobytes() for x in range(k, p + 1)] == own.items.said(q, own.m):
                 covered[k] += 1
                 covered[p + 1] -= 1
-                items[t].update(own.items[q])
+                if (item := own.items.ids[own.items.of[q]]) is not None:
+                    items[t].add(item)
     hit = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
     cuts = np.searchsorted(hit, first)
     return np.diff(first), [hit[a:b] - f for a, b, f in zip(cuts[:-1], cuts[1:], first[:-1], strict=True)], items
@@ -216,7 +240,7 @@ def _blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | No
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
-        size += len(row[1] or "")
+        size += len((row[1] or "").encode())
         if size > BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -233,8 +257,17 @@ def find(docs: DataFrame, benchmark: DataFrame, prefix: str = "", window: int =
     width = len(docs.columns)
     text_at = docs.columns.index("text")
     out = docs
-    for k, block in enumerate([*_blocks_of(benchmark)] or [[]]):
+    held = []
+    for k, block in enumerate(chain(_blocks_of(benchmark), [[]])):
+        if k and not block:
+            break
+        if len(held) == BLOCKS_AT_ONCE:
+            out = common.stored(out)
+            for done in held:
+                done.unpersist()
+            held = []
         index = spark.sparkContext.broadcast(build(block, window))
+        held.append(index)
 
         def scan(batches: Iterator[pa.RecordBatch], index=index, later: bool = k > 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:

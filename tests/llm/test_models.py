@@ -105,6 +105,37 @@ def bigrams(texts, n):
     return attention.Statistics(counts, company, np.array([a << 16 | x for a, x in keys], np.uint32), np.array([pairs[k] for k in keys], float)), pairs
 
 
+@pytest.mark.parametrize("at_once", [4, 1])
+def test_several_blocks_of_the_benchmark(spark, monkeypatch, at_once):
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice(["ash", "Birch", "cedar", "é1"]) for _ in range(n))
+    items = [(k, words(r.choice([1, 3, 13, 15]))) for k in range(30)]
+    docs = spark.createDataFrame([(k, words(40) + " " + items[k % 30][1]) for k in range(60)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, wu_manber.find(docs, bench).select("doc_id", "n_words", "hits", "items").collect()))
+    monkeypatch.setattr(wu_manber, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(wu_manber, "BLOCKS_AT_ONCE", at_once)
+    assert len([*wu_manber._blocks_of(bench)]) > 3
+    assert sorted(map(tuple, wu_manber.find(docs, bench).select("doc_id", "n_words", "hits", "items").collect())) == want
+
+
+def test_index_of_the_benchmark_stays_small():
+    r = random.Random(5)
+    text = [(k, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200))) for k in range(200)]
+    import pickle
+
+    assert len(pickle.dumps(wu_manber.build(text))) < 16 * sum(len(t) for _, t in text)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append(texts) or toxicity.Model())
+    docs = spark.createDataFrame([(2, f"text {k % 3}") for k in range(500)] + [(3, "x" * (toxicity.MOST_CHARS + 1)), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0) for k in (2, 3, 4)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    assert len(seen[0]) <= 2
+
+
 def test_attention_scores_and_gradients():
     r = np.random.default_rng(0)
     n, size, width = 300, attention.BLOCK, attention.WIDTH
