@@ -1,8 +1,9 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
-Prefix sums of turn tokens assign every turn to a cell of half the budget; a turn over half the budget stands alone, so a window
-exceeds the budget only where one turn does. Every later window repeats the system turn and up to HISTORY of the turns before
-it, when they are short; repeated turns carry a marker of their own and stay outside the loss mask.
+A window's room is what the system turn and the share for repeated turns leave of the budget. Prefix sums of turn tokens assign
+every turn to a cell; cells are as wide as the room less the longest turn that takes half the room at most, and longer turns stand
+alone. So a window exceeds the budget only where one turn exceeds its room. Every later window repeats the system turn and up to
+HISTORY of the turns before it, when they are short; repeated turns carry a marker of their own and stay outside the loss mask.
 
 Template: ``<|turn|>role<|text|>text<|end|>``, with ``<|seen|>`` in place of ``<|turn|>`` for a repeated turn. In roles and
 texts & and < are written &amp; and &lt;, so that no marker can occur inside them.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a window, of which HISTORY_SHARE may be repeated turns other than the system turn.
+#: Tokens of a window, of which HISTORY_SHARE may be repeated turns other than the system turn, and a quarter at most of what that leaves.
 BUDGET = 1024
 HISTORY = 2
 HISTORY_SHARE = 0.25
@@ -42,20 +43,22 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     whole = Window.partitionBy("conv_id")
     order = whole.orderBy("turn", "role", "text")
     rows = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tokens = F.ceil(F.octet_length("text") / BYTES_PER_TOKEN) + TURN_TOKENS
+    tokens = F.ceil(F.octet_length(escape(F.col("text"))) / BYTES_PER_TOKEN) + TURN_TOKENS
     t = t.withColumn("n", F.row_number().over(order)).withColumn("tokens", tokens)
     system = F.first(F.struct("role", "text", "tokens")).over(rows)
     t = t.withColumn("first", system).withColumn("system", F.when(F.col("first.role") == "system", F.col("first"))).drop("first")
-    # The room of a window: what the system turn and the repeated history leave.
-    room = F.greatest(F.lit(budget) - F.coalesce("system.tokens", F.lit(0)) - int(budget * HISTORY_SHARE), F.lit(budget // 4))
-    t = t.withColumn("half", F.floor(room / 2)).withColumn("long", F.col("tokens") > F.col("half"))
+    left = F.greatest(F.lit(budget) - F.coalesce("system.tokens", F.lit(0)), F.lit(0))
+    t = t.withColumn("share", F.least(F.lit(int(budget * HISTORY_SHARE)), F.floor(left / 4))).withColumn("room", F.greatest(left - F.col("share"), F.lit(1)))
+    t = t.withColumn("half", F.floor(F.col("room") / 2)).withColumn("long", F.col("tokens") > F.col("half"))
+    longest = F.max(F.when(~F.col("long"), F.col("tokens"))).over(whole)
+    t = t.withColumn("width", F.col("room") - F.coalesce(longest, F.lit(0)))
     t = t.withColumn("prefix", F.sum("tokens").over(rows)).withColumn("longs", F.sum(F.col("long").cast("long")).over(rows))
-    cell = F.struct(F.floor((F.col("prefix") - 1) / F.col("half")).alias("cell"), "longs", "long")
+    cell = F.struct(F.floor((F.col("prefix") - 1) / F.col("width")).alias("cell"), "longs", "long")
     t = t.withColumn("cell", cell).withColumn("fresh", F.coalesce(F.col("cell") != F.lag("cell").over(order), F.lit(True)))
     t = t.withColumn("window", F.sum(F.col("fresh").cast("long")).over(rows) - 1)
     # A turn is history for the windows that begin within the next turns.
     ahead = F.array_distinct(F.array_compact(F.array(*[F.lead("window", k).over(order) for k in range(1, history + 1)])))
-    short = F.col("tokens") * max(history, 1) <= int(budget * HISTORY_SHARE)
+    short = F.col("tokens") * max(history, 1) <= F.col("share")
     is_system = F.col("system").isNotNull() & (F.col("n") == 1)
     again = F.when(short & ~is_system, F.filter(ahead, lambda w: w != F.col("window"))).otherwise(F.array().cast("array<bigint>"))
     t = t.withColumn("at", F.concat(F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("seen"))), F.transform(again, lambda w: F.struct(w.alias("w"), F.lit(True).alias("seen")))))

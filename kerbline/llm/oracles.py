@@ -67,15 +67,17 @@ def chat_sql() -> str:
     again = " + ".join(f"CASE WHEN l{k} <> win{''.join(f' AND l{k} IS DISTINCT FROM l{j}' for j in range(1, k))} THEN 1 ELSE 0 END" for k in range(1, c.HISTORY + 1))
     return f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
   SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
-b AS (SELECT *, row_number() OVER o AS n, CAST(ceil(strlen(text) / {c.BYTES_PER_TOKEN}.0) AS BIGINT) + {c.TURN_TOKENS} AS tokens, length({esc('role')}) + length({esc('text')}) + {len('<|turn|><|text|><|end|>')} AS chars FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT *, row_number() OVER o AS n, CAST(ceil(strlen({esc('text')}) / {c.BYTES_PER_TOKEN}.0) AS BIGINT) + {c.TURN_TOKENS} AS tokens, length({esc('role')}) + length({esc('text')}) + {len('<|turn|><|text|><|end|>')} AS chars FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 s AS (SELECT conv_id, tokens AS s_tokens, chars AS s_chars FROM b WHERE n = 1 AND role = 'system'),
-d AS (SELECT b.*, s_chars, greatest({c.BUDGET} - coalesce(s_tokens, 0) - {share}, {c.BUDGET // 4}) // 2 AS half FROM b LEFT JOIN s USING (conv_id)),
+d0 AS (SELECT b.*, s_chars, greatest({c.BUDGET} - coalesce(s_tokens, 0), 0) AS remaining FROM b LEFT JOIN s USING (conv_id)),
+d1 AS (SELECT *, least({share}, remaining // 4) AS share, greatest(remaining - least({share}, remaining // 4), 1) AS room FROM d0),
+d AS (SELECT *, room // 2 AS half, room - coalesce(max(CASE WHEN tokens <= room // 2 THEN tokens END) OVER (PARTITION BY conv_id), 0) AS width FROM d1),
 e AS (SELECT *, sum(tokens) OVER r AS prefix, sum(CAST(tokens > half AS INT)) OVER r AS longs FROM d WINDOW r AS (PARTITION BY conv_id ORDER BY n)),
-f AS (SELECT *, ((prefix - 1) // half) || ' ' || longs || ' ' || (tokens > half) AS cell FROM e),
+f AS (SELECT *, ((prefix - 1) // width) || ' ' || longs || ' ' || (tokens > half) AS cell FROM e),
 g AS (SELECT *, CAST(cell IS DISTINCT FROM lag(cell) OVER (PARTITION BY conv_id ORDER BY n) AS INT) AS fresh FROM f),
 h AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS win FROM g),
 i AS (SELECT *, {leads} FROM h WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
-j AS (SELECT *, CASE WHEN tokens * {c.HISTORY} <= {share} AND NOT (n = 1 AND role = 'system') THEN {again} ELSE 0 END AS repeats FROM i)
+j AS (SELECT *, CASE WHEN tokens * {c.HISTORY} <= share AND NOT (n = 1 AND role = 'system') THEN {again} ELSE 0 END AS repeats FROM i)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars * (1 + repeats)) + max(win) * coalesce(max(s_chars), 0) AS BIGINT) AS formatted_chars FROM j GROUP BY conv_id"""

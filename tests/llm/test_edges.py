@@ -1,5 +1,8 @@
 """Odd rows and empty tables through every operator."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,29 @@ def test_conversations(spark):
     assert back[2]["loss_text"] == "w " * 9000 + "tail"
     assert made.filter("conv_id = 2").count() == 2
     assert chat_format.conversation_digest(df.filter(F.lit(False))).count() == 0
+
+
+def test_windows_keep_the_budget(spark):
+    """By the operator's own measure of a turn, over conversations with short, long and no system turns."""
+    r = random.Random(6)
+    rows = []
+    for conv in range(120):
+        system = r.choice([0, 0, 40, 1200, 3600, 5000])
+        if system:
+            rows.append((conv, 0, "system", "s" * system))
+        rows += [(conv, k, r.choice(["user", "assistant"]), "".join(r.choice("ab&<") for _ in range(r.choice([20, 400, 400, 900])))) for k in range(1, r.randint(2, 60))]
+    made = chat_format.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    size = lambda text: -(-len(text.encode()) // chat_format.BYTES_PER_TOKEN) + chat_format.TURN_TOKENS
+    filled = []
+    for w in made:
+        turns = re.findall(r"<\|(turn|seen)\|>([^<]*)<\|text\|>([^<]*)<\|end\|>", w["formatted"])
+        total = sum(size(text) for _, _, text in turns)
+        own = [size(text) for kind, role, text in turns if kind == "turn"]
+        system = sum(size(text) for _, role, text in turns if role == "system")
+        left = max(chat_format.BUDGET - system, 0)
+        room = left - min(int(chat_format.BUDGET * chat_format.HISTORY_SHARE), left // 4)
+        assert total <= chat_format.BUDGET or len(own) == 1 and own[0] > room, (w["conv_id"], w["window"], total)
+        filled.append((w["conv_id"], w["window"], total))
+    last = {c: w for c, w, _ in sorted(filled)}
+    inner = [t for c, w, t in filled if w < last[c]]
+    assert sum(inner) / len(inner) > 0.55 * chat_format.BUDGET
