@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators import graph, spatial
+from kerbline.operators import spatial
+from kerbline.operators.store import cut
 
 
 def fuse(records: DataFrame, radius: float) -> DataFrame:
-    """id, thing: records (id, class, source_rank, seen, x, y) in the order of source rank, newest first, join the nearest thing of
-    their class whose first record lies within the radius and that has no record of their source; else they begin a thing, named
-    by their id. What is joined depends on the order, so each connected group of near records is walked by itself: groups are
-    components of the links within the radius, and grow with the density of the place, not with the table."""
-    near = spatial.distance_join(records, records, radius).filter("a.class = b.class AND a.id < b.id")
-    group = graph.components(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-    joined = records.join(group, records["id"] == group["node"])
-    alone = records.join(group, records["id"] == group["node"], "left_anti").select("id", F.col("id").alias("thing"))
+    """id, thing: records (id, class, source_rank, seen, x, y) in the order of source rank, newest first, then id, join the nearest
+    thing of their class whose first record lies within the radius and that has no record of their source; else they begin a thing,
+    named by their id.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source_rank", "seen", "id"], ascending=[True, False, True])
-        things: list[dict] = []
-        out = []
-        for r in rows.itertuples():
-            best = None
-            for t in things:
-                d = float(np.hypot(t["x"] - r.x, t["y"] - r.y))
-                if d <= radius and r.source_rank not in t["sources"] and (best is None or (d, t["id"]) < best[:2]):
-                    best = (d, t["id"], t)
-            if best:
-                best[2]["sources"].add(r.source_rank)
-                out.append((r.id, best[1]))
-            else:
-                things.append({"id": r.id, "x": r.x, "y": r.y, "sources": {r.source_rank}})
-                out.append((r.id, r.id))
-        return pd.DataFrame(out, columns=["id", "thing"])
-
-    walked = joined.groupBy("root").applyInPandas(walk, "id long, thing long")
-    return walked.unionByName(alone)
+    What is joined depends only on earlier records within twice the radius: the first records of things in reach, and what has
+    joined these. So all records without an undecided earlier one there are decided at once, in rounds of joins; no two of them
+    can want the same thing. A record without a place begins a thing."""
+    rank = F.struct("source_rank", (-F.col("seen")).alias("age"), "id")
+    placed = records.select("id", "class", "source_rank", "x", "y", rank.alias("rank"))
+    near = spatial.distance_join(placed, placed, 2 * radius).filter("a.class = b.class AND a.rank < b.rank")
+    near = cut(near.select(F.col("a.id").alias("earlier"), F.col("b.id").alias("id"), "d"))
+    sources = cut(records.select("id", "source_rank"))
+    waits = cut(near.select("id").distinct())
+    done = cut(sources.join(waits, "id", "left_anti").select("id", F.col("id").alias("thing"), "source_rank"))
+    while not waits.isEmpty():
+        held = near.join(waits.withColumnRenamed("id", "earlier"), "earlier", "left_semi").select("id").distinct()
+        ready = cut(waits.join(held, "id", "left_anti"))
+        first = done.filter("id = thing").select(F.col("thing").alias("earlier"))
+        reach = near.filter(F.col("d") <= radius).join(ready, "id", "left_semi").join(first, "earlier").join(sources, "id")
+        taken = done.select(F.col("thing").alias("earlier"), "source_rank")
+        free = reach.join(taken, ["earlier", "source_rank"], "left_anti")
+        best = free.groupBy("id").agg(F.min(F.struct("d", "earlier")).alias("m"))
+        fresh = ready.join(best, "id", "left").select("id", F.coalesce("m.earlier", "id").alias("thing")).join(sources, "id")
+        done = cut(done.unionByName(fresh))
+        waits = cut(waits.join(ready, "id", "left_anti"))
+    return done.select("id", "thing")

@@ -5,17 +5,10 @@ Iterations end their lineage with checkpoint(), in the folder that the cluster n
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+from kerbline.operators.store import cut
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -31,7 +24,7 @@ def degree(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root of links (a, b): the least node that can be reached. Large stars and small stars in turn: each round is minima
     and joins on node, so a hub is never gathered, and the rounds grow with the logarithm of the longest chain."""
-    now = _cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -43,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = _cut(large.join(low, "a").select(F.inline(pairs)).filter("a <> b").distinct())
+        now = cut(large.join(low, "a").select(F.inline(pairs)).filter("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -61,14 +54,14 @@ def streets(edges: DataFrame, by: list[str], joints: DataFrame | None = None) ->
 def distances(edges: DataFrame, sources: DataFrame, length: str, most: float | None = None) -> DataFrame:
     """node, d: the shortest way from any source over undirected edges, by rounds of relaxation; only nodes that came nearer go on."""
     both = edges.select("source", "target", length).unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), length))
-    both = _cut(both.groupBy("source", "target").agg(F.min(length).alias("w")))
-    best = _cut(sources.select("node").distinct().withColumn("d", F.lit(0.0)))
+    both = cut(both.groupBy("source", "target").agg(F.min(length).alias("w")))
+    best = cut(sources.select("node").distinct().withColumn("d", F.lit(0.0)))
     fresh = best
     while not fresh.isEmpty():
         reach = fresh.join(both, fresh["node"] == both["source"]).groupBy(F.col("target").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
         if most is not None:
             reach = reach.filter(F.col("n") <= most)
-        j = _cut(best.join(reach, "node", "full_outer").withColumn("nearer", F.col("n").isNotNull() & (F.col("d").isNull() | (F.col("n") < F.col("d")))))
+        j = cut(best.join(reach, "node", "full_outer").withColumn("nearer", F.col("n").isNotNull() & (F.col("d").isNull() | (F.col("n") < F.col("d")))))
         best = j.select("node", F.when(F.col("nearer"), F.col("n")).otherwise(F.col("d")).alias("d"))
         fresh = j.filter("nearer").select("node", F.col("n").alias("d"))
     return best
@@ -89,7 +82,7 @@ def tree_paths(nodes: DataFrame, most_ranks: int = 7) -> DataFrame:
     now = nodes.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"))
     for _ in range(max(1, (most_ranks - 1).bit_length())):
         up = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        now = _cut(now.join(up, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        now = cut(now.join(up, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
     return now.select("id", F.col("up").alias("root"), F.col("steps").cast("long").alias("rank"))
 
 
@@ -98,7 +91,7 @@ def spread(flags: DataFrame, links: DataFrame, rounds: int = 5) -> DataFrame:
     now = flags
     for _ in range(rounds):
         offered = now.filter("level IS NOT NULL").join(links, "id").groupBy(F.col("next").alias("id")).agg(F.max("level").alias("offered"))
-        j = _cut(now.join(offered, "id", "left"))
+        j = cut(now.join(offered, "id", "left"))
         if j.filter("level IS NULL AND offered IS NOT NULL").isEmpty():
             break
         now = j.select("id", F.coalesce("level", "offered").alias("level"))

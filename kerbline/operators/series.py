@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.store import cut
+
 
 def moving_median(value: str, by: list[str], order: list[str], k: int) -> Column:
     """Median of a row with the k rows before and after it."""
@@ -14,7 +18,8 @@ def moving_median(value: str, by: list[str], order: list[str], k: int) -> Column
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """A global number from 1 in the given order: ranges are sorted side by side, and each is shifted by the sizes of those before."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    # Written down: ranges that were drawn again after a loss would number some rows twice.
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row per partition.
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
@@ -48,23 +53,33 @@ def smoothed(df: DataFrame, by: list[str], order: list[str], category: str, leas
 
 def change_points(df: DataFrame, key: str, order: list[str], value: str, step: float, ahead: int) -> DataFrame:
     """key, at (position of the change), level: where the median of the next values leaves the level kept since the last change by
-    more than the step. The level is reset at each change, which no window can express: one series at a time, in Arrow batches."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        out, level = [], None
-        values = rows[value].to_numpy()
-        for i in range(len(values)):
-            now = float(pd.Series(values[i : i + ahead]).median())
-            if level is None:
-                level = now
-            elif abs(now - level) > step:
-                out.append((rows[key].iloc[0], i, now))
-                level = now
-        return pd.DataFrame(out, columns=[key, "at", "level"]).astype({"at": "int64", "level": "float64"})
-
+    more than the step. Medians are a window's; the level is reset at each change, which no window can express, so it is carried
+    along the sorted rows of a partition, batch by batch: memory holds one batch, however long a series is."""
+    w = Window.partitionBy(key).orderBy(*order)
+    medians = df.select(key, *order, (F.row_number().over(w) - 1).cast("long").alias("at"), F.percentile(value, 0.5).over(w.rowsBetween(0, ahead - 1)).alias("median"))
+    ready = medians.sortWithinPartitions(key, "at").select(key, "at", "median")
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, *order, value).groupBy(key).applyInPandas(walk, f"{key} {kind}, at long, level double")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, level = None, None
+        for batch in batches:
+            changes, levels = [], []
+            keys = batch.column(0).to_pylist()
+            for i, (k, median) in enumerate(zip(keys, batch.column(2).to_pylist(), strict=True)):
+                if (k,) != now:
+                    now, level = (k,), None
+                if median is None:
+                    continue
+                if level is None:
+                    level = median
+                elif abs(median - level) > step:
+                    changes.append(i)
+                    levels.append(median)
+                    level = median
+            some = pa.array(changes, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(levels, pa.float64())], names=[key, "at", "level"])
+
+    return ready.mapInArrow(walk, f"{key} {kind}, at long, level double")
 
 
 def suffixed(df: DataFrame, name: str, order: list[str], mark: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.store import cut
+
 
 def _cells(low: str, high: str, cell: float):
     return F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
@@ -41,19 +43,43 @@ def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).withColumn("d", _distance()).filter(F.col("d") <= radius).select("a", "b", "d")
 
 
-def nearest(a: DataFrame, b: DataFrame, first_radius: float) -> DataFrame:
-    """Each point of a (id, x, y) with the nearest of b: near_id, d (ties: least id). The radius doubles for the points that have
-    found nothing yet, so dense parts stay cheap and none is left out."""
-    out, left, radius = None, a, first_radius
-    if b.isEmpty():
-        return a.select("id", F.lit(None).cast(b.schema["id"].dataType).alias("near_id"), F.lit(None).cast("double").alias("d"))
-    while True:
-        best = distance_join(left, b, radius).groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct("d", F.col("b.id").alias("near_id"))).alias("m")).select("id", "m.near_id", "m.d").persist()
-        out = best if out is None else out.unionByName(best)
-        left = left.join(best, "id", "left_anti").persist()
-        if left.isEmpty():
-            return out
-        radius *= 2
+def nearest(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Each point of a (id, x, y) with the nearest of b: near_id, d (ties: least id); nulls where a has no place or b no point.
+
+    The cells of b that hold a point form a pyramid whose cells double in width, up to four at most that cover all of b. From the
+    top down, each point keeps the cells that may hold its nearest: those no further away than the far corner of any other, which
+    is known to hold a point. At the bottom it meets the points of the few cells left. Rounds grow with the logarithm of the
+    extent, rows per round with the points of a, and no round puts all of b into one cell."""
+    kind = b.schema["id"].dataType
+    placed = a.filter("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y")
+    points = b.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    points = points.withColumns({"cx": F.floor(F.col("bx") / cell), "cy": F.floor(F.col("by") / cell)})
+    extent = points.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    if extent[0] is None:
+        return a.select("id", F.lit(None).cast(kind).alias("near_id"), F.lit(None).cast("double").alias("d"))
+    levels = [cut(points.select("cx", "cy").distinct())]
+    up = 0
+    while (extent[1] >> up) - (extent[0] >> up) > 1 or (extent[3] >> up) - (extent[2] >> up) > 1:
+        up += 1
+        levels.append(cut(levels[-1].select(F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy")).distinct()))
+    now = placed.join(F.broadcast(levels[-1]))  # four cells at most
+    for k in range(up, -1, -1):
+        if k < up:
+            inner = F.array(*[F.struct((2 * F.col("cx") + i).alias("cx"), (2 * F.col("cy") + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+            now = now.select("id", "x", "y", F.inline(inner)).join(levels[k], ["cx", "cy"])
+        wide = cell * 2**k
+        least, most = [], []
+        for at, c in (("x", "cx"), ("y", "cy")):
+            low, high = F.col(c) * wide - F.col(at), F.col(at) - (F.col(c) + 1) * wide
+            least.append(F.greatest(low, high, F.lit(0.0)))
+            most.append(F.greatest(-low, -high))
+        now = now.withColumns({"least": F.hypot(*least), "most": F.hypot(*most)})
+        # A little slack, so that rounding drops no cell that could tie.
+        now = now.withColumn("bound", F.min("most").over(Window.partitionBy("id", "x", "y")) * (1 + 1e-9) + 1e-9)
+        now = cut(now.filter("least <= bound").select("id", "x", "y", "cx", "cy"))
+    d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
+    met = now.join(points, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "near_id")).alias("m")).select("id", "m.near_id", "m.d")
+    return a.select("id").join(met, "id", "left")
 
 
 def ray_hits(points: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:

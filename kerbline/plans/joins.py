@@ -75,7 +75,7 @@ NEAREST = f"WITH p AS (SELECT p_partkey AS id, {PART_POINT} FROM part), s AS (SE
 @query("jon08_nearest", f"{NEAREST} SELECT id, sid, round(d, 6) AS d FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, sid) = 1")
 def nearest(spark, sf):
     p, s = points(spark, sf, "part", "p_partkey", PART_POINT), points(spark, sf, "supplier", "s_suppkey", SUPPLIER_POINT)
-    return spatial.nearest(p, s, first_radius=32.0).select("id", F.col("near_id").alias("sid"), F.round("d", 6).alias("d"))
+    return spatial.nearest(p, s, cell=32.0).select("id", F.col("near_id").alias("sid"), F.round("d", 6).alias("d"))
 
 
 @query("jon09_arg_min_within", f"{NEAREST} SELECT id, arg_min(sid, (d, sid)) AS sid, round(min(d), 6) AS d FROM d WHERE d <= 60 GROUP BY id")

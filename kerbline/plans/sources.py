@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.functions import shapes as g
+from kerbline.operators.store import shared_dir
 from kerbline.plans.geometry import BOX, rings
 from kerbline.plans.joins import PART_POINT, columns
 from kerbline.plans.registry import query, table
@@ -16,8 +16,7 @@ from kerbline.sources import readers, writers
 
 
 def place(spark, name):
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{top.rstrip('/')}/kerbline-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/kerbline-{name}-{uuid.uuid4().hex}"
 
 
 @query("src01_catalog", "SELECT CAST(count(*) AS BIGINT) AS n FROM nation JOIN region ON n_regionkey = r_regionkey")
