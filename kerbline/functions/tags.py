@@ -22,9 +22,9 @@ def first_integer(text: Column) -> Column:
 
 
 def metres(text: Column) -> Column:
-    """A length in metres: '(3.5 m)' and '3.5 m' as they are, '12 ft' converted, a bare number taken as metres."""
+    """A length in metres: the first number of the text, which is in feet unless (m) stands in the text."""
     number = F.nullif(F.regexp_extract(text, r"([0-9]+(?:[.][0-9]+)?)", 1), F.lit("")).cast("double")
-    return F.when(F.lower(text).rlike(r"\bft\b|feet|'"), number * 0.3048).otherwise(number)
+    return F.when(F.contains(text, F.lit("(m)")), number).otherwise(number * 0.3048)
 
 
 def slug(text: Column) -> Column:
@@ -43,7 +43,7 @@ def building_span(levels: Column, underground: Column, lowest: Column, height: C
 def road_level(layer: Column, bridge: Column, tunnel: Column) -> Column:
     """The layer tag, else 1 for a bridge, -1 for a tunnel, 0 for others."""
     no = lambda c: F.coalesce(c, F.lit("no")) == "no"
-    return F.coalesce(layer.try_cast("int"), F.when(~no(bridge), 1).when(~no(tunnel), -1).otherwise(0))
+    return F.coalesce(integer(layer).cast("int"), F.when(~no(bridge), 1).when(~no(tunnel), -1).otherwise(0))
 
 
 def vocabulary(value: Column, groups: dict[str, list[str]], otherwise: str) -> Column:

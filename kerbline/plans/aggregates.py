@@ -74,10 +74,10 @@ def shares(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity"), 6).alias("weighted"), F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("returned"))
 
 
-@query("agg14_iou_rate", f"WITH b AS (SELECT p_partkey AS id, {PART_BOX} FROM part), t AS (SELECT id, x0 + 1 AS x0, y0 AS y0, x1 + 1 AS x1, y1 FROM b WHERE id % 3 = 0), s AS (SELECT t.id, (least(t.x1, b.x1) - greatest(t.x0, b.x0)) * (least(t.y1, b.y1) - greatest(t.y0, b.y0)) AS i, (t.x1 - t.x0) * (t.y1 - t.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM t JOIN b ON t.x0 <= b.x1 AND b.x0 <= t.x1 AND t.y0 <= b.y1 AND b.y0 <= t.y1), m AS (SELECT t.id, coalesce(max(i / (u - i)), 0) AS iou FROM t LEFT JOIN s USING (id) GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(iou >= 0.8) AS BIGINT) AS matched, round(median(iou), 6) AS median FROM m")
+@query("agg14_iou_rate", f"WITH b AS (SELECT p_partkey AS id, {PART_BOX} FROM part), t AS (SELECT id, x0 + 1 AS x0, y0 AS y0, x1 + 1 AS x1, y1 FROM b), s AS (SELECT t.id, (least(t.x1, b.x1) - greatest(t.x0, b.x0)) * (least(t.y1, b.y1) - greatest(t.y0, b.y0)) AS i, (t.x1 - t.x0) * (t.y1 - t.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS u FROM t JOIN b ON t.x0 <= b.x1 AND b.x0 <= t.x1 AND t.y0 <= b.y1 AND b.y0 <= t.y1), m AS (SELECT t.id, coalesce(max(i / (u - i)), 0) AS iou FROM t LEFT JOIN s USING (id) GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(iou >= 0.8) AS BIGINT) AS matched, round(median(iou), 6) AS median FROM m")
 def iou_rate(spark, sf):
     b = points(spark, sf, "part", "p_partkey", PART_BOX)
-    t = b.filter("id % 3 = 0").withColumns({"x0": F.col("x0") + 1, "x1": F.col("x1") + 1})
+    t = b.withColumns({"x0": F.col("x0") + 1, "x1": F.col("x1") + 1})
     best = spatial.overlap_area(spatial.box_join(t, b, 16.0)).groupBy(F.col("a.id").alias("id")).agg(F.max("iou").alias("iou"))
     m = t.select("id").join(best, "id", "left").select(F.coalesce("iou", F.lit(0.0)).alias("iou"))
     return m.agg(F.count("*").alias("n"), F.count_if(F.col("iou") >= 0.8).alias("matched"), F.round(F.median("iou"), 6).alias("median"))

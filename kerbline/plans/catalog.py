@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbline.plans import aggregates, api, checks, geometry, graph, joins, matching, network, pipeline, projections, registry, scalars, sources, streams, windows  # noqa: F401  each registers its queries
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    """The flagship: classes of the parts, over the smallest data."""
-    return registry.QUERIES["prj02_first_rule"](spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: classes of the parts."""
+    return registry.QUERIES["prj02_first_rule"](spark, sf_dir)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -8,12 +8,12 @@ from kerbline.operators import graph
 from kerbline.plans.registry import query, table
 
 N = "(SELECT count(*) FROM part)"
-EDGES = f"edges AS (SELECT p_partkey AS edge, p_partkey % 97 AS source, (p_partkey * 7 + 3) % 89 AS target, p_brand AS name, CAST(p_size AS DOUBLE) AS len FROM part WHERE p_partkey % 11 < 2)"
+EDGES = f"edges AS (SELECT p_partkey AS edge, p_partkey % 97 AS source, (p_partkey * 7 + 3) % 89 AS target, p_brand AS name, CAST(p_size AS DOUBLE) AS len FROM part)"
 REACH = "RECURSIVE"
 
 
 def edges(spark, sf):
-    p, k = table(spark, sf, "part").filter("p_partkey % 11 < 2"), F.col("p_partkey")
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
     return p.select(k.alias("edge"), (k % 97).alias("source"), ((k * 7 + 3) % 89).alias("target"), F.col("p_brand").alias("name"), F.col("p_size").cast("double").alias("len"))
 
 
@@ -52,9 +52,9 @@ def least_label(spark, sf):
     return edges(spark, sf).groupBy("name").agg(F.min("edge").alias("label"), F.count("*").alias("n"))
 
 
-@query("grf11_continuations", f"WITH {EDGES}, e AS (SELECT source AS node, edge, CAST(edge * 37 % 360 AS DOUBLE) AS heading FROM edges WHERE edge % 3 = 0 UNION ALL SELECT target, edge + 100000, CAST(edge * 53 % 360 AS DOUBLE) FROM edges WHERE edge % 3 = 0), p AS (SELECT x.node, x.edge AS a, y.edge AS b, abs(((CAST(x.heading - y.heading + 180 AS BIGINT) % 360) + 360) % 360 - 180) AS turn FROM e x JOIN e y ON x.node = y.node AND x.edge <> y.edge), m AS (SELECT node, a, arg_max(b, (turn, -b)) AS b, max(turn) AS turn FROM p GROUP BY 1, 2), g AS (SELECT * FROM m WHERE turn >= 135) SELECT x.node, x.a, x.b FROM g x JOIN g y ON x.node = y.node AND x.a = y.b AND x.b = y.a WHERE x.a < x.b")
+@query("grf11_continuations", f"WITH {EDGES}, e AS (SELECT source AS node, edge, CAST(edge * 37 % 360 AS DOUBLE) AS heading FROM edges UNION ALL SELECT target, edge + 100000, CAST(edge * 53 % 360 AS DOUBLE) FROM edges), p AS (SELECT x.node, x.edge AS a, y.edge AS b, abs(((CAST(x.heading - y.heading + 180 AS BIGINT) % 360) + 360) % 360 - 180) AS turn FROM e x JOIN e y ON x.node = y.node AND x.edge <> y.edge), m AS (SELECT node, a, arg_max(b, (turn, -b)) AS b, max(turn) AS turn FROM p GROUP BY 1, 2), g AS (SELECT * FROM m WHERE turn >= 135) SELECT x.node, x.a, x.b FROM g x JOIN g y ON x.node = y.node AND x.a = y.b AND x.b = y.a WHERE x.a < x.b")
 def continuations(spark, sf):
-    e = edges(spark, sf).filter("edge % 3 = 0")
+    e = edges(spark, sf)
     s = e.select(F.col("source").alias("node"), "edge", (F.col("edge") * 37 % 360).cast("double").alias("heading"))
     t = e.select(F.col("target").alias("node"), (F.col("edge") + 100000).alias("edge"), (F.col("edge") * 53 % 360).cast("double").alias("heading"))
     return graph.continuations(s.unionByName(t))

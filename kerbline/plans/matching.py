@@ -24,10 +24,10 @@ def registry(spark, sf):
     return matching.register(one, keyed(t.filter("id % 10 <> 1")), F.lit("two"))
 
 
-@query("mat04_ref_or_near", f"WITH p AS (SELECT p_partkey AS id, p_size AS ref, {PART_POINT} FROM part), s AS (SELECT s_suppkey AS sid, s_suppkey % 60 AS code, {SUPPLIER_POINT} FROM supplier WHERE s_suppkey <= 40), r AS (SELECT id, min(sid) AS sid FROM p JOIN s ON ref = code GROUP BY 1), n AS (SELECT id, sid, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p, s), m AS (SELECT id, arg_min(sid, (d, sid)) AS sid FROM n WHERE d <= 30 AND id NOT IN (SELECT id FROM r) GROUP BY 1) SELECT id, sid, 'ref' AS how FROM r UNION ALL SELECT id, sid, 'near' FROM m")
+@query("mat04_ref_or_near", f"WITH p AS (SELECT p_partkey AS id, p_size AS ref, {PART_POINT} FROM part), s AS (SELECT s_suppkey AS sid, s_suppkey % 60 AS code, {SUPPLIER_POINT} FROM supplier), r AS (SELECT id, min(sid) AS sid FROM p JOIN s ON ref = code GROUP BY 1), n AS (SELECT id, sid, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p, s), m AS (SELECT id, arg_min(sid, (d, sid)) AS sid FROM n WHERE d <= 30 AND id NOT IN (SELECT id FROM r) GROUP BY 1) SELECT id, sid, 'ref' AS how FROM r UNION ALL SELECT id, sid, 'near' FROM m")
 def ref_or_near(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey AS id", "p_size AS ref", *columns(PART_POINT))
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 40").selectExpr("s_suppkey AS id", "s_suppkey % 60 AS code", *columns(SUPPLIER_POINT))
+    s = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_suppkey % 60 AS code", *columns(SUPPLIER_POINT))
     by_ref = p.join(s.select(F.col("id").alias("sid"), F.col("code").alias("ref")), "ref").groupBy("id").agg(F.min("sid").alias("sid"))
     near = spatial.distance_join(p.join(by_ref, "id", "left_anti"), s, 30.0).groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("b.id"), F.struct("d", "b.id")).alias("sid"))
     return by_ref.withColumn("how", F.lit("ref")).unionByName(near.withColumn("how", F.lit("near")))

@@ -33,9 +33,9 @@ def slug(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tags.slug(F.concat_ws(" ", "p_brand", "p_type")).alias("slug"))
 
 
-@query("str06_units", "SELECT p_partkey, round(CASE WHEN p_partkey % 2 = 0 THEN p_size * 0.3048 ELSE p_size END, 6) AS m FROM part")
+@query("str06_units", "SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 0.3048 WHEN 1 THEN p_size * 0.3048 ELSE p_size END, 6) AS m FROM part")
 def units(spark, sf):
-    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " ft").otherwise(" m"))
+    text = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, " ft").otherwise(" (m)"))
     return table(spark, sf, "part").select("p_partkey", F.round(tags.metres(text), 6).alias("m"))
 
 

@@ -73,9 +73,9 @@ def distinct_on(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("kept"))
 
 
-@query("srt01_order", "SELECT p_partkey, p_size FROM part WHERE p_partkey <= 500 ORDER BY (p_brand = 'Brand#3') DESC, nullif(p_size, 7) DESC NULLS LAST, p_partkey")
+@query("srt01_order", "SELECT p_partkey, p_size FROM part ORDER BY (p_brand = 'Brand#3') DESC, nullif(p_size, 7) DESC NULLS LAST, p_partkey")
 def order(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey <= 500")
+    p = table(spark, sf, "part")
     return p.orderBy(F.desc(F.col("p_brand") == "Brand#3"), F.desc_nulls_last(F.nullif("p_size", F.lit(7))), "p_partkey").select("p_partkey", "p_size")
 
 
