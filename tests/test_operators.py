@@ -1,3 +1,6 @@
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,15 +12,56 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1;", "with a as (select 1) select * from a", "SELECT 'drop table x; copy'"])
-def test_guard_accepts(sql):
-    assert filters.check_sql(sql)
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT 1;",
+        "with a as (select 1) select * from a",
+        "SELECT 'drop table x; copy'",
+        "SELECT load, b FROM t WHERE b = 'x;y' AND b = \"x;y\"",
+        "SELECT upper(b), count(*), max(load) OVER (PARTITION BY b) FROM T WHERE load IN (SELECT load FROM t) GROUP BY b, load",
+        "SELECT b, x FROM t LATERAL VIEW explode(array(1, 2)) AS x",
+        "SELECT * FROM (VALUES (1), (2)) AS v(k) JOIN t ON k = load",
+    ],
+)
+def test_guard_accepts(spark, sql):
+    assert filters.check_sql(spark, sql, ["t"])
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "DROP TABLE x",
+        "SELECT 1; SELECT 2",
+        "ATTACH 'x'",
+        "SELECT * FROM read_csv('x')",
+        "COPY t TO 'x'",
+        "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a",
+        "INSERT INTO t SELECT 1",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/part.parquet`",
+        "SELECT * FROM other",
+        "SELECT (SELECT max(k) FROM other) FROM t",
+        "WITH a AS (SELECT * FROM other) SELECT * FROM a",
+        "SELECT * FROM t WHERE EXISTS (SELECT 1 FROM other)",
+        "SELECT reflect('java.lang.System', 'getenv')",
+        "SELECT java_method('java.lang.System', 'getenv') FROM t",
+        "SELECT max(try_reflect('java.lang.System', 'getenv')) FROM t",
+        "SELECT TRANSFORM(b) USING 'cat' FROM t",
+        "SET x = 1",
+        "SELECT * FROM range(3)",
+    ],
+)
+def test_guard_rejects(spark, sql):
+    with pytest.raises(ValueError):
+        filters.check_sql(spark, sql, ["t"])
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE x", "SELECT 1; SELECT 2", "ATTACH 'x'", "SELECT * FROM read_csv('x')", "COPY t TO 'x'", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a"])
-def test_guard_rejects(sql):
-    with pytest.raises(ValueError):
-        filters.check_sql(sql)
+def test_sql_leaves_the_callers_views(spark):
+    spark.range(3).createOrReplaceTempView("t")
+    got = filters.run_sql(spark, "SELECT load FROM t", {"t": spark.createDataFrame([(7,)], "load int")})
+    assert [r["load"] for r in got.collect()] == [7]
+    assert spark.table("t").count() == 3
+    spark.catalog.dropTempView("t")
 
 
 def test_unknown_filters_are_rejected(spark):
@@ -38,7 +82,9 @@ def test_building_spans(spark):
 
 def test_minus_sign_levels(spark):
     assert one(spark, tags.first_integer(F.lit("−3"))) == -3
-    assert one(spark, tags.metres(F.lit("10 ft"))) == pytest.approx(3.048)
+    lengths = [one(spark, tags.metres(F.lit(x))) for x in ("10 ft", "66", "20.5 (m)", "12.5 m", "none")]
+    assert lengths == [pytest.approx(3.048), pytest.approx(20.1168), 20.5, pytest.approx(3.81), None]
+    assert one(spark, tags.road_level(F.lit("1.5"), F.lit(None).cast("string"), F.lit(None).cast("string"))) == 2
 
 
 def test_heights(spark):
@@ -87,6 +133,22 @@ def test_nearest_grows_its_radius(spark):
     b = spark.createDataFrame([(7, 3.0, 4.0), (8, -3.0, 4.0)], "id long, x double, y double")
     got = {r["id"]: (r["near_id"], r["d"]) for r in spatial.nearest(a, b, 1.0).collect()}
     assert got[1] == (7, 5.0) and got[2][0] == 7
+    empty = b.filter("id < 0")
+    assert {r["near_id"] for r in spatial.nearest(a, empty, 1.0).collect()} == {None}
+
+
+@pytest.mark.parametrize("cell", [0.5, 7.0, 1e4])
+def test_nearest_against_all_pairs(spark, cell):
+    r = random.Random(8)
+    place = lambda: (r.choice([r.uniform(-900, 900), r.gauss(300, 1)]), r.choice([r.uniform(-40, 40), 5.0]))
+    a = [(k, *place()) for k in range(150)] + [(500, None, 1.0), (501, 2.0, None)]
+    b = [(k, *place()) for k in range(90)] + [(k + 1000, 300.0, 5.0) for k in range(3)] + [(99, None, None)]
+    kind = "id long, x double, y double"
+    got = {x["id"]: (x["near_id"], x["d"]) for x in spatial.nearest(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), cell).collect()}
+    assert got[500] == got[501] == (None, None)
+    for i, x, y in a[:150]:
+        d, near = min((((x - u) ** 2 + (y - v) ** 2) ** 0.5, k) for k, u, v in b if u is not None)
+        assert got[i] == (near, pytest.approx(d))
 
 
 def test_claims_add_up(spark):
@@ -112,6 +174,55 @@ def test_fusion_keeps_one_record_of_a_source(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+def test_fusion_against_the_plain_order(spark):
+    """Records taken one by one in their order; many lie close together, so things compete for records."""
+    r = random.Random(1)
+    rows = [(k, r.choice(["pole", "sign"]), r.randint(0, 3), float(r.randint(0, 5)), r.uniform(0, 60), r.uniform(0, 60)) for k in range(200)]
+    want, things = {}, []
+    for i, kind, rank, _, x, y in sorted(rows, key=lambda q: (q[2], -q[3], q[0])):
+        near = [(((t[2] - x) ** 2 + (t[3] - y) ** 2) ** 0.5, t[0], t) for t in things if t[1] == kind and rank not in t[4]]
+        near = [n for n in near if n[0] <= 10.0]
+        if near:
+            best = min(near, key=lambda n: n[:2])[2]
+            best[4].add(rank)
+            want[i] = best[0]
+        else:
+            things.append((i, kind, x, y, {rank}))
+            want[i] = i
+    df = spark.createDataFrame(rows, "id long, class string, source_rank int, seen double, x double, y double")
+    assert {q["id"]: q["thing"] for q in fusion.fuse(df, 10.0).collect()} == want
+
+
+def test_change_points_against_a_plain_walk(spark):
+    r = random.Random(2)
+    rows = [(k, t, r.choice([None, float(r.randint(0, 9))])) for k in ("a", "b", None) for t in range(80)]
+    want = set()
+    for key in ("a", "b", None):
+        values, level = [v for k, _, v in rows if k == key], None
+        for i in range(80):
+            ahead = sorted(v for v in values[i : i + 3] if v is not None)
+            if not ahead:
+                continue
+            now = statistics.median(ahead)
+            if level is None:
+                level = now
+            elif abs(now - level) > 3:
+                want.add((key, i, now))
+                level = now
+    got = series.change_points(spark.createDataFrame(rows, "k string, t int, v double").repartition(5), "k", ["t"], "v", 3.0, 3)
+    assert {tuple(q) for q in got.collect()} == want
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from kerbline.operators import store
+
+    session = N(conf=N(get=lambda *_: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        store.shared_dir(session)
+
+
 def test_suite_statuses(spark):
     df = spark.createDataFrame([(1, 5), (2, -1)], "id long, v int")
     out = constraints.suite([constraints.Check("A", "a", constraints.where(df, "id", F.col("v") < 0)), constraints.Check("B", "b", constraints.where(df, "id", F.col("v") > 9)), constraints.Check("C", "c", constraints.where(df, "id", F.col("v") > 0), hard=False)])
