@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.operators import store
+
 #: A word of the corpus contracts, as a Java pattern: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,12 +18,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(there)
-    return f"{there.rstrip('/')}/kerbline/{spark.sparkContext.applicationId}"
+    """This application's part of the folder that driver and executors share."""
+    return f"{store.shared_dir(spark).rstrip('/')}/kerbline/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
