@@ -1,14 +1,18 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give the base spans, which stay. Other runs that look like numbers or addresses are candidates. Base spans and
-candidates of a document, in order, are the nodes of a field: neighbours form a chain, and nodes of one normal form (the last
-digits of a number, the local part of an address) are joined by skip links, each to the next of its form, so links grow as nodes.
-Base nodes hold their kind; loopy sum-product message passing carries it to the candidates, and a candidate whose
-probability of one kind reaches LEVEL becomes a span of that kind.
-
-Learning reads a bounded sample of documents, MOST_TRAIN at most by a hash of the id: a softmax over shape features is fitted
-in numpy to the base spans, against other runs; pair potentials are smoothed log ratios of label pairs over the chain and skip
-links. Scoring runs over every text. Only the small model is broadcast; nothing is shuffled.
+The patterns give the base spans, which stay. In the gaps between them, other runs that look like numbers or addresses are
+candidates. Base spans and candidates of a document, in order, are the nodes of a field: neighbours form a chain, and nodes of one
+normal form (the last digits of a number, the local part of an address) are joined by skip links, each to the next of its form, so
+links grow as nodes. Base nodes hold their kind; loopy sum-product message passing carries it to the candidates, and a candidate
+whose probability of one kind reaches LEVEL becomes a span of that kind. The field runs in every document that has a candidate.
+
+Learning reads a bounded sample of documents, MOST_TRAIN at most by a hash of the id, of texts up to MOST_CHARS long. Weights of
+shapes, of the chain and of the skip links are fitted together in numpy by pseudo-likelihood. Examples of a kind are the base spans
+and copies of them whose mark is hidden, as the patterns would miss them (an address with its at sign spelt out, a phone number
+without its country code, a card in dotted groups), once beside their original and once alone, and beside it also their digits in
+any groups. Examples of no entity are the
+candidates of the sample and drawn runs of digits; a candidate that shares the form of a base span is no example of either. Only
+the small model is broadcast; nothing is shuffled.
 
 Defined cases: null and empty texts have no spans; repeated rows and ids are scored one by one; without base spans in the sample
 no span is added; an empty table gives an empty result; extra columns are ignored.
@@ -17,22 +21,24 @@ no span is added; an empty table gives an empty result; extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TRAIN = 2000
-#: Probability from which a candidate becomes a span, rounds of messages, and the share of candidates that are taken to be no entity before any link speaks.
-LEVEL, ROUNDS, PRIOR = 0.5, 12, 0.97
-#: Strength of a skip link between two nodes of one form, where the sample holds too few pairs to tell.
-LEAST_SKIP = np.log(200.0)
+MOST_TRAIN, MOST_CHARS = 2000, 100_000
+#: Probability from which a candidate becomes a span, and rounds of messages.
+LEVEL, ROUNDS = 0.5, 12
+#: Drawn runs of digits for each base span, steps of the fit, and the weight of its penalty.
+DRAWN, STEPS, PENALTY = 2, 600, 1e-3
 
 # Leftmost starts only: a run that fails from its first character fails from each later one, so nothing is tried twice.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,7 +48,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 #: What may be an entity without matching a pattern: number-like runs, and words around an at sign or its spelt-out forms.
-_CANDIDATE = re.compile(r"\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}|[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9.-]{1,255}")
+_NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")
+_AT = re.compile(r"(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)(?=[A-Za-z0-9])")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _SIGNS = re.compile("[0-9@]")
 
 
@@ -88,17 +96,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that overlap no base span."""
-    taken = sorted((s, e) for _, s, e in base)
-    out, k = [], 0
-    for m in _CANDIDATE.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k == len(taken) or taken[k][0] >= m.end():
-            out.append(m.span())
+    """Runs in the gaps between base spans, in order; where an address and a number overlap, the address."""
+    out, low = [], 0
+    for start, end in [*sorted((s, e) for _, s, e in base), (len(text), len(text))]:
+        if start > low:
+            out += _in_gap(text, low, start)
+        low = max(low, end)
     return out
 
 
+def _in_gap(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    out, done = [], low
+    for at in _AT.finditer(text, low, high):
+        start = at.start()
+        while start > done and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        if start < at.start() and (host := _HOST.match(text, at.end(), high)):
+            out.append((start, host.end()))
+            done = host.end()
+    edges = [low, *[x for pair in out for x in pair], high]
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        out += [m.span() for m in _NUMBER.finditer(text, a, b)]
+    return sorted(out)
+
+
 def form(text: str) -> str:
     """The normal form that repeated or similar nodes share."""
     local = re.split(r"@|[\[(](?:at|AT)[\])]", text, maxsplit=1)
@@ -107,11 +128,47 @@ def form(text: str) -> str:
     return "n" + _NOT_DIGIT.sub("", text)[-7:]
 
 
-def shape(text: str) -> np.ndarray:
-    digits = len(_NOT_DIGIT.sub("", text))
-    at = re.search(r"@|[\[(](?:at|AT)[\])]", text) is not None
-    dots = text.count(".")
-    return np.array([1, at, text.startswith("+"), "(" in text, dots == 3, dots > 0, " " in text, "-" in text, digits < 9, 9 <= digits <= 12, 13 <= digits <= 19, digits > 19, luhn(_NOT_DIGIT.sub("", text) or "1"), "/" in text], dtype=float)
+def shape(text: str, glued: bool = False) -> np.ndarray:
+    """Features of a node's text; glued: a letter or digit touches it."""
+    digits = _NOT_DIGIT.sub("", text)
+    n, at = len(digits), re.search(r"@|[\[(](?:at|AT)[\])]", text) is not None
+    dots, long = text.count("."), 13 <= len(digits) <= 19
+    marks = [1, at, text.startswith("+"), "(" in text, dots == 3, dots > 0, " " in text, "-" in text, "/" in text, glued]
+    return np.array([*marks, n < 9, 9 <= n <= 12, long, n > 19, long and luhn(digits)], dtype=float)
+
+
+WIDTH = len(shape("0"))
+
+
+def hidden(kind: int, text: str) -> str | None:
+    """A span of a kind as the patterns would miss it; None where there is no such form."""
+    if kind == 0:
+        return text.replace("@", " [at] ")
+    if kind == 2:
+        digits = _NOT_DIGIT.sub("", text)
+        return ".".join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if kind == 3:
+        return re.sub(r"^\+[0-9]{1,3}(?:[\x20.-]|(?=\())", "", text).lstrip("+")
+    return None
+
+
+def grouped(digits: str, r: random.Random) -> str:
+    """The digits in one piece or in groups of any size, with one sign between."""
+    sign, out = r.choice(["", "", " ", "-", ".", "/"]), []
+    while digits:
+        k = r.randint(1, 5) if sign else len(digits)
+        out.append(digits[:k])
+        digits = digits[k:]
+    return sign.join(out)
+
+
+def drawn(r: random.Random) -> str:
+    """A run of digits that stands for nothing."""
+    return grouped("".join(r.choice("0123456789") for _ in range(r.randint(7, 20))), r)
+
+
+def _glued(text: str, start: int, end: int) -> bool:
+    return (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
 
 
 def _links(forms: list[str]) -> np.ndarray:
@@ -126,34 +183,24 @@ def _links(forms: list[str]) -> np.ndarray:
 
 
 class Model:
+    """Weights of shapes by label (0: no entity, then the kinds), of the chain by left and right label, and of skip links."""
+
     def __init__(self) -> None:
-        self.w = np.zeros((5, 14))
-        self.chain, self.skip = np.zeros((5, 5)), np.eye(5) * LEAST_SKIP
+        self.w, self.chain, self.skip = np.zeros((5, WIDTH)), np.zeros((5, 5)), np.zeros((5, 5))
         self.learnt = False
 
-    def unary(self, texts: list[str]) -> np.ndarray:
-        z = np.stack([shape(t) for t in texts]) @ self.w.T
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[:, 0] = 0  # the shape says which kind; whether it is one at all is left to the links
-        p[:, 1:] /= p[:, 1:].sum(axis=1, keepdims=True)
-        out = np.concatenate([np.full((len(texts), 1), PRIOR), (1 - PRIOR) * p[:, 1:]], axis=1)
-        return np.log(out + 1e-9)
-
-    def beliefs(self, unary: np.ndarray, forms: list[str]) -> np.ndarray:
+    def beliefs(self, unary: np.ndarray, forms: list[str], rounds: int = ROUNDS) -> np.ndarray:
         """Loopy sum-product: log messages over both directions of every link, damped by half."""
         n = len(unary)
         near = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
         skip = _links(forms)
         edges = np.concatenate([near, skip])
-        if not len(edges):
-            return np.exp(unary)
         kind = np.repeat([0, 1], [len(near), len(skip)])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         table = np.stack([self.chain, self.skip])
         potential = np.concatenate([table[kind], table[kind].transpose(0, 2, 1)])
         m, back = np.zeros((len(source), 5)), np.roll(np.arange(len(source)), len(edges))
-        for _ in range(ROUNDS):
+        for _ in range(rounds):
             total = unary.copy()
             np.add.at(total, target, m)
             into = total[source] - m[back]
@@ -170,11 +217,11 @@ class Model:
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans, and all spans."""
         base = base_spans(text)
-        if not base or not self.learnt or not (more := candidates(text, base)):
+        if not self.learnt or not (more := candidates(text, base)):
             return base, base
         nodes = sorted([(s, e, k + 1) for k, s, e in base] + [(s, e, 0) for s, e in more])
         said = [text[s:e] for s, e, _ in nodes]
-        unary = self.unary(said)
+        unary = np.stack([shape(text[s:e], _glued(text, s, e)) for s, e, _ in nodes]) @ self.w.T
         for i, (_, _, k) in enumerate(nodes):
             if k:
                 unary[i] = -50.0
@@ -184,56 +231,70 @@ class Model:
         return base, sorted([*base, *added])
 
 
+def _examples(text: str, r: random.Random) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(label, shape, labels to the left, to the right, over skip links) of each example of a text."""
+    base = base_spans(text)
+    nodes = sorted([(s, e, k + 1) for k, s, e in base] + [(s, e, 0) for s, e in candidates(text, base)])
+    said, known = [text[s:e] for s, e, _ in nodes], {form(text[s:e]) for _, s, e in base}
+    forms = [form(t) for t in said]
+    label = [k if k or f not in known else None for (_, _, k), f in zip(nodes, forms, strict=True)]
+    one, none = np.eye(5), np.zeros(5)
+    mark = [none if k is None else one[k] for k in label]
+    over = [none.copy() for _ in nodes]
+    for i, j in _links(forms):
+        over[i] += mark[j]
+        over[j] += mark[i]
+    left, right = [none, *mark[:-1]], [*mark[1:], none]
+    for i, (s, e, _) in enumerate(nodes):
+        if label[i] is not None:
+            yield label[i], shape(said[i], _glued(text, s, e)), left[i], right[i], over[i]
+    for i, k in enumerate(label):
+        if k and (copy := hidden(k - 1, said[i])):
+            yield k, shape(copy), mark[i], right[i], mark[i]
+            yield k, shape(copy), none, none, none
+        if k and k > 1:  # digits of a span, written in any way: the link alone tells
+            yield k, shape(grouped(_NOT_DIGIT.sub("", said[i]), r)), mark[i], right[i], mark[i]
+    for _ in range(DRAWN * len(base)):
+        x, i = shape(drawn(r)), r.randrange(len(nodes))
+        yield 0, x, mark[i], right[i], none
+        yield 0, x, none, none, one[0]
+
+
 def fit(texts: list[str]) -> Model:
-    model, x, y = Model(), [], []
-    near, skip = np.full((5, 5), 1.0), np.full((5, 5), 1.0)
-    for text in texts:
-        base = base_spans(text)
-        nodes = sorted([(s, e, k + 1) for k, s, e in base] + [(s, e, 0) for s, e in candidates(text, base)])
-        said, kinds = [text[s:e] for s, e, _ in nodes], [k for _, _, k in nodes]
-        x += [shape(t) for t in said]
-        y += kinds
-        for i, j in zip(kinds[:-1], kinds[1:], strict=True):
-            near[i, j] += 1
-        for i, j in _links([form(t) for t in said]):
-            skip[kinds[i], kinds[j]] += 1
-            skip[kinds[j], kinds[i]] += 1
-    if not any(y):
+    """The model by pseudo-likelihood: the label of each example given those of its neighbours, by gradient steps on all weights."""
+    model, r = Model(), random.Random(7)
+    found = [e for text in texts for e in _examples(text, r)]
+    if not any(e[0] for e in found):
         return model
-    x, y = np.stack(x), np.array(y)
-    gold = np.eye(5)[y]
-    for _ in range(300):
-        z = x @ model.w.T
+    gold = np.eye(5)[[e[0] for e in found]]
+    x, left, right, over = (np.stack([e[k] for e in found]) for k in range(1, 5))
+    for _ in range(STEPS):
+        z = x @ model.w.T + left @ model.chain + right @ model.chain.T + over @ model.skip
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        model.w -= 0.5 * ((p - gold).T @ x / len(x) + 1e-3 * model.w)
-
-    def ratio(counts: np.ndarray) -> np.ndarray:
-        q = counts / counts.sum()
-        return np.log(q / np.outer(q.sum(axis=1), q.sum(axis=0)))
-
-    # The chain says little of a corpus where entities are rare: its ratios are shrunk; a skip link binds at least as given.
-    model.chain = 0.1 * ratio(near + near.mean())
-    model.skip = np.eye(5) * np.maximum(np.diag(ratio(skip)), LEAST_SKIP)
-    model.skip[0, 0] = 0.0
+        off = (p / p.sum(axis=1, keepdims=True) - gold) / len(x)
+        skip = over.T @ off
+        model.w -= off.T @ x + PENALTY * model.w
+        model.chain -= left.T @ off + off.T @ right + PENALTY * model.chain
+        model.skip -= (skip + skip.T) / 2 + PENALTY * model.skip
     model.learnt = True
     return model
 
 
 def learn(docs: DataFrame) -> Model:
-    rows = common.hash_sample(docs.select("doc_id", "text").filter("text RLIKE '[0-9@]'"), "doc_id", MOST_TRAIN)
-    return fit([r["text"] for r in rows.orderBy("doc_id", "text").collect()])  # bounded by MOST_TRAIN
+    told = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= MOST_CHARS))
+    rows = common.hash_sample(told, "doc_id", MOST_TRAIN)
+    return fit([r["text"] for r in rows.orderBy("doc_id", "text").collect()])  # bounded by MOST_TRAIN and MOST_CHARS
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType()), T.StructField("n_added", T.LongType())])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: base counts and digest, and all spans."""
+    """One row per document: base counts and digest, and all spans with their number."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +305,9 @@ def report(docs: DataFrame) -> DataFrame:
                 counts = [0, 0, 0, 0]
                 for k, _, _ in base:
                     counts[k] += 1
-                out.append((*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans), len(spans) - len(base)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                out.append((*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(spans), len(spans), len(spans) - len(base)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=SCHEMA.names)
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)

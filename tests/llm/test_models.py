@@ -1,5 +1,6 @@
 """Kernels and models against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -61,12 +62,52 @@ def test_base_spans():
         assert pii.base_spans(t) == spans(t)
 
 
+def personal_texts(n):
+    """Texts that each say one or two personal data, plain numbers between."""
+    r = random.Random(5)
+    out = []
+    for _ in range(n):
+        said = [f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}", f"w{r.randint(1, 99)}.x@mail{r.randint(1, 9)}.example.com", "4425679706863800", ".".join(str(r.randint(1, 255)) for _ in range(4))]
+        out.append(f"word {r.choice(said)} and {r.randint(10**15, 10**16)} then, {r.choice(said)} end")
+    return out
+
+
 def test_skip_links_carry_labels():
-    model = pii.fit(["call +1 (988) 555-0546 or a.b@c.de", "card 4425679706863800 and 1.2.3.4"])
-    text = "call +1 (988) 555-0546 now. or (988) 555-0546, card 4425679706863800 and 4425.6797.0686.3800; x.34@mail7.example.com then x.34 [at] mail7.example.com; 2020-01-01 12000"
+    model = pii.fit(personal_texts(300))
+    text = "call +1 (988) 555-0546 now. or 988 555 0546, card 4425679706863800 and 4425.6797.0686.3800; x.34@mail7.example.com then x.34 [at] mail7.example.com; 2020-01-01 12000"
     base, every = model.spans(text)
     added = {text[s:e] for _, s, e in set(every) - set(base)}
-    assert added == {"(988) 555-0546", "4425.6797.0686.3800", "x.34 [at] mail7.example.com"}
+    assert added == {"988 555 0546", "4425.6797.0686.3800", "x.34 [at] mail7.example.com"}
+
+
+def test_the_field_finds_data_without_a_base_span():
+    model = pii.fit(personal_texts(300))
+    text = "john.2 [at] mail3.example.com or (988) 555-0546; 1234567890123456 and 2020-01-01 stay, 1234567890123456 twice"
+    base, every = model.spans(text)
+    assert not base
+    assert [(k, text[s:e]) for k, s, e in every] == [(0, "john.2 [at] mail3.example.com"), (3, "(988) 555-0546")]
+
+
+def test_candidates_lie_between_base_spans():
+    text = "988 555 0546 4425679706863800 988 555 0547"
+    base = pii.base_spans(text) or [(2, 13, 29)]
+    for s, e in pii.candidates(text, [(2, 13, 29)]):
+        assert e <= 13 or s >= 29
+    assert len(pii.candidates(text, [(2, 13, 29)])) == 2 and base
+
+
+def test_messages_give_exact_marginals_on_a_tree():
+    r = np.random.default_rng(3)
+    model = pii.Model()
+    model.chain = r.normal(size=(5, 5))
+    unary = r.normal(size=(4, 5))
+    exact = np.zeros((4, 5))
+    for y in itertools.product(range(5), repeat=4):
+        weight = np.exp(sum(unary[i, k] for i, k in enumerate(y)) + sum(model.chain[a, b] for a, b in zip(y[:-1], y[1:], strict=True)))
+        for i, k in enumerate(y):
+            exact[i, k] += weight
+    exact /= exact.sum(axis=1, keepdims=True)
+    assert np.allclose(model.beliefs(unary, ["a", "b", "c", "d"], rounds=60), exact, atol=1e-6)
 
 
 def test_wu_manber_finds_what_a_scan_finds():
