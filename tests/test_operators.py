@@ -4,8 +4,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.functions import profiles, shapes, tags
-from kerbline.operators import constraints, facets, filters, fusion, graph, matching, partition, series, spatial, temporal
+from kerbline.functions import outlines, profiles, shapes, tags
+from kerbline.operators import constraints, facets, filters, fusion, graph, matching, nodes, partition, series, spatial, temporal
 
 
 def one(spark, column):
@@ -233,3 +233,35 @@ def test_suite_statuses(spark):
 def test_upper_median(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int")
     assert df.agg(facets.upper_median("v").alias("m")).first()["m"] == 3
+
+
+def test_colours_differ_between_neighbours(spark):
+    links = [(a, b) for a in range(40) for b in range(a + 1, 40) if (a * b) % 7 == 1] + [(3, 3), (5, 6), (6, 5)]
+    got = {r["id"]: r["colour"] for r in nodes.colours(spark.range(40), spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got) == set(range(40))
+    for a, b in links:
+        assert a == b or got[a] != got[b]
+    for k, c in got.items():
+        beside = {got[b] for a, b in links if a == k and b != k} | {got[a] for a, b in links if b == k and a != k}
+        assert set(range(c)) <= beside  # the least that is free
+
+
+def test_lines_of_odd_kinds(spark):
+    rows = [(1, [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]), (2, [(0.0, 0.0), (0.0, 0.0)]), (3, [(5.0, 5.0)]), (4, []), (5, None)]
+    d = spark.createDataFrame(rows, "id int, line array<struct<x: double, y: double>>")
+    made = d.select("id", "line", outlines.from_wkb(outlines.wkb(F.col("line"))).alias("w"), outlines.simplified(F.col("line"), 0.1).alias("s"), outlines.parallel(F.col("line"), F.lit(1.0)).alias("p"))
+    got = {r["id"]: r for r in made.collect()}
+    for k in range(1, 6):
+        assert got[k]["w"] == got[k]["line"]
+    assert [tuple(p) for p in got[1]["p"]] == [(0.0, 1.0), (1.0, 1.0), (0.0, -1.0)]
+    assert len(got[1]["s"]) == 3 and got[3]["p"] == got[3]["line"]
+    texts = spark.createDataFrame([("LINESTRING (1 2, 3 4)", 2), ("LINESTRING (1 2, x 4)", None), ("LINESTRING (1)", None), ("", None), (None, None)], "t string, n int")
+    for r in texts.select("n", outlines.tried_wkt(F.col("t")).alias("p")).collect():
+        assert (r["p"] is None) == (r["n"] is None)
+
+
+def test_way_through_a_box(spark):
+    rows = [((0.0, 0.0), (4.0, 4.0), True), ((0.0, 0.0), (1.0, 1.0), False), ((2.0, -1.0), (2.0, 9.0), True), ((1.0, -1.0), (1.0, 9.0), False), ((0.0, 3.0), (0.5, 9.0), False), ((2.0, 2.0), (2.0, 2.0), True)]
+    d = spark.createDataFrame([([a, b], w) for a, b, w in rows], "way array<struct<x: double, y: double>>, want boolean")
+    for r in d.select("want", outlines.crosses_box(F.col("way"), *map(F.lit, (1.0, 1.0, 3.0, 3.0))).alias("got")).collect():
+        assert r["got"] == r["want"]
