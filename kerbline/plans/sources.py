@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.functions import shapes as g
+from kerbline.operators import corrections
 from kerbline.operators.store import shared_dir
 from kerbline.plans.geometry import BOX, rings
 from kerbline.plans.joins import PART_POINT, columns
@@ -112,3 +113,78 @@ def replaced(spark, sf):
 def wkt_line(spark, sf):
     back = rings(spark, sf).select("id", g.from_wkt(g.wkt(F.slice("ring", 1, 3))).alias("p"))
     return back.select("id", g.end(F.col("p"))["x"].alias("ex"), g.end(F.col("p"))["y"].alias("ey"))
+
+
+@query("src02_snapshot", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def snapshot(spark, sf):
+    path = place(spark, "source")
+    writers.replace(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), path)
+    kept = writers.snapshot(spark.read.schema("id int, name string").parquet(path), place(spark, "snapshot"))
+    writers.replace(kept.select("id", F.lit("changed").alias("name")), path)
+    return kept
+
+
+@query("src07_bound_shape", f"{BOX} SELECT id FROM b WHERE x0 >= 100 AND x1 <= 400 AND y0 >= 50 AND y1 <= 700")
+def bound_shape(spark, sf):
+    # A box handed over as a GeoJSON parameter of the statement.
+    rings(spark, sf).createOrReplaceTempView("bound_shape_boxes")
+    given = '{"type": "LineString", "coordinates": [[100, 50], [400, 50], [400, 700], [100, 700], [100, 50]]}'
+    box = spark.sql("SELECT from_json(:shape, 'struct<coordinates: array<array<double>>>').coordinates AS c", args={"shape": given}).select(g.box(F.transform("c", lambda p: g.point(p[0], p[1]))).alias("b")).select("b.*").first()
+    sql = "SELECT id FROM bound_shape_boxes WHERE x0 >= :x0 AND x1 <= :x1 AND y0 >= :y0 AND y1 <= :y1"
+    return spark.sql(sql, args=box.asDict())
+
+
+@query("src08_members", "SELECT o_custkey AS grp, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS k, o_orderkey AS member FROM orders")
+def members(spark, sf):
+    path = place(spark, "groups")
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("grp")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("of"))
+    writers.replace(o, path)
+    return readers.members(spark.read.schema(o.schema).parquet(path), "grp", "of").withColumn("k", F.col("k").cast("long"))
+
+
+@query("src13_lane_overrides", "SELECT s_suppkey AS key, CAST((1 + s_suppkey % 3) * CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS lanes FROM supplier WHERE s_suppkey % 4 = 1")
+def lane_overrides(spark, sf):
+    s = table(spark, sf, "supplier")
+    ways = s.select(F.col("s_suppkey").alias("key"), (F.col("s_nationkey") % 2 == 0).alias("oneway"))
+    given = s.filter("s_suppkey % 4 = 1").select(F.col("s_suppkey").alias("key"), (1 + F.col("s_suppkey") % 3).alias("per_direction"))
+    return corrections.doubled(given, ways)
+
+
+@query("src14_corrections", "SELECT s_suppkey AS way, CASE WHEN s_suppkey % 5 = 0 THEN 'corrected' ELSE s_name END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 7 ELSE s_nationkey END AS lanes, CASE WHEN s_suppkey % 5 = 0 THEN 'lanes,name' ELSE '' END AS of, CASE WHEN s_suppkey % 5 = 0 THEN 'seen on site' END AS note FROM supplier")
+def hand_corrections(spark, sf):
+    path = place(spark, "corrections")
+    s = table(spark, sf, "supplier")
+    given = s.filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("key"), F.lit("seen on site").alias("note"), F.create_map(F.lit("name"), F.lit("corrected"), F.lit("lanes"), F.lit("7")).alias("set"))
+    given.write.json(path)
+    ways = s.select(F.col("s_suppkey").alias("way"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("lanes"))
+    c = corrections.corrected(ways, "way", ["name", "lanes"], readers.correction_documents(spark, path))
+    return c.select("way", "name", "lanes", F.array_join("corrected_fields", ",").alias("of"), "note")
+
+
+@query("fun_lanes_per_direction", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_returnflag = 'A' THEN l_linenumber ELSE CASE WHEN l_returnflag = 'R' THEN 1 ELSE l_linenumber - l_linenumber // 2 END END AS BIGINT) AS along, CAST(CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber // 2 END AS BIGINT) AS against FROM lineitem")
+def lanes_per_direction(spark, sf):
+    l = table(spark, sf, "lineitem")
+    along, against = corrections.per_direction(F.col("l_linenumber"), F.when(F.col("l_returnflag") == "R", 1), F.lit(None).cast("int"), F.col("l_returnflag") == "A")
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", along.alias("along"), against.alias("against"))
+
+
+@query("snk04_described", "SELECT 'crs' AS key, 'EPSG:32610' AS value, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'version', '3', count(*) FROM nation")
+def described(spark, sf):
+    path = place(spark, "described")
+    writers.described(table(spark, sf, "nation"), path, {"version": "3", "crs": "EPSG:32610"})
+    back = spark.read.parquet(path)
+    about = spark.createDataFrame(sorted(writers.about(back).items()), "key string, value string")
+    return about.join(F.broadcast(back.agg(F.count("*").alias("n"))))  # one row
+
+
+@query("snk08_cross_sections", "WITH s AS (SELECT l_orderkey AS section, l_linenumber AS t, l_returnflag AS kind, min(l_quantity) AS width FROM lineitem GROUP BY 1, 2, 3), c AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY t, kind, width) - row_number() OVER (PARTITION BY section, kind ORDER BY t, width) AS run FROM s) SELECT section, CAST(count(DISTINCT (kind, run)) AS BIGINT) AS n, CAST(sum(width) AS DOUBLE) AS width FROM c GROUP BY 1")
+def cross_sections(spark, sf):
+    s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("section"), F.col("l_linenumber").alias("t"), F.col("l_returnflag").alias("kind")).agg(F.min("l_quantity").alias("width"))
+    read = writers.cross_sections(s, "section").select("section", F.from_json("value", "struct<strips: array<struct<kind: string, width: double>>>")["strips"].alias("s"))
+    return read.select("section", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0.0), lambda n, x: n + x["width"]).alias("width"))
+
+
+@query("snk09_manifest", "SELECT 'nation.parquet' AS name, true AS told UNION ALL SELECT 'region.parquet', true")
+def manifest(spark, sf):
+    m = readers.manifest(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"])
+    return m.select("name", ((F.col("bytes") > 0) & F.col("modified").isNotNull()).alias("told"))

@@ -49,3 +49,20 @@ def clipped(tables: dict[str, DataFrame], first: str, keep: DataFrame, links: li
     for name, key, parent, parent_key in links:
         out[name] = out[name].join(out[parent].select(F.col(parent_key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_semi")
     return out
+
+
+def correction_documents(spark: SparkSession, path: str) -> DataFrame:
+    """key, field, value, note of JSON lines {"key": ..., "note": ..., "set": {field: value}}."""
+    read = spark.read.schema("key long, note string, set map<string, string>").json(path)
+    return read.select("key", F.explode("set").alias("field", "value"), "note")
+
+
+def members(df: DataFrame, group: str, of: str) -> DataFrame:
+    """group, k, member: one row for each member of the groups' lists, in their order; empty lists have none."""
+    return df.select(group, F.posexplode(of).alias("k", "member"))
+
+
+def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """name, bytes, modified of every file that a build reads; listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,3 +29,35 @@ def documents(df: DataFrame, path: str) -> None:
 def replace(df: DataFrame, path: str) -> None:
     """A table as it is after this run, in place of that of the run before."""
     df.write.mode("overwrite").parquet(path)
+
+
+def described(df: DataFrame, path: str, about: dict[str, str]) -> None:
+    """A Parquet table whose schema carries key-value metadata (versions, reference system) in its first column's field."""
+    first = df.columns[0]
+    df.withMetadata(first, {"about": about}).write.mode("overwrite").parquet(path)
+
+
+def about(df: DataFrame) -> dict[str, str]:
+    """The metadata that described() gave a table read from its files."""
+    return df.schema.fields[0].metadata.get("about", {})
+
+
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """The table as it is now, stored; readers of the result do not see later changes of the source."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cross_sections(strips: DataFrame, section: str) -> DataFrame:
+    """section, value: the strips (t: offset from the left, kind, width) of each section as a JSON document, left to right; neighbours
+    of one kind are one strip."""
+    strip = F.array_sort(F.collect_list(F.struct("t", "kind", "width")))
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["kind"].alias("kind"), (last["width"] + s["width"]).alias("width"))))
+        return F.when(last["kind"] == s["kind"], joined).otherwise(F.concat(done, F.array(F.struct(s["kind"].alias("kind"), s["width"].alias("width")))))
+
+    none = F.array().cast("array<struct<kind: string, width: double>>")
+    whole = strips.select(section, "t", F.col("kind").cast("string").alias("kind"), F.col("width").cast("double").alias("width")).groupBy(section).agg(strip.alias("_s"))
+    return whole.select(section, F.to_json(F.struct(F.aggregate("_s", none, step).alias("strips"))).alias("value"))
