@@ -1,38 +1,40 @@
 """Training-order materialisation of token ids into fixed-stride shards.
 
-Every document's ids, END last, are cut into sequences of LENGTH. A first pass over the texts' byte lengths gives every document a
-range of sequence numbers that is long enough (no text has more ids than bytes). A keyed Feistel network, walked until it falls
-inside, permutes all numbers: the result is a sequence's global slot. Slots are dealt by ranges of SHARD_SLOTS; a task sorts its
-ranges and writes each as one shard: records of one stride, in slot order, without gaps. A shard is written under a name of the
-attempt and then renamed, so a repeated task replaces it by the same bytes. Reading goes shard by shard, and record by record
-from any place: a record's dense position is the number of records in earlier shards plus its own.
-
-The texts are tokenized once and their ids shuffled once. The two passes must see one partitioning of the input, as file scans
-give; a task that finds other counts than the first pass fails rather than write wrong slots.
-
-Defined cases: null and empty texts have END alone; rows without an id are written with the least long; repeated rows have slots
-of their own; an empty table writes no shard; extra columns are ignored.
+The texts are tokenized once. The ids of an input partition's documents, END after each, run on and are cut into sequences of LENGTH,
+so only a partition's last sequence can be shorter; they are stored, and counted in the stored table. With the exact count, a keyed
+Feistel network, walked until it falls inside, permutes the sequence numbers: the result is a sequence's global slot, 0 to count - 1
+without gaps. Sequences are dealt by ranges of slots; a task sorts its range and writes it as shards of SHARD_SLOTS records of one
+stride, so slot s is record s % SHARD_SLOTS of shard s DIV SHARD_SLOTS. A shard is written under a name of the attempt and then
+renamed, so a repeated task replaces it by the same bytes; what an attempt that failed left behind starts with a dot and is never
+read. The manifest, written last, says that the shards are whole, and how to read them: a reader seeks any slot and goes on from
+there. A record names the document its first id is from, and how many ids of that document come before; END parts the rest.
+
+Defined cases: null and empty texts have END alone; rows without an id are written with the least long; repeated rows have ids of
+their own; an empty table has a manifest and no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import common, tokens
 
 LENGTH, SHARD_SLOTS, KEY = 256, 16_384, 0x5EED_0F_70_4E45
 END = 50_256
-HEADER = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq_no", "<u4"), ("n", "<u4")])
-RECORD = np.dtype([*[(n, HEADER[n]) for n in HEADER.names], ("ids", "<u2", (LENGTH,))])
+#: Tasks that write, at most; beyond, a task writes several shards.
+MOST_TASKS = 100_000
+RECORD = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("n", "<u4"), ("ids", "<u2", (LENGTH,))])
 NO_ID = -(1 << 63)
+MANIFEST = "manifest.json"
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -58,75 +60,68 @@ def permuted(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _most(size: np.ndarray) -> np.ndarray:
-    """Sequences that a text of so many bytes may need."""
-    return (size + 1 + LENGTH - 1) // LENGTH
-
-
-def _bytes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def sequences(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+    """part, k, doc_id, at, ids (little-endian 16-bit numbers): the k-th sequence of an input partition, the document that its first
+    id is from, and that document's ids before."""
+    width = 2 * LENGTH
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end, part = tokens.ids(*vocabulary), np.array([END], "<u2").tobytes(), TaskContext.get().partitionId()
+        done: list[tuple[int, int, bytes]] = []
+        rest, rest_doc, rest_at, k = b"", NO_ID, 0, 0
 
-def _ranges(docs: DataFrame) -> tuple[dict[int, tuple[int, int]], int]:
-    """First number and count of each partition of the input, and the count of all."""
+        def out() -> pa.RecordBatch:
+            doc, at, ids = zip(*done, strict=True)
+            n = len(done)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(k, k + n)), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["part", "k", "doc_id", "at", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(_most(_bytes(b.column(1))).sum()) for b in batches)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                doc, whole, p = NO_ID if i is None else i, np.frombuffer(enc.of(x.as_py() or ""), "<u4").astype("<u2").tobytes() + end, 0
+                if rest:
+                    p = width - len(rest)
+                    rest += whole[:p]
+                    if len(rest) < width:
+                        continue
+                    done.append((rest_doc, rest_at, rest))
+                last = p + (len(whole) - p) // width * width
+                done += [(doc, q // 2, whole[q : q + width]) for q in range(p, last, width)]
+                rest, rest_doc, rest_at = whole[last:], doc, last // 2
+                if len(done) > 8192:
+                    yield out()
+                    k, done = k + len(done), []
+        if rest:
+            done.append((rest_doc, rest_at, rest))
+        if done:
+            yield out()
 
-    out, total = {}, 0
-    for r in docs.mapInArrow(run, "part int, n long").orderBy("part").collect():  # one row per partition
-        out[r["part"]] = (total, r["n"])
-        total += r["n"]
-    return out, total
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "part int, k long, doc_id long, at long, ids binary")
 
 
-def sequences(docs: DataFrame, vocabulary: tuple[str, str], key: int = KEY) -> DataFrame:
-    """slot, doc_id, seq_no, ids (little-endian 16-bit numbers)."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    ranges, total = _ranges(docs)
+def slotted(made: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
+    """The stored sequences with their global slots, and their number."""
+    counts = made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").toPandas()  # one row per input partition
+    parts, total = counts["part"].to_numpy(), int(counts["n"].sum())
+    first = made.sparkSession.sparkContext.broadcast((parts, np.cumsum(counts["n"].to_numpy()) - counts["n"].to_numpy()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.ids(*vocabulary), np.array([END], "<u2").tobytes()
-        number, count = ranges.get(TaskContext.get().partitionId(), (0, 0))
-        last = number + count
-        for b in batches:
-            firsts = _most(_bytes(b.column(1)))
-            doc, seq, numbers, ids, size = [], [], [], [], 0
-
-            def out() -> pa.RecordBatch:
-                slots = permuted(np.array(numbers, np.int64), total, key)
-                return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "doc_id", "seq_no", "ids"])
-
-            for i, x, most in zip(b.column(0).to_pylist(), b.column(1), firsts.tolist(), strict=True):
-                whole = np.frombuffer(enc.of(x.as_py() or ""), "<u4").astype("<u2").tobytes() + end
-                for k in range(0, len(whole), 2 * LENGTH):
-                    doc.append(NO_ID if i is None else i)
-                    seq.append(k // (2 * LENGTH))
-                    numbers.append(number + k // (2 * LENGTH))
-                    ids.append(whole[k : k + 2 * LENGTH])
-                number += most
-                size += len(whole)
-                if size > 4 << 20:
-                    yield out()
-                    doc, seq, numbers, ids, size = [], [], [], [], 0
-            if doc:
-                yield out()
-        if number != last:
-            raise RuntimeError("the input's partitions changed between the two passes")
+    @F.pandas_udf("long")
+    def slot(part: pd.Series, k: pd.Series) -> pd.Series:
+        of, base = first.value
+        return pd.Series(permuted(base[np.searchsorted(of, part.to_numpy())] + k.to_numpy(), total, key))
 
-    return docs.mapInArrow(run, "slot long, doc_id long, seq_no int, ids binary")
+    return made.withColumn("slot", slot("part", "k")), total
 
 
 def _name(shard: int) -> str:
     return f"shard-{shard:09d}.bin"
 
 
-def write(made: DataFrame, to: str) -> DataFrame:
-    """Writes the shards into the folder, a URI that all machines reach; returns shard, records."""
-    dealt = made.withColumn("shard", F.expr(f"slot DIV {SHARD_SLOTS}")).repartition("shard").sortWithinPartitions("shard", "slot")
+def write(made: DataFrame, total: int, to: str, key: int = KEY) -> dict:
+    """Writes the shards of slots 0 to total - 1 into the folder, a URI that all machines reach, then the manifest, which is returned."""
+    from pyarrow import fs
+
+    shards = -(-total // SHARD_SLOTS)
+    each = max(1, -(-shards // MOST_TASKS))  # shards of one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -137,57 +132,86 @@ def write(made: DataFrame, to: str) -> DataFrame:
         temporary, n = "", 0
 
         def done() -> pa.RecordBatch:
+            if n != min(SHARD_SLOTS, total - at * SHARD_SLOTS):
+                raise RuntimeError(f"shard {at} has {n} records")
             sink.close()
             store.move(temporary, f"{root}/{_name(at)}")
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n], pa.int64())], names=["shard", "records"])
 
         for b in batches:
-            shards = b.column(4).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)] if len(shards) else []
+            shard = b.column(0).to_numpy() // SHARD_SLOTS
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if shards[s] != at:
+                if shard[s] != at:
                     if sink is not None:
                         yield done()
-                    at, n, temporary = int(shards[s]), 0, f"{root}/.{uuid.uuid4().hex}"
+                    at, n, temporary = int(shard[s]), 0, f"{root}/.{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary)
                 own = b.slice(s, e - s)
                 records = np.zeros(e - s, RECORD)
-                records["slot"], records["doc_id"], records["seq_no"] = own.column(0), own.column(1), own.column(2)
-                payload = own.column(3).to_pylist()
-                records["n"] = [len(x) // 2 for x in payload]
-                width = 2 * LENGTH
-                records["ids"] = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in payload), "<u2").reshape(-1, LENGTH)
+                records["doc_id"], records["at"] = own.column(1), own.column(2)
+                ids = own.column(3).to_pylist()
+                records["n"] = [len(x) // 2 for x in ids]
+                records["ids"] = np.frombuffer(b"".join(x.ljust(2 * LENGTH, b"\0") for x in ids), "<u2").reshape(-1, LENGTH)
                 sink.write(records.tobytes())
                 n += e - s
         if sink is not None:
             yield done()
 
-    return common.stored(dealt.select("slot", "doc_id", "seq_no", "ids", "shard").mapInArrow(run, "shard long, records long"))
+    dealt = made.select("slot", "doc_id", "at", "ids").repartitionById(max(1, -(-shards // each)), F.expr(f"CAST(slot DIV {SHARD_SLOTS * each} AS INT)")).sortWithinPartitions("slot")
+    wrote = common.stored(dealt.mapInArrow(run, "shard long, records long")).agg(F.countDistinct("shard"), F.sum("records")).first()
+    if (wrote[0], wrote[1] or 0) != (shards, total):
+        raise RuntimeError(f"{wrote[0]} of {shards} shards and {wrote[1]} of {total} records were written")
+    told = {"records": total, "shards": shards, "shard_slots": SHARD_SLOTS, "length": LENGTH, "stride": RECORD.itemsize, "end": END, "key": key}
+    store, root = fs.FileSystem.from_uri(to)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        f.write(json.dumps(told).encode())
+    return told
+
 
+def manifest(at: str) -> dict:
+    from pyarrow import fs
 
-def read(shards: DataFrame, at: str) -> DataFrame:
-    """One row per record, read from the shards in order: position, slot, shard, doc_id, seq_no, n_tokens, ids_crc32."""
-    based = shards.withColumn("base", F.sum("records").over(Window.orderBy("shard")) - F.col("records"))  # one row per shard
+    store, root = fs.FileSystem.from_uri(at)
+    with store.open_input_stream(f"{root}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def read(spark: SparkSession, at: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """slot, shard, doc_id, at, n_tokens, ids of the records from slot start up to end; each task seeks its place in one shard."""
+    told = manifest(at)
+    stop, slots = min(told["records"] if end is None else end, told["records"]), told["shard_slots"]
+    first, last = start // slots, -(-stop // slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(at)
         for b in batches:
-            for shard, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with store.open_input_stream(f"{root}/{_name(shard)}") as source:
-                    while part := source.read(8192 * RECORD.itemsize):
-                        r = np.frombuffer(part, RECORD)
-                        crc = [zlib.crc32(x[:n].tobytes()) for x, n in zip(r["ids"], r["n"].tolist(), strict=True)]
-                        ids = pa.array(r["doc_id"], mask=r["doc_id"] == NO_ID)
-                        yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(len(r))), pa.array(np.ascontiguousarray(r["slot"])), pa.array(np.full(len(r), shard, np.int64)), ids, pa.array(r["seq_no"].astype(np.int32)), pa.array(r["n"].astype(np.int32)), pa.array(crc, pa.int64())], names=["position", "slot", "shard", "doc_id", "seq_no", "n_tokens", "ids_crc32"])
-                        base += len(r)
+            for shard in b.column(0).to_pylist():
+                slot, until = max(start, shard * slots), min(stop, (shard + 1) * slots)
+                with store.open_input_file(f"{root}/{_name(shard)}") as source:
+                    source.seek((slot - shard * slots) * RECORD.itemsize)
+                    while slot < until:
+                        r = np.frombuffer(source.read(min(8192, until - slot) * RECORD.itemsize), RECORD)
+                        ids = pa.array([x[:n].tobytes() for x, n in zip(r["ids"], r["n"].tolist(), strict=True)], pa.binary())
+                        doc = pa.array(r["doc_id"], mask=r["doc_id"] == NO_ID)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slot, slot + len(r))), pa.array(np.full(len(r), shard, np.int64)), doc, pa.array(r["at"]), pa.array(r["n"].astype(np.int32)), ids], names=["slot", "shard", "doc_id", "at", "n_tokens", "ids"])
+                        slot += len(r)
+
+    tasks = max(1, min(last - first, MOST_TASKS))
+    return spark.range(first, max(first, last), 1, tasks).mapInArrow(run, "slot long, shard long, doc_id long, at long, n_tokens int, ids binary")
+
 
-    return based.select("shard", "base").repartition("shard").mapInArrow(run, "position long, slot long, shard long, doc_id long, seq_no int, n_tokens int, ids_crc32 long")
+def materialise(docs: DataFrame, vocabulary: tuple[str, str], to: str, key: int = KEY) -> dict:
+    made, total = slotted(common.stored(sequences(docs, vocabulary)), key)
+    return write(made, total, to, key)
 
 
 def report(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
-    """Writes the shards into the shared folder and reads them back."""
+    """Writes the shards into the shared folder and reads them back: one row per record, with the CRC-32 of its ids."""
     spark: SparkSession = docs.sparkSession
     to = f"{common.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    return read(write(sequences(docs, vocabulary), to), to)
+    materialise(docs, vocabulary, to)
+    return read(spark, to).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kerbline.llm import chat_format, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, simhash, token_shards, toxicity
 from kerbline.llm.queries import vocabulary
@@ -90,9 +92,26 @@ def test_packing(odd_docs, no_docs):
     assert max(size.values()) <= 1024
 
 
-def test_shards(odd_docs, no_docs):
-    rows = token_shards.report(odd_docs, vocabulary()).collect()
-    assert sorted(r["position"] for r in rows) == list(range(len(rows)))
+def test_shards(spark, odd_docs, no_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_shards, "SHARD_SLOTS", 40)
+    plain = Tokenizer.from_file(vocabulary()[0])
+    docs = odd_docs.repartition(3).persist()
+    streams = []
+    for part in docs.select("doc_id", "text").rdd.glom().collect():
+        ids = [(r["doc_id"], k, t) for r in part for k, t in enumerate([*plain.encode(r["text"] or "", add_special_tokens=False).ids, token_shards.END])]
+        streams += [ids[k : k + token_shards.LENGTH] for k in range(0, len(ids), token_shards.LENGTH)]
+    to = f"file://{tmp_path}/shards"
+    told = token_shards.materialise(docs, vocabulary(), to)
+    assert told["records"] == len(streams) and told["shards"] == -(-len(streams) // 40) > 2
+    rows = {r["slot"]: r for r in token_shards.read(spark, to).collect()}
+    assert sorted(rows) == list(range(len(streams)))
+    for number, slot in enumerate(token_shards.permuted(np.arange(len(streams)), len(streams)).tolist()):
+        r, want = rows[slot], streams[number]
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [t for _, _, t in want]
+        assert (r["doc_id"], r["at"], r["n_tokens"], r["shard"]) == (*want[0][:2], len(want), slot // 40)
+    # A reader goes on from any slot.
+    part = token_shards.read(spark, to, 30, 95).collect()
+    assert sorted(r["slot"] for r in part) == list(range(30, 95)) and all(r == rows[r["slot"]] for r in part)
     assert token_shards.report(no_docs, vocabulary()).count() == 0
 
 
