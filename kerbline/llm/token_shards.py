@@ -1,13 +1,16 @@
-"""Training-order materialisation of token ids into fixed-stride shards.
+"""Training-order materialisation of token ids into shards of fixed stride.
 
-The texts are tokenized once. The ids of an input partition's documents, END after each, run on and are cut into sequences of LENGTH,
-so only a partition's last sequence can be shorter; they are stored, and counted in the stored table. With the exact count, a keyed
-Feistel network, walked until it falls inside, permutes the sequence numbers: the result is a sequence's global slot, 0 to count - 1
-without gaps. Sequences are dealt by ranges of slots; a task sorts its range and writes it as shards of SHARD_SLOTS records of one
-stride, so slot s is record s % SHARD_SLOTS of shard s DIV SHARD_SLOTS. A shard is written under a name of the attempt and then
+The ids of an input partition's documents, END after each, run on and are cut into sequences of LENGTH, so only a partition's last
+sequence can be shorter. A first pass over the texts' byte lengths gives every partition a range of numbers that is long enough (no
+text has more ids than bytes). A keyed Feistel network, walked until it falls inside, permutes all numbers, used or not: this is the
+training order, and a sequence's global slot is its rank in it, without gaps. Sequences are dealt by ranges of that order; a task
+sorts its range and writes it as one shard of records of one stride. A shard is written under a name of the attempt and then
 renamed, so a repeated task replaces it by the same bytes; what an attempt that failed left behind starts with a dot and is never
-read. The manifest, written last, says that the shards are whole, and how to read them: a reader seeks any slot and goes on from
-there. A record names the document its first id is from, and how many ids of that document come before; END parts the rest.
+read. The manifest, written last, says that the shards are whole and at which slot each begins: a reader seeks any slot and goes on
+from there. A record names the document its first id is from, and how many ids of that document come before; END parts the rest.
+
+The texts are tokenized once and their ids shuffled once. The two passes must see one partitioning of the input, as file scans
+give; a task whose range is too short fails rather than write wrong slots.
 
 Defined cases: null and empty texts have END alone; rows without an id are written with the least long; repeated rows have ids of
 their own; an empty table has a manifest and no shard; extra columns are ignored.
@@ -20,18 +23,19 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm import common, tokens
 
-LENGTH, SHARD_SLOTS, KEY = 256, 16_384, 0x5EED_0F_70_4E45
+LENGTH, KEY = 256, 0x5EED_0F_70_4E45
 END = 50_256
-#: Tasks that write, at most; beyond, a task writes several shards.
-MOST_TASKS = 100_000
+#: Numbers of a shard at least (about half of them are used), and shards at most; beyond, a shard has more numbers.
+SPAN, MOST_SHARDS = 32_768, 1_000_000
 RECORD = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("n", "<u4"), ("ids", "<u2", (LENGTH,))])
 NO_ID = -(1 << 63)
 MANIFEST = "manifest.json"
@@ -60,20 +64,39 @@ def permuted(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
-    """part, k, doc_id, at, ids (little-endian 16-bit numbers): the k-th sequence of an input partition, the document that its first
-    id is from, and that document's ids before."""
+def _ranges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each input partition's least and last number, and the count of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = sum(int(pc.sum(pc.add(pc.fill_null(pc.binary_length(b.column(0)), 0), 1)).as_py() or 0) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-size // LENGTH)], pa.int64())], names=["part", "n"])
+
+    told = docs.select("text").mapInArrow(run, "part int, n long").toPandas()  # one row per input partition
+    most = np.zeros(int(told["part"].max()) + 1 if len(told) else 0, np.int64)
+    most[told["part"]] = told["n"]
+    last = np.cumsum(most)
+    return last - most, last, int(most.sum())
+
+
+def sequences(docs: DataFrame, vocabulary: tuple[str, str], key: int = KEY) -> tuple[DataFrame, int]:
+    """place (in the training order), doc_id, at, ids (little-endian 16-bit numbers): a sequence, the document that its first id is
+    from, and that document's ids before; and the number of places."""
+    first, last, total = _ranges(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((first, last))
     width = 2 * LENGTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part = tokens.ids(*vocabulary), np.array([END], "<u2").tobytes(), TaskContext.get().partitionId()
+        number, until = (int(x[part]) if part < len(x) else 0 for x in shared.value)
         done: list[tuple[int, int, bytes]] = []
-        rest, rest_doc, rest_at, k = b"", NO_ID, 0, 0
+        rest, rest_doc, rest_at = b"", NO_ID, 0
 
         def out() -> pa.RecordBatch:
             doc, at, ids = zip(*done, strict=True)
-            n = len(done)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(k, k + n)), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["part", "k", "doc_id", "at", "ids"])
+            if number + len(done) > until:
+                raise RuntimeError("the input's partitions changed between the two passes")
+            place = permuted(np.arange(number, number + len(done)), total, key)
+            return pa.RecordBatch.from_arrays([pa.array(place), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["place", "doc_id", "at", "ids"])
 
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -89,57 +112,36 @@ def sequences(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
                 rest, rest_doc, rest_at = whole[last:], doc, last // 2
                 if len(done) > 8192:
                     yield out()
-                    k, done = k + len(done), []
+                    number, done = number + len(done), []
         if rest:
             done.append((rest_doc, rest_at, rest))
         if done:
             yield out()
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "part int, k long, doc_id long, at long, ids binary")
-
-
-def slotted(made: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """The stored sequences with their global slots, and their number."""
-    counts = made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").toPandas()  # one row per input partition
-    parts, total = counts["part"].to_numpy(), int(counts["n"].sum())
-    first = made.sparkSession.sparkContext.broadcast((parts, np.cumsum(counts["n"].to_numpy()) - counts["n"].to_numpy()))
-
-    @F.pandas_udf("long")
-    def slot(part: pd.Series, k: pd.Series) -> pd.Series:
-        of, base = first.value
-        return pd.Series(permuted(base[np.searchsorted(of, part.to_numpy())] + k.to_numpy(), total, key))
-
-    return made.withColumn("slot", slot("part", "k")), total
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "place long, doc_id long, at long, ids binary"), total
 
 
 def _name(shard: int) -> str:
     return f"shard-{shard:09d}.bin"
 
 
-def write(made: DataFrame, total: int, to: str, key: int = KEY) -> dict:
-    """Writes the shards of slots 0 to total - 1 into the folder, a URI that all machines reach, then the manifest, which is returned."""
-    from pyarrow import fs
-
-    shards = -(-total // SHARD_SLOTS)
-    each = max(1, -(-shards // MOST_TASKS))  # shards of one task
+def write(made: DataFrame, places: int, to: str, key: int = KEY) -> dict:
+    """Writes the shards into the folder, a URI that all machines reach, then the manifest, which is returned."""
+    span = max(SPAN, -(-places // MOST_SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(to)
         store.create_dir(root, recursive=True)
         at = sink = None
         temporary, n = "", 0
 
         def done() -> pa.RecordBatch:
-            if n != min(SHARD_SLOTS, total - at * SHARD_SLOTS):
-                raise RuntimeError(f"shard {at} has {n} records")
             sink.close()
             store.move(temporary, f"{root}/{_name(at)}")
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([n], pa.int64())], names=["shard", "records"])
 
         for b in batches:
-            shard = b.column(0).to_numpy() // SHARD_SLOTS
+            shard = b.column(0).to_numpy() // span
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if shard[s] != at:
@@ -158,11 +160,10 @@ def write(made: DataFrame, total: int, to: str, key: int = KEY) -> dict:
         if sink is not None:
             yield done()
 
-    dealt = made.select("slot", "doc_id", "at", "ids").repartitionById(max(1, -(-shards // each)), F.expr(f"CAST(slot DIV {SHARD_SLOTS * each} AS INT)")).sortWithinPartitions("slot")
-    wrote = common.stored(dealt.mapInArrow(run, "shard long, records long")).agg(F.countDistinct("shard"), F.sum("records")).first()
-    if (wrote[0], wrote[1] or 0) != (shards, total):
-        raise RuntimeError(f"{wrote[0]} of {shards} shards and {wrote[1]} of {total} records were written")
-    told = {"records": total, "shards": shards, "shard_slots": SHARD_SLOTS, "length": LENGTH, "stride": RECORD.itemsize, "end": END, "key": key}
+    dealt = made.repartitionById(max(1, -(-places // span)), F.expr(f"CAST(place DIV {span} AS INT)")).sortWithinPartitions("place")
+    wrote = common.stored(dealt.mapInArrow(run, "shard long, records long")).orderBy("shard").toPandas()  # MOST_SHARDS rows at most
+    first = np.cumsum(wrote["records"]) - wrote["records"]
+    told = {"records": int(wrote["records"].sum()), "length": LENGTH, "stride": RECORD.itemsize, "end": END, "key": key, "shards": wrote["shard"].tolist(), "first_slots": first.astype(int).tolist()}
     store, root = fs.FileSystem.from_uri(to)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/{MANIFEST}") as f:
@@ -171,28 +172,27 @@ def write(made: DataFrame, total: int, to: str, key: int = KEY) -> dict:
 
 
 def manifest(at: str) -> dict:
-    from pyarrow import fs
-
     store, root = fs.FileSystem.from_uri(at)
     with store.open_input_stream(f"{root}/{MANIFEST}") as f:
         return json.loads(f.read())
 
 
 def read(spark: SparkSession, at: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """slot, shard, doc_id, at, n_tokens, ids of the records from slot start up to end; each task seeks its place in one shard."""
+    """slot, shard, doc_id, at, n_tokens, ids of the records from slot start up to end; each shard is read from its place on."""
     told = manifest(at)
-    stop, slots = min(told["records"] if end is None else end, told["records"]), told["shard_slots"]
-    first, last = start // slots, -(-stop // slots)
+    start, stop = max(start, 0), told["records"] if end is None else min(end, told["records"])
+    shards, firsts = np.array(told["shards"], np.int64), np.array([*told["first_slots"], told["records"]], np.int64)
+    low, high = (int(np.searchsorted(firsts, start, "right")) - 1, int(np.searchsorted(firsts[:-1], stop))) if start < stop else (0, 0)
+    shared = spark.sparkContext.broadcast((shards, firsts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(at)
+        named, begins = shared.value
         for b in batches:
-            for shard in b.column(0).to_pylist():
-                slot, until = max(start, shard * slots), min(stop, (shard + 1) * slots)
+            for k in b.column(0).to_pylist():
+                shard, slot, until = int(named[k]), max(start, int(begins[k])), min(stop, int(begins[k + 1]))
                 with store.open_input_file(f"{root}/{_name(shard)}") as source:
-                    source.seek((slot - shard * slots) * RECORD.itemsize)
+                    source.seek((slot - int(begins[k])) * RECORD.itemsize)
                     while slot < until:
                         r = np.frombuffer(source.read(min(8192, until - slot) * RECORD.itemsize), RECORD)
                         ids = pa.array([x[:n].tobytes() for x, n in zip(r["ids"], r["n"].tolist(), strict=True)], pa.binary())
@@ -200,13 +200,11 @@ def read(spark: SparkSession, at: str, start: int = 0, end: int | None = None) -
                         yield pa.RecordBatch.from_arrays([pa.array(np.arange(slot, slot + len(r))), pa.array(np.full(len(r), shard, np.int64)), doc, pa.array(r["at"]), pa.array(r["n"].astype(np.int32)), ids], names=["slot", "shard", "doc_id", "at", "n_tokens", "ids"])
                         slot += len(r)
 
-    tasks = max(1, min(last - first, MOST_TASKS))
-    return spark.range(first, max(first, last), 1, tasks).mapInArrow(run, "slot long, shard long, doc_id long, at long, n_tokens int, ids binary")
+    return spark.range(low, high, 1, max(1, min(high - low, 100_000))).mapInArrow(run, "slot long, shard long, doc_id long, at long, n_tokens int, ids binary")
 
 
 def materialise(docs: DataFrame, vocabulary: tuple[str, str], to: str, key: int = KEY) -> dict:
-    made, total = slotted(common.stored(sequences(docs, vocabulary)), key)
-    return write(made, total, to, key)
+    return write(*sequences(docs, vocabulary, key), to, key)
 
 
 def report(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:

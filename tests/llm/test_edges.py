@@ -93,25 +93,29 @@ def test_packing(odd_docs, no_docs):
 
 
 def test_shards(spark, odd_docs, no_docs, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_shards, "SHARD_SLOTS", 40)
-    plain = Tokenizer.from_file(vocabulary()[0])
+    monkeypatch.setattr(token_shards, "SPAN", 400)
+    plain, length = Tokenizer.from_file(vocabulary()[0]), token_shards.LENGTH
     docs = odd_docs.repartition(3).persist()
-    streams = []
+    numbered, first = [], 0
     for part in docs.select("doc_id", "text").rdd.glom().collect():
         ids = [(r["doc_id"], k, t) for r in part for k, t in enumerate([*plain.encode(r["text"] or "", add_special_tokens=False).ids, token_shards.END])]
-        streams += [ids[k : k + token_shards.LENGTH] for k in range(0, len(ids), token_shards.LENGTH)]
+        numbered += [(first + k // length, ids[k : k + length]) for k in range(0, len(ids), length)]
+        first += -(-sum(len((r["text"] or "").encode()) + 1 for r in part) // length)
+    order = token_shards.permuted(np.arange(first), first)
+    want = [s for _, s in sorted(numbered, key=lambda x: order[x[0]])]
     to = f"file://{tmp_path}/shards"
     told = token_shards.materialise(docs, vocabulary(), to)
-    assert told["records"] == len(streams) and told["shards"] == -(-len(streams) // 40) > 2
+    assert told["records"] == len(want) and len(told["shards"]) > 2
     rows = {r["slot"]: r for r in token_shards.read(spark, to).collect()}
-    assert sorted(rows) == list(range(len(streams)))
-    for number, slot in enumerate(token_shards.permuted(np.arange(len(streams)), len(streams)).tolist()):
-        r, want = rows[slot], streams[number]
-        assert np.frombuffer(r["ids"], "<u2").tolist() == [t for _, _, t in want]
-        assert (r["doc_id"], r["at"], r["n_tokens"], r["shard"]) == (*want[0][:2], len(want), slot // 40)
+    assert sorted(rows) == list(range(len(want)))
+    for slot, ids in enumerate(want):
+        r = rows[slot]
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [t for _, _, t in ids]
+        assert (r["doc_id"], r["at"], r["n_tokens"]) == (*ids[0][:2], len(ids))
     # A reader goes on from any slot.
-    part = token_shards.read(spark, to, 30, 95).collect()
-    assert sorted(r["slot"] for r in part) == list(range(30, 95)) and all(r == rows[r["slot"]] for r in part)
+    for start, end in [(30, 95), (0, 1), (told["first_slots"][1], told["first_slots"][2]), (5, 5), (len(want) - 1, None), (len(want), None), (0, 10**9)]:
+        part = token_shards.read(spark, to, start, end).collect()
+        assert sorted(r["slot"] for r in part) == list(range(start, len(want) if end is None else min(end, len(want)))) and all(r == rows[r["slot"]] for r in part)
     assert token_shards.report(no_docs, vocabulary()).count() == 0
 
 
