@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kerbline.operators import conformance
 from kerbline.operators import constraints as k
 from kerbline.operators import spatial
 from kerbline.plans.joins import PART_BOX, points
@@ -54,3 +55,38 @@ SELECT c.id, text, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN coalesce(n, 0)
 def suite(spark, sf):
     p, s, c = (table(spark, sf, t) for t in ("part", "supplier", "customer"))
     return k.suite([k.Check("P6", "size in range", k.where(p, "p_partkey", F.col("p_size") > 49)), k.Check("I4", "balance not negative", k.where(s, "s_suppkey", F.col("s_acctbal") < 0), hard=False), k.Check("P7", "unique id", k.repeated(c, "c_custkey"))])
+
+
+MODEL = {
+    "P3": "SELECT p_partkey FROM part WHERE p_size < 1",
+    "P4": "SELECT p_partkey FROM part WHERE p_size % 10 = 3",
+    "P7": "SELECT p_partkey FROM part GROUP BY 1 HAVING count(*) > 1",
+    "S1": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "S2": "SELECT c_custkey FROM customer WHERE c_nationkey % 4 > 2",
+    "U8": "SELECT p_partkey FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS t FROM lineitem GROUP BY 1) ON p_partkey = l_partkey WHERE abs(coalesce(t, 0) - p_size) > greatest(0.03 * p_size, 1.5)",
+    "U11": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N')",
+    "U12": "SELECT c_custkey FROM customer WHERE c_nationkey % 6 >= 4 AND c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'A')",
+    "U13": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'",
+    "A1": "SELECT s FROM (SELECT o_custkey % 7 AS s, median(o_totalprice / 200000) AS m FROM orders GROUP BY 1) WHERE abs(m) > 0.5",
+    "A2": "SELECT l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05",
+    "R3": "SELECT o_orderkey FROM orders WHERE o_totalprice / 50000 < 2.75",
+    "B7": "SELECT p_partkey FROM part WHERE p_partkey % 50 NOT IN (SELECT n_nationkey FROM nation)",
+    "B8": "SELECT o_orderkey FROM orders WHERE o_totalprice / 50000 < 3",
+}
+HARD = ("P3", "P4", "P7", "S1", "S2", "U8", "A1", "A2", "B7")
+
+
+@query("chk_street_model", " UNION ALL ".join(f"SELECT '{i}' AS id, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) = 0 THEN 'PASS' ELSE '{'FAIL' if i in HARD else 'INFO'}' END AS status FROM ({sql})" for i, sql in MODEL.items()))
+def street_model(spark, sf):
+    p, c, o, l, n = (table(spark, sf, t) for t in ("part", "customer", "orders", "lineitem", "nation"))
+    col, none = F.col, F.lit(None).cast("long")
+    model = {
+        "spaces": p.select(col("p_partkey").alias("id"), none.alias("subsection"), none.alias("junction"), (col("p_partkey") % 50).alias("block"), F.when(col("p_size") % 10 == 3, 2).otherwise(1).alias("pieces"), F.lit(True).alias("valid"), col("p_size").cast("double").alias("area")),
+        "blocks": n.select(col("n_nationkey").alias("id")),
+        "sections": c.select(col("c_custkey").alias("id"), col("c_name").alias("road"), F.when(col("c_mktsegment") != "BUILDING", col("c_mktsegment")).alias("street"), (col("c_nationkey") % 4).alias("intersections")),
+        "parts": l.select((col("l_orderkey") * 10 + col("l_linenumber")).alias("id"), col("l_partkey").alias("space"), F.when(col("l_returnflag") == "R", "parking").otherwise("lane").alias("kind"), col("l_quantity").alias("area"), F.when(col("l_discount") <= 0.05, "tag").alias("source")),
+        "approaches": c.select(col("c_custkey").alias("id"), (col("c_nationkey") % 6).alias("arms")),
+        "lanes": o.select(col("o_orderkey").alias("id"), col("o_custkey").alias("approach"), (col("o_custkey") % 7).alias("section"), (col("o_totalprice") / 50000).alias("width"), (col("o_totalprice") / 200000).alias("offset"), F.when(col("o_orderstatus") != "P", "straight").alias("arrow"), F.lit(3.0).alias("told_width")),
+        "moves": l.filter("l_returnflag <> 'N'").select(col("l_orderkey").alias("lane"), F.when(col("l_returnflag") == "A", "straight").otherwise("left").alias("way")),
+    }
+    return k.suite(conformance.rules(model)).select("id", "n", "status")

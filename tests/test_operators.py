@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import outlines, profiles, shapes, tags
-from kerbline.operators import constraints, facets, filters, fusion, graph, matching, nodes, partition, series, spatial, temporal
+from kerbline.operators import conformance, constraints, facets, filters, fusion, graph, matching, nodes, partition, series, spatial, temporal
 
 
 def one(spark, column):
@@ -265,3 +265,32 @@ def test_way_through_a_box(spark):
     d = spark.createDataFrame([([a, b], w) for a, b, w in rows], "way array<struct<x: double, y: double>>, want boolean")
     for r in d.select("want", outlines.crosses_box(F.col("way"), *map(F.lit, (1.0, 1.0, 3.0, 3.0))).alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+MODEL = {
+    "sections": ("id int, road string, street string, intersections int", [(1, "r", "s", 2)], [(2, None, "s", 2), (3, "r", "s", 3)]),
+    "intersections": ("id int, arms int, streets int, area double", [(1, 3, 2, 100.0)], [(2, 2, 1, 5.0)]),
+    "junctions": ("id int, intersection int", [(1, 1)], [(9, 99), (10, None)]),
+    "subsections": ("id int", [(1,)], [(9,)]),
+    "spaces": ("id int, subsection int, junction int, block int, pieces int, valid boolean, area double", [(1, 1, None, 1, 1, True, 50.0), (2, None, 1, 1, 1, True, 60.0)], [(3, None, None, 9, 2, False, 50.0), (3, None, None, 1, 1, True, None)]),
+    "blocks": ("id int", [(1,)], []),
+    "parts": ("id int, space int, kind string, area double, source string", [(1, 1, "lane", 50.5, None), (2, 2, "parking", 59.0, "tag")], [(3, 3, "cycle", 10.0, None)]),
+    "approaches": ("id int, arms int", [(1, 4), (2, 4), (3, 3)], [(4, 4)]),
+    "lanes": ("id int, approach int, section int, width double, offset double, arrow string, told_width double", [(1, 1, 1, 3.0, 0.2, "straight", 3.0), (2, 3, 1, 3.0, None, "left", None)], [(3, 4, 2, 2.5, -0.6, None, 3.0), (4, 4, 2, None, -0.7, "left", 3.0)]),
+    "moves": ("lane int, way string", [(1, "straight"), (2, "left")], [(4, "left")]),
+    "grounds": ("id int, kind string", [(1, "plaza")], [(2, "lava"), (3, None)]),
+    "joints": ("id int, before double, after double", [(1, 3.0, 3.05), (2, None, 1.0)], [(3, 3.0, 3.2)]),
+    "level_joins": ("id int, below double, above double", [(1, 3.0, 3.4)], [(2, 3.0, 3.6)]),
+    "clearances": ("id int, wanted double, got double", [(1, 4.5, 4.5)], [(2, 4.5, 4.4)]),
+}
+
+
+def test_street_model_rules(spark):
+    good = {n: spark.createDataFrame(rows, schema) for n, (schema, rows, _) in MODEL.items()}
+    results = constraints.suite(conformance.rules(good)).collect()
+    assert len(results) == 24 and {r["status"] for r in results} == {"PASS"}
+    bad = {n: spark.createDataFrame(rows + more, schema) for n, (schema, rows, more) in MODEL.items()}
+    got = {r["id"]: r["examples"] for r in constraints.suite(conformance.rules(bad)).collect()}
+    want = {"P3": "3", "P4": "3", "P7": "3", "S1": "2", "S2": "3", "I1": "2", "I2": "2", "I3": "2", "J1": "10,9", "U3": "10,9", "U7": "9", "U8": "3", "U11": "3", "U12": "4", "U13": "3", "A1": "2", "A2": "3", "R1": "3", "R3": "3", "B7": "3", "B8": "3", "G1": "2,3", "W3": "2", "BR15": "2"}
+    assert got == want
+    assert conformance.rules({}) == []
