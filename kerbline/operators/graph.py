@@ -96,3 +96,30 @@ def spread(flags: DataFrame, links: DataFrame, rounds: int = 5) -> DataFrame:
             break
         now = j.select("id", F.coalesce("level", "offered").alias("level"))
     return now
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """edge, chain, k, forward: edges joined at nodes of degree two are one line; k is an edge's place in it, forward whether it runs
+    along it. A line is called by its least edge, and begins at the end that has the lesser edge; a ring begins at its least edge.
+    Pointers to the next edge are doubled each round, in both directions at once, so rounds grow with the logarithm of the longest line."""
+    two = degree(edges).filter("degree = 2").select("node")
+    named = streets(edges.withColumn("_all", F.lit(1)), ["_all"], two).withColumnRenamed("street", "chain")
+    e = edges.select("edge", "source", "target").join(named, "edge")
+    # Each edge is run through along (d = 1) and against (d = -1): from node a to node b.
+    run = e.select("edge", "chain", F.inline(F.array(F.struct(F.lit(1).alias("d"), F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.lit(-1).alias("d"), F.col("target").alias("a"), F.col("source").alias("b")))))
+    x, y = run.join(two.withColumnRenamed("node", "b"), "b", "left_semi").alias("x"), run.alias("y")
+    step = x.join(y, (F.col("x.b") == F.col("y.a")) & (F.col("x.edge") != F.col("y.edge")))
+    # A ring is cut before its least edge, in both directions; in an open line the same cut is taken back below, as nothing comes before it there.
+    ring = ends(e).join(two, "node", "left_semi").groupBy("edge").agg(F.count("*").alias("n")).join(named, "edge").groupBy("chain").agg(F.sum("n").alias("n"))
+    ring = ring.join(named.groupBy("chain").agg(F.count("*").alias("m")), "chain").filter("n = 2 * m").select(F.col("chain").alias("_ring"))
+    into = (F.col("y.edge") == F.col("y.chain")) & (F.col("y.d") == 1)
+    out = (F.col("x.edge") == F.col("x.chain")) & (F.col("x.d") == -1)
+    kept = step.join(ring, F.col("x.chain") == F.col("_ring"), "left").filter(F.col("_ring").isNull() | ~(into | out))
+    follows = kept.select(F.col("x.edge").alias("edge"), F.col("x.d").alias("d"), F.struct(F.col("y.edge").alias("edge"), F.col("y.d").alias("d")).alias("next"))
+    now = cut(run.select("edge", "d").join(follows, ["edge", "d"], "left").select(F.struct("edge", "d").alias("at"), "next", F.coalesce("next.edge", "edge").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("steps")))
+    while not now.filter("next IS NOT NULL").isEmpty():
+        ahead = now.select(F.col("at").alias("next"), F.col("next").alias("then"), F.col("last").alias("far"), F.col("steps").alias("more"))
+        now = cut(now.join(ahead, "next", "left").select("at", F.col("then").alias("next"), F.coalesce("far", "last").alias("last"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    found = now.select("at.edge", "at.d", "last", "steps").groupBy("edge").agg(*[F.max(F.when(F.col("d") == d, F.struct("last", "steps"))).alias(n) for d, n in ((1, "on"), (-1, "back"))])
+    along = F.col("back.last") <= F.col("on.last")
+    return named.join(found, "edge").select("edge", "chain", F.when(along, F.col("back.steps")).otherwise(F.col("on.steps")).cast("long").alias("k"), along.alias("forward"))

@@ -84,3 +84,22 @@ def quadratic(a: Column, bend: Column, b: Column, n: int) -> Column:
         return g.point(mix("x"), mix("y"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def followed(lanes: DataFrame, links: DataFrame, hops: int = 20) -> DataFrame:
+    """start, reached: where a lane (lane, junction: whether it ends at one) leads, along links (lane, next) as long as it has one
+    next lane, and no junction lies between."""
+    single = links.groupBy("lane").agg(F.count("*").alias("n"), F.first("next").alias("b")).filter("n = 1")
+    steps = single.join(lanes.filter("NOT junction").select("lane"), "lane").select(F.col("lane").alias("a"), "b", F.lit(0.0).alias("len"))
+    return walks(lanes.select(F.col("lane").alias("start")), steps, most=0.0, hops=hops).select("start", "reached")
+
+
+def divided_pairs(stations: DataFrame, within: float, share: float) -> DataFrame:
+    """one, two: runs of one name most of whose stations (run, name, x, y) lie within a distance of the other's, either way."""
+    n = stations.groupBy("run").agg(F.count("*").alias("n"))
+    s = stations.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("x", "y")))
+    near = spatial.distance_join(s, s, within).filter("a.run <> b.run AND a.name = b.name")
+    held = near.groupBy(F.col("a.run").alias("run"), F.col("b.run").alias("other")).agg(F.count_distinct("a.k").alias("held"))
+    good = held.join(n, "run").filter(F.col("held") >= share * F.col("n")).select("run", "other")
+    both = good.join(good.select(F.col("other").alias("run"), F.col("run").alias("other")), ["run", "other"], "left_semi")
+    return both.filter("run < other").select(F.col("run").alias("one"), F.col("other").alias("two"))

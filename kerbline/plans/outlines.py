@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import outlines as o
 from kerbline.functions import shapes as g
-from kerbline.operators import nodes, spatial
+from kerbline.operators import graph, nodes, spatial, streets
 from kerbline.plans.geometry import BOX, lines, rings
 from kerbline.plans.joins import PART_BOX, PART_POINT, SUPPLIER_POINT, columns, points
 from kerbline.plans.registry import query, table
@@ -150,3 +150,25 @@ def connectors(spark, sf):
 @query("grf14_shape_clusters", f"WITH RECURSIVE b AS (SELECT p_partkey AS id, {PART_BOX} FROM part), l AS (SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), r(id, seen) AS (SELECT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen) SELECT id, min(seen) AS cluster FROM r GROUP BY 1")
 def shape_clusters(spark, sf):
     return nodes.shape_clusters(points(spark, sf, "part", "p_partkey", PART_BOX), 16.0)
+
+
+@query("geo23_merged_lines", "SELECT p_partkey AS edge, p_partkey - p_partkey % 10 AS chain, CAST(p_partkey % 10 AS BIGINT) AS k, p_partkey % 3 <> 1 AS forward FROM part")
+def merged_lines(spark, sf):
+    # A line through every ten parts, some of its edges drawn the other way.
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    begin, end = k, F.when((k + 1) % 10 == 0, -k).otherwise(k + 1)
+    turned = k % 3 == 1
+    return graph.chains(p.select(k.alias("edge"), F.when(turned, end).otherwise(begin).alias("source"), F.when(turned, begin).otherwise(end).alias("target")))
+
+
+@query("grf22_divided_pairs", f"WITH s AS (SELECT p_partkey % 300 AS run, p_partkey % 5 AS name, row_number() OVER (PARTITION BY p_partkey % 300 ORDER BY p_partkey) AS k, {PART_POINT} FROM part), n AS (SELECT run, count(*) AS n FROM s GROUP BY 1), h AS (SELECT a.run, b.run AS other, count(DISTINCT a.k) AS held FROM s a JOIN s b ON a.run <> b.run AND a.name = b.name AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 90 GROUP BY 1, 2), g AS (SELECT h.run, other FROM h JOIN n ON h.run = n.run WHERE held >= 0.3 * n) SELECT x.run AS one, x.other AS two FROM g x JOIN g y ON x.run = y.other AND x.other = y.run WHERE x.run < x.other")
+def divided_pairs(spark, sf):
+    s = table(spark, sf, "part").selectExpr("p_partkey % 300 AS run", "p_partkey % 5 AS name", *columns(PART_POINT))
+    return streets.divided_pairs(s, within=90.0, share=0.3)
+
+
+@query("grf24_followed", "WITH RECURSIVE l AS (SELECT s_suppkey AS lane, s_suppkey + 1 AS next FROM supplier UNION ALL SELECT s_suppkey, s_suppkey + 2 FROM supplier WHERE s_suppkey % 9 = 4), o AS (SELECT lane, min(next) AS next FROM l WHERE lane % 7 <> 0 GROUP BY 1 HAVING count(*) = 1), w(start, here, hops) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT start, next, hops + 1 FROM w JOIN o ON o.lane = w.here WHERE hops < 20) SELECT start, arg_max(here, hops) AS reached FROM w GROUP BY 1")
+def followed(spark, sf):
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    links = s.select(k.alias("lane"), (k + 1).alias("next")).unionAll(s.filter("s_suppkey % 9 = 4").select(k, k + 2))
+    return streets.followed(s.select(k.alias("lane"), (k % 7 == 0).alias("junction")), links)

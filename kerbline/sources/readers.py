@@ -28,7 +28,8 @@ def archived_csv(spark: SparkSession, path: str, member: str, columns: list[str]
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as f:
                     for part in pd.read_csv(f, dtype=str, keep_default_na=False, na_values=[""], encoding="utf-8-sig", chunksize=50_000):
-                        yield part.reindex(columns=columns)
+                        part = part.reindex(columns=columns).astype(object)
+                        yield part.where(part.notna(), None)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(read, ", ".join(f"`{c}` string" for c in columns))

@@ -1,11 +1,13 @@
 import random
 import statistics
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import outlines, profiles, shapes, tags
 from kerbline.operators import conformance, constraints, facets, filters, fusion, graph, matching, nodes, partition, series, spatial, temporal
+from kerbline.sources import readers
 
 
 def one(spark, column):
@@ -294,3 +296,36 @@ def test_street_model_rules(spark):
     want = {"P3": "3", "P4": "3", "P7": "3", "S1": "2", "S2": "3", "I1": "2", "I2": "2", "I3": "2", "J1": "10,9", "U3": "10,9", "U7": "9", "U8": "3", "U11": "3", "U12": "4", "U13": "3", "A1": "2", "A2": "3", "R1": "3", "R3": "3", "B7": "3", "B8": "3", "G1": "2,3", "W3": "2", "BR15": "2"}
     assert got == want
     assert conformance.rules({}) == []
+
+
+def test_chains_of_lines_rings_and_crossings(spark):
+    r = random.Random(4)
+    runs = [[0, 1, 2, 3, 4], [0, 10, 11], [0, 20], [30, 31, 32, 33, 30], [40, 41, 40], [50, 51], [60, 60]]
+    pairs = [p for run in runs for p in zip(run[:-1], run[1:], strict=True)]
+    names = r.sample(range(100), len(pairs))
+    edges = [(n, *(p if r.random() < 0.5 else p[::-1])) for n, p in zip(names, pairs, strict=True)]
+    by, got = {n: (a, b) for n, a, b in edges}, {}
+    for x in graph.chains(spark.createDataFrame(edges, "edge long, source long, target long")).collect():
+        got.setdefault(x["chain"], {})[x["k"]] = (x["edge"], x["forward"])
+    at = 0
+    for run in runs:
+        own = names[at : at + len(run) - 1]
+        at += len(own)
+        line = got.pop(min(own))
+        assert sorted(line) == list(range(len(own))) and {e for e, _ in line.values()} == set(own)
+        ways = [by[e] if f else by[e][::-1] for e, f in (line[k] for k in sorted(line))]
+        assert all(a[1] == b[0] for a, b in zip(ways[:-1], ways[1:], strict=True))
+        if run[0] == run[-1]:
+            assert line[0][0] == min(own) and ways[-1][1] == ways[0][0]
+        else:
+            assert line[0][0] == min(own[0], own[-1]) and {ways[0][0], ways[-1][1]} == {run[0], run[-1]}
+    assert not got
+
+
+def test_csv_in_archives(spark, tmp_path):
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("stops.txt", "﻿stop_id,name\n" + f'{k}a,"x, y"\n{k}b,\n')
+            z.writestr("other.txt", "a\n1\n")
+    got = readers.archived_csv(spark, str(tmp_path), "stops.txt", ["stop_id", "name", "zone"]).collect()
+    assert sorted(map(tuple, got), key=str) == [("0a", "x, y", None), ("0b", None, None), ("1a", "x, y", None), ("1b", None, None)]
