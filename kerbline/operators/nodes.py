@@ -92,3 +92,26 @@ def front_row(pairs: DataFrame) -> DataFrame:
     a, b = pairs.alias("a"), pairs.alias("b")
     nearer = (F.col("a.unit") == F.col("b.unit")) & (F.col("b.d") < F.col("a.d"))
     return a.join(b, nearer & outlines.crosses_box(F.col("a.way"), *[F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")]), "left_anti")
+
+
+def junction_clusters(points: DataFrame, reach: float, widest: float) -> DataFrame:
+    """id, cluster (its least id): points (id, x, y) merged closest pair first, pairs within reach only, as long as no two points of a
+    cluster are further apart than `widest` (at least reach).
+
+    Each round merges all pairs of clusters that are each other's closest by the nearest of their points (ties: least ids). A merge
+    brings no cluster closer to a third one, and none that was too wide becomes fit, so this gives what one merge at a time gives.
+    Two clusters are fit where all their pairs of points are among the pairs within `widest`; only those pairs are ever made."""
+    near = spatial.distance_join(points, points, widest).filter("a.id < b.id")
+    near = cut(near.select(F.col("a.id").alias("p"), F.col("b.id").alias("q"), "d"))
+    now = cut(points.select("id", F.col("id").alias("cluster")))
+    while True:
+        size = now.groupBy("cluster").agg(F.count("*").alias("n"))
+        ends = near.join(now.select(F.col("id").alias("p"), F.col("cluster").alias("c")), "p").join(now.select(F.col("id").alias("q"), F.col("cluster").alias("e")), "q").filter("c <> e")
+        pairs = ends.groupBy(F.least("c", "e").alias("c"), F.greatest("c", "e").alias("e")).agg(F.count("*").alias("k"), F.min(F.struct("d", "p", "q")).alias("m"))
+        fit = pairs.filter(F.col("m.d") <= reach).join(size.withColumnRenamed("cluster", "c"), "c").join(size.select(F.col("cluster").alias("e"), F.col("n").alias("n2")), "e").filter("k = n * n2")
+        best = fit.select(F.explode(F.array("c", "e")).alias("c"), "m").groupBy("c").agg(F.min("m").alias("m"))
+        # Both clusters of a pair that merges have it as their best.
+        merged = cut(best.groupBy("m").agg(F.min("c").alias("to"), F.max("c").alias("cluster"), F.count("*").alias("n")).filter("n = 2").select("cluster", "to"))
+        if merged.isEmpty():
+            return now
+        now = cut(now.join(merged, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))

@@ -172,3 +172,8 @@ def followed(spark, sf):
     s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
     links = s.select(k.alias("lane"), (k + 1).alias("next")).unionAll(s.filter("s_suppkey % 9 = 4").select(k, k + 2))
     return streets.followed(s.select(k.alias("lane"), (k % 7 == 0).alias("junction")), links)
+
+
+@query("grf05_junction_clusters")
+def junction_clusters(spark, sf):
+    return nodes.junction_clusters(points(spark, sf, "supplier", "s_suppkey", SUPPLIER_POINT).unionAll(points(spark, sf, "part", "p_partkey", PART_POINT).selectExpr("id + 10000000", "x", "y")), reach=15.0, widest=30.0)

@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 import zipfile
@@ -329,3 +330,21 @@ def test_csv_in_archives(spark, tmp_path):
             z.writestr("other.txt", "a\n1\n")
     got = readers.archived_csv(spark, str(tmp_path), "stops.txt", ["stop_id", "name", "zone"]).collect()
     assert sorted(map(tuple, got), key=str) == [("0a", "x, y", None), ("0b", None, None), ("1a", "x, y", None), ("1b", None, None)]
+
+
+def test_junction_clusters_as_one_merge_at_a_time(spark):
+    r = random.Random(8)
+    at = {k: (float(r.randint(0, 120)), float(r.randint(0, 60))) for k in range(90)}
+    far = lambda p, q: math.dist(at[p], at[q])
+    own = {k: {k} for k in at}
+    while True:
+        fit = [(min((far(p, q), min(p, q), max(p, q)) for p in own[a] for q in own[b]), a, b) for a in own for b in own if a < b and max(far(p, q) for p in own[a] for q in own[b]) <= 30]
+        fit = [f for f in fit if f[0][0] <= 15]
+        if not fit:
+            break
+        _, a, b = min(fit)
+        own[a] |= own.pop(b)
+    rows = spark.createDataFrame([(k, *p) for k, p in at.items()], "id long, x double, y double")
+    got = {x["id"]: x["cluster"] for x in nodes.junction_clusters(rows, 15.0, 30.0).collect()}
+    assert got == {k: min(c) for c in own.values() for k in c}
+    assert nodes.junction_clusters(rows.limit(0), 15.0, 30.0).count() == 0
