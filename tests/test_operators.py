@@ -334,8 +334,9 @@ def test_csv_in_archives(spark, tmp_path):
 
 def test_junction_clusters_as_one_merge_at_a_time(spark):
     r = random.Random(8)
-    at = {k: (float(r.randint(0, 120)), float(r.randint(0, 60))) for k in range(90)}
-    far = lambda p, q: math.dist(at[p], at[q])
+    at = {k: (float(r.randint(0, 90)), float(r.randint(0, 50))) for k in range(60)}
+    apart = {(p, q): math.dist(at[p], at[q]) for p in at for q in at}
+    far = lambda p, q: apart[p, q]
     own = {k: {k} for k in at}
     while True:
         fit = [(min((far(p, q), min(p, q), max(p, q)) for p in own[a] for q in own[b]), a, b) for a in own for b in own if a < b and max(far(p, q) for p in own[a] for q in own[b]) <= 30]
