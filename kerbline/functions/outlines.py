@@ -115,7 +115,8 @@ def arrow(tip: Column, u: Column, size: float, ways: tuple[str, ...] = ("straigh
         if way in ways:
             to = go(fork, u, _AHEAD, side)
             lines.append(F.array(fork, to))
-            ends.append((to, unit(fork, to)))
+            n = math.hypot(_AHEAD, side)
+            ends.append((to, go(g.point(F.lit(0.0), F.lit(0.0)), u, _AHEAD / n, side / n)))
     return F.array(*lines, *[F.array(go(p, d, -_HEAD, _WIDE), p, go(p, d, -_HEAD, -_WIDE)) for p, d in ends])
 
 

@@ -12,9 +12,9 @@ from kerbline.plans.joins import PART_BOX, PART_POINT, SUPPLIER_POINT, columns,
 from kerbline.plans.registry import query, table
 
 
-def xy(df, *of):
-    """id and the rounded places of named points."""
-    return df.select("id", *[F.round(p[c], 6).alias(f"{c}{k}") for k, p in enumerate(of) for c in ("x", "y")])
+def xy(df, *of, **more):
+    """id, the rounded places of points, and other named columns."""
+    return df.select("id", *[F.round(p[c], 6).alias(f"{c}{k}") for k, p in enumerate(of) for c in ("x", "y")], *[c.alias(n) for n, c in more.items()])
 
 
 @query("geo02_wkb", f"{BOX} SELECT id, CAST(1 + 4 + 4 + 3 * 16 AS BIGINT) AS n, x1 AS x0, y1 AS y0 FROM b")
@@ -51,11 +51,11 @@ def parallel_line(spark, sf):
     return xy(p, *[F.col("p")[k] for k in range(3)])
 
 
-@query("geo35_arrow", f"{BOX} SELECT id, CAST(5 AS BIGINT) AS n, x0 - 3 AS x0, y0 AS y0, x0 AS x1, y0 AS y1, x0 - 0.8 AS x2, y0 + 0.4 AS y2, x0 - 0.95 AS x3, y0 + 1 AS y3 FROM (SELECT id, x0, y0 FROM b)")
+@query("geo35_arrow", f"{BOX} SELECT id, CAST(4 AS BIGINT) AS n, x0 - 3 AS x0, y0 AS y0, x0 AS x1, y0 AS y1, x0 - 0.8 AS x2, y0 + 0.4 AS y2, x0 - 0.95 AS x3, y0 + 1 AS y3 FROM (SELECT id, x0, y0 FROM b)")
 def arrow(spark, sf):
-    a = rings(spark, sf).select("id", o.arrow(F.col("ring")[0], o.unit(F.col("ring")[0], F.col("ring")[1]), 3.0, ("straight", "left")).alias("a"))
-    a = a.withColumn("n", F.size("a").cast("long") + 1)
-    return xy(a, F.col("a")[0][0], F.col("a")[0][1], F.col("a")[2][0], F.col("a")[1][1]).join(a.select("id", "n"), "id")
+    r = rings(spark, sf).select("id", F.col("ring")[0].alias("tip"), o.unit(F.col("ring")[0], F.col("ring")[1]).alias("u"))
+    a = r.select("id", o.arrow(F.col("tip"), F.col("u"), 3.0, ("straight", "left")).alias("a"))
+    return xy(a, F.col("a")[0][0], F.col("a")[0][1], F.col("a")[2][0], F.col("a")[1][1], n=F.size("a").cast("long"))
 
 
 @query("geo37_touch_length", f"{BOX} SELECT id, greatest(y1 - y0 - 1, 0) AS d FROM b")
