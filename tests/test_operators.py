@@ -349,3 +349,16 @@ def test_junction_clusters_as_one_merge_at_a_time(spark):
     got = {x["id"]: x["cluster"] for x in nodes.junction_clusters(rows, 15.0, 30.0).collect()}
     assert got == {k: min(c) for c in own.values() for k in c}
     assert nodes.junction_clusters(rows.limit(0), 15.0, 30.0).count() == 0
+
+
+def test_heads_of_an_arrow(spark):
+    u = shapes.point(F.lit(0.0), F.lit(1.0))
+    a = one(spark, outlines.arrow(shapes.point(F.lit(5.0), F.lit(7.0)), u, 2.0, ("left", "right")))
+    lines = [[(p["x"], p["y"]) for p in line] for line in a]
+    assert len(lines) == 5 and lines[0][0] == (5.0, 5.0)
+    for branch, head, side in ((lines[1], lines[3], -1.0), (lines[2], lines[4], 1.0)):
+        tip = branch[1]
+        assert tip == pytest.approx((5.0 + side, 6.6)) and head[1] == pytest.approx(tip)
+        back = ((head[0][0] + head[2][0]) / 2, (head[0][1] + head[2][1]) / 2)  # on the branch, a head's length before its end
+        assert math.dist(back, tip) == pytest.approx(0.8) and math.dist(head[0], head[2]) == pytest.approx(0.8)
+        assert (tip[0] - back[0]) * (tip[1] - branch[0][1]) == pytest.approx((tip[1] - back[1]) * (tip[0] - branch[0][0]))
