@@ -10,7 +10,7 @@ read. The manifest, written last, says that the shards are whole and at which sl
 from there. A record names the document its first id is from, and how many ids of that document come before; END parts the rest.
 
 The texts are tokenized once and their ids shuffled once. The two passes must see one partitioning of the input, as file scans
-give; a task whose range is too short fails rather than write wrong slots.
+give; a task that finds other lengths than the first pass fails rather than write wrong slots.
 
 Defined cases: null and empty texts have END alone; rows without an id are written with the least long; repeated rows have ids of
 their own; an empty table has a manifest and no shard; extra columns are ignored.
@@ -64,11 +64,16 @@ def permuted(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _bytes(texts: pa.Array) -> int:
+    """Bytes of the texts, and one more for each."""
+    return int(pc.sum(pc.binary_length(texts)).as_py() or 0) + len(texts)
+
+
 def _ranges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Each input partition's least and last number, and the count of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = sum(int(pc.sum(pc.add(pc.fill_null(pc.binary_length(b.column(0)), 0), 1)).as_py() or 0) for b in batches)
+        size = sum(_bytes(b.column(0)) for b in batches)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-size // LENGTH)], pa.int64())], names=["part", "n"])
 
     told = docs.select("text").mapInArrow(run, "part int, n long").toPandas()  # one row per input partition
@@ -89,16 +94,15 @@ def sequences(docs: DataFrame, vocabulary: tuple[str, str], key: int = KEY) -> t
         enc, end, part = tokens.ids(*vocabulary), np.array([END], "<u2").tobytes(), TaskContext.get().partitionId()
         number, until = (int(x[part]) if part < len(x) else 0 for x in shared.value)
         done: list[tuple[int, int, bytes]] = []
-        rest, rest_doc, rest_at = b"", NO_ID, 0
+        rest, rest_doc, rest_at, size, given = b"", NO_ID, 0, 0, until - number
 
         def out() -> pa.RecordBatch:
             doc, at, ids = zip(*done, strict=True)
-            if number + len(done) > until:
-                raise RuntimeError("the input's partitions changed between the two passes")
             place = permuted(np.arange(number, number + len(done)), total, key)
             return pa.RecordBatch.from_arrays([pa.array(place), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())], names=["place", "doc_id", "at", "ids"])
 
         for b in batches:
+            size += _bytes(b.column(1))
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 doc, whole, p = NO_ID if i is None else i, np.frombuffer(enc.of(x.as_py() or ""), "<u4").astype("<u2").tobytes() + end, 0
                 if rest:
@@ -113,6 +117,8 @@ def sequences(docs: DataFrame, vocabulary: tuple[str, str], key: int = KEY) -> t
                 if len(done) > 8192:
                     yield out()
                     number, done = number + len(done), []
+        if -(-size // LENGTH) != given:
+            raise RuntimeError("the input's partitions changed between the two passes")
         if rest:
             done.append((rest_doc, rest_at, rest))
         if done:
