@@ -17,7 +17,8 @@ import public_tokenizers
 
 #: Pieces remembered in a worker; at the limit the memory starts anew.
 MOST_PIECES = 700_000
-_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n ")
+#: A text without such white space splits at its spaces: each opens a piece that is encoded alone.
+OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n ")
 _READY: dict[tuple[str, str], "Ids"] = {}
 
 
@@ -40,7 +41,7 @@ class Ids:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if _OTHER_SPACE.search(text) or self.added.search(text):
+        if OTHER_SPACE.search(text) or self.added.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
         if len(self.pieces) > MOST_PIECES:
