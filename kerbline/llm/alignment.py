@@ -3,15 +3,16 @@
 A text is encoded by both vocabularies. Each token covers a range of bytes; where tokens of both end at one byte, a group ends. The
 ends of both lists together cut the text into stretches that lie in one token of each: every linked pair of tokens is one stretch.
 
-The count of an id pair is the number of documents that hold it linked. A pair is one int64 key. Every task counts its documents'
-keys with np.unique and gives them out whenever many are held, so it holds a bounded table. The partial counts are range-partitioned
-and sorted by key, equal keys are summed as runs, and each range becomes one shard: a sorted array of keys and counts in the shared
-folder. Tasks of the second pass map the shards into memory and look keys up by binary search, so no task loads the whole table and
+Every text is encoded once: what it links, as sorted int64 keys of a pair of ids each with the number of its links, is stored in
+the shared folder. The count of an id pair is the number of documents that hold it linked. Every task counts its documents' keys
+with np.unique and gives them out whenever many are held, so it holds a bounded table. The partial counts are range-partitioned and
+sorted by key, equal keys are summed as runs, and each range becomes one shard: a sorted array of keys and counts in the shared
+folder. Tasks of the last pass map the shards into memory and look keys up by binary search, so no task loads the whole table and
 workers of one machine share its pages. A shard is written under a name of its own attempt and then renamed, so a task that is run
-again writes the same shard again. From the driver go only the shards' names and first keys, and the highest count of each id.
+again writes the same shard again. To the driver go only the shards' names and first keys, and the highest count of each id.
 
-A text whose white space is single spaces and line feeds is aligned word by word, as neither vocabulary has a token that crosses the
-space before a word; what a word gives is remembered in the worker, in bounded memory. Other texts are aligned whole.
+A text whose white space is single spaces and line feeds is encoded word by word, as neither vocabulary has a token that crosses
+the space before a word; a word's ids are remembered in the worker, up to a bound. Other texts are encoded whole.
 
 Defined cases: null and empty texts, and texts that one of the vocabularies does not give back byte by byte, have no tokens: zeros
 and an empty digest; each row is a document, so repeated rows count as often as they stand; an empty table gives an empty result and
@@ -21,118 +22,176 @@ no shards; only doc_id and text are read, so other columns may have any name.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import shutil
+import tempfile
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kerbline.llm import common, tokens
 from kerbline.llm.token_counts import byte_letters
 
-#: Remembered words of a worker, in rough bytes; at the limit the memory starts anew.
-MOST_HELD = 150_000_000
-#: Keys that a task holds before they are counted, and counted keys before they are given out.
-MOST_KEYS = 2_000_000
+#: Words remembered in a worker; at the limit the memory starts anew. Longer words than this many characters are not remembered.
+MOST_WORDS = 700_000
+LONGEST_WORD = 64
+#: Keys that a task holds before they are counted or looked up, and counted keys before they are given out.
+MOST_KEYS = 1_000_000
 #: Rows of an Arrow batch that leaves a task.
 BATCH_ROWS = 1 << 16
+#: Bits of the second id in a key.
+B_BITS = 32
 _READY: dict[tuple[str, str], "Aligner"] = {}
-_MAPPED: dict[str, np.ndarray] = {}
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-@dataclass(slots=True)
-class Aligned:
-    """What one text, or one word of it, gives."""
+class Aligned(NamedTuple):
+    """What one text gives: tokens of both, groups, their text, and the key of every link in order of bytes."""
 
     n_a: int
     n_b: int
     n_groups: int
     groups: str
-    #: Of all links, in order of their bytes.
     keys: np.ndarray
-    #: The table of counts that it was last held against, and its row of the report there.
-    against: str = ""
-    sums: tuple[int, ...] = ()
-
-    @property
-    def held(self) -> int:
-        return 500 + len(self.groups) + 8 * len(self.keys)
 
 
 class Aligner:
-    """a: a byte-level vocabulary of the tokenizers library; b: a model of sentencepiece that sets a space before the text."""
+    """a: a byte-level vocabulary of the tokenizers library, and the same as ranks, whose library is quicker on words; b: a model of
+    sentencepiece that sets a space before the text."""
 
-    def __init__(self, a: str, b: str) -> None:
+    def __init__(self, a: str, ranks: str, b: str) -> None:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
+        self.word = tokens.ids(a, ranks).piece
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         byte = byte_letters()
-        self.a_bytes = {}
-        for entry, i in self.a.get_vocab(with_added_tokens=True).items():
-            added = any(c not in byte for c in entry)
-            self.a_bytes[i] = entry.encode() if added else bytes(map(byte.__getitem__, entry))
+        entries = {i: e for e, i in self.a.get_vocab(with_added_tokens=True).items()}
+        plain = {i: bytes(map(byte.__getitem__, e)) if all(c in byte for c in e) else e.encode() for i, e in entries.items()}
+        self.a_bytes = [plain.get(i, b"") for i in range(max(plain) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        #: Whether a space always begins a piece of b, so that words are encoded apart.
-        self.apart = not any(" " in s.lstrip(b" ").decode(errors="replace") for s in self.b_bytes)
-        self.known: dict[str, Aligned | None] = {}
-        self.held = 0
-
-    def part(self, text: str) -> Aligned | None:
-        """Of a text with its leading space; None where a vocabulary doesn't give back its bytes."""
-        data = text.encode()
-        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
-        a_of, b_of = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_of) != data or b"".join(b_of) != data:
-            return None
-        a_ends, b_ends = np.cumsum([*map(len, a_of)]), np.cumsum([*map(len, b_of)])
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        ends = np.union1d(a_ends, b_ends)
-        left, right = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        keys = np.array(a, np.int64)[left] << 32 | np.array(b, np.int64)[right]
-        said, i, j = [], 0, 0
-        for u, v in zip(np.searchsorted(a_ends, cuts, "right").tolist(), np.searchsorted(b_ends, cuts, "right").tolist(), strict=True):
-            said.append(f"{','.join(map(str, a[i:u]))}|{','.join(map(str, b[j:v]))}")
-            i, j = u, v
-        return Aligned(len(a), len(b), len(said), ";".join(said), keys)
-
-    def parts(self, text: str | None) -> list[Aligned] | None:
-        """The text's parts in order; None if it has no tokens."""
+        #: Whether a space always begins a piece of b, so that words can be encoded apart.
+        self.apart = not any(b" " in s.lstrip(b" ") for s in self.b_bytes)
+        self.a_sizes, self.b_sizes = (np.array([*map(len, of)], np.int64) for of in (self.a_bytes, self.b_bytes))
+        # Each id as text with what follows it: inside a group, and at the end of the group's part.
+        self.a_said, self.b_said = (np.array([[f"{i}{end}" for i in range(len(of))] for end in ends], object) for of, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
+        #: Ids of words with their leading space, as bytes of int32; None where a vocabulary doesn't give back the bytes.
+        self.a_known: dict[str, bytes | None] = {}
+        self.b_known: dict[str, bytes | None] = {}
+
+    def _a_ids(self, text: str) -> list[int]:
+        # The two libraries class characters alike but for those that one of them doesn't know.
+        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self.word(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes | None, bytes | None]]:
+        """Ids of texts with their leading space."""
+        of_a, of_b = self.a_bytes, self.b_bytes
+        for text, b in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1) if texts else [], strict=True):
+            a, data = self._a_ids(text), text.encode()
+            same = b"".join([of_a[i] for i in a]) == data == b"".join([of_b[i] for i in b])
+            yield (array("i", a).tobytes(), array("i", b).tobytes()) if same else (None, None)
+
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a space and the text by both; None if it has no tokens."""
         if not text:
             return None
         whole = " " + text
         # An empty word has no tokens of its own in b: a space at the end goes with what stands before it.
         if not self.apart or whole[-1] == " " or tokens.OTHER_SPACE.search(whole):
-            one = self.part(whole)
-            return None if one is None else [one]
-        if self.held > MOST_HELD:
-            self.known.clear()
-            self.held = 0
-        words, known = text.split(" "), self.known
-        for w in set(words).difference(known):
-            known[w] = made = self.part(" " + w)
-            self.held += len(w) + (100 if made is None else made.held)
-        out = [known[w] for w in words]
-        return None if None in out else out
-
-
-def aligner(a: str, b: str) -> Aligner:
+            ((a, b),) = self._encoded([whole])
+        else:
+            words, a_known, b_known = text.split(" "), self.a_known, self.b_known
+            if len(a_known) > MOST_WORDS:
+                a_known.clear()
+                b_known.clear()
+            new = list(set(words).difference(a_known))
+            long = [w for w in new if len(w) > LONGEST_WORD]
+            for w, (a, b) in zip(new, self._encoded([" " + w for w in new]), strict=True):
+                a_known[w], b_known[w] = a, b
+            try:
+                a, b = b"".join(map(a_known.__getitem__, words)), b"".join(map(b_known.__getitem__, words))
+            except TypeError:  # a word without ids
+                a = b = None
+            for w in long:
+                del a_known[w], b_known[w]
+        return None if a is None or b is None else (np.frombuffer(a, np.int32), np.frombuffer(b, np.int32))
+
+    def align(self, text: str | None) -> Aligned | None:
+        """None if the text has no tokens."""
+        both = self.ids(text)
+        if both is None:
+            return None
+        a, b = both
+        a_ends, b_ends = self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum()
+        ending = np.zeros((2, a_ends[-1] + 1), bool)
+        ending[0, a_ends] = ending[1, b_ends] = True
+        # The stretches, by their ends: whether a token of a or of b ends there, or both and so a group.
+        ends = np.flatnonzero(ending[0] | ending[1])
+        is_a, is_b = ending[0, ends], ending[1, ends]
+        cut = is_a & is_b
+        keys = a.astype(np.int64)[is_a.cumsum() - is_a] << B_BITS | b[is_b.cumsum() - is_b]
+        group = cut.cumsum() - cut
+        a_group, b_group, n = group[is_a], group[is_b], int(cut.sum())
+        said = np.empty(len(a) + len(b), object)
+        # A group's tokens of a come after the tokens of b of all groups before it, those of b after the tokens of a up to its own.
+        said[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = self.a_said[cut[is_a].astype(np.int8), a]
+        said[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = self.b_said[cut[is_b].astype(np.int8), b]
+        return Aligned(len(a), len(b), n, "".join(said.tolist())[:-1], keys)
+
+
+def aligner(a: str, ranks: str, b: str) -> Aligner:
     """One per Python worker and pair of vocabularies."""
     if (a, b) not in _READY:
-        _READY[a, b] = Aligner(a, b)
+        _READY[a, b] = Aligner(a, ranks, b)
     return _READY[a, b]
 
 
+def linked(docs: DataFrame, a: str, ranks: str, b: str) -> DataFrame:
+    """A row per document: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and its pairs: steps (from each sorted key to the
+    next, from 0) and times (links of each key)."""
+    kinds = [*[pa.int64()] * 5, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "steps", "times"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, rows, held = aligner(a, ranks, b), [], 0
+        for part in batches:
+            for doc, cell in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                made = both.align(cell.as_py())
+                if made is None:
+                    rows.append((doc, 0, 0, 0, 0, "", [], []))
+                else:
+                    keys, times = np.unique(made.keys, return_counts=True)
+                    digest = hashlib.sha256(made.groups.encode()).hexdigest()
+                    rows.append((doc, *made[:3], len(made.keys), digest, np.diff(keys, prepend=0), times.astype(np.int32)))
+                    held += len(keys)
+                if held > MOST_KEYS or len(rows) >= BATCH_ROWS:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    schema = ", ".join([*[f"{n} long" for n in names[:5]], "groups_sha256 string", "steps array<long>", "times array<int>"])
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+
+
 class PairCounts(NamedTuple):
     """Sorted shards of counted pairs: their names, their first keys, and the highest count of each id of the first vocabulary."""
 
@@ -156,31 +215,39 @@ def _batches(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part])], names=["key", "n"])
 
 
-def _partial(docs: DataFrame, a: str, b: str) -> DataFrame:
+def _keys(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's keys, from its steps."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    for low, high in pairwise(offsets.tolist()):
+        yield values[low:high].cumsum()
+
+
+def _partial(links: DataFrame) -> DataFrame:
     """key, n: how many of a task's documents hold a pair, one row per key and task, or more where a task sees very many keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, waiting, n = aligner(a, b), [], 0
+        waiting, n = [], 0
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            new = np.unique(np.concatenate(waiting), return_counts=True)
+            return _summed(np.r_[keys, new[0]], np.r_[counts, new[1]])
+
         for batch in batches:
-            for cell in batch.column(0):
-                if parts := both.parts(cell.as_py()):
-                    own = np.unique(np.concatenate([p.keys for p in {id(p): p for p in parts}.values()]))
-                    waiting.append(own)
-                    n += len(own)
+            for own in _keys(batch.column(0)):
+                waiting.append(own)
+                n += len(own)
                 if n > MOST_KEYS:
-                    new = np.unique(np.concatenate(waiting), return_counts=True)
-                    keys, counts = _summed(np.r_[keys, new[0]], np.r_[counts, new[1]])
+                    keys, counts = counted()
                     waiting, n = [], 0
                     if len(keys) > MOST_KEYS:
                         yield from _batches(keys, counts)
                         keys, counts = keys[:0], counts[:0]
         if waiting:
-            new = np.unique(np.concatenate(waiting), return_counts=True)
-            keys, counts = _summed(np.r_[keys, new[0]], np.r_[counts, new[1]])
+            keys, counts = counted()
         yield from _batches(keys, counts)
 
-    return docs.select("text").mapInArrow(run, "key long, n long")
+    return links.select("steps").mapInArrow(run, "key long, n long")
 
 
 def _files(folder: str):
@@ -190,12 +257,11 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def count_pairs(docs: DataFrame, a: str, b: str) -> PairCounts:
-    """Counts over all documents, as shards in the shared folder."""
-    spark = docs.sparkSession
-    folder = f"{common.shared_dir(spark)}/{uuid.uuid4().hex}"
+def count_pairs(links: DataFrame) -> PairCounts:
+    """Counts over all documents of linked(), as shards in the shared folder."""
+    folder = f"{common.shared_dir(links.sparkSession)}/{uuid.uuid4().hex}"
     # Stored, as choosing the ranges reads the rows once more.
-    rows = common.stored(_partial(docs, a, b)).repartitionByRange("key").sortWithinPartitions("key")
+    rows = common.stored(_partial(links)).repartitionByRange("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
@@ -217,7 +283,7 @@ def count_pairs(docs: DataFrame, a: str, b: str) -> PairCounts:
         with files.open_output_stream(f"{path}/{own}") as out:
             np.save(out, table)
         files.move(f"{path}/{own}", f"{path}/{name}")
-        ids = table[0] >> 32
+        ids = table[0] >> B_BITS
         heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         best = np.maximum.reduceat(table[1], heads)
         columns = [pa.array([name] * len(heads)), pa.array([int(table[0, 0])] * len(heads)), pa.array(ids[heads]), pa.array(best)]
@@ -234,61 +300,73 @@ def count_pairs(docs: DataFrame, a: str, b: str) -> PairCounts:
 def _shard(folder: str, name: str) -> np.ndarray:
     """Keys and counts of one shard, mapped into memory: from the shared folder where that is a mounted one, else from a copy that
     has no name any more, so that nothing of it outlives the worker."""
-    key = f"{folder}/{name}"
-    if key not in _MAPPED:
-        files, path = _files(folder)
-        if files.type_name == "local":
-            _MAPPED[key] = np.load(f"{path}/{name}", mmap_mode="r")
-        else:
-            import shutil
-            import tempfile
-
-            with tempfile.NamedTemporaryFile() as copy, files.open_input_stream(f"{path}/{name}") as there:
-                shutil.copyfileobj(there, copy)
-                copy.flush()
-                _MAPPED[key] = np.load(copy.name, mmap_mode="r")
-    return _MAPPED[key]
-
-
-def look_up(found: PairCounts, keys: np.ndarray) -> np.ndarray:
-    """The counts of keys that all were counted."""
-    out = np.zeros(len(keys), np.int64)
-    at = np.searchsorted(found.firsts, keys, "right") - 1
-    for k in np.unique(at).tolist():
-        table, own = _shard(found.folder, found.names[k]), at == k
-        out[own] = table[1][np.searchsorted(table[0], keys[own])]
-    return out
-
-
-def report(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row per document."""
-    found = count_pairs(docs, a, b)
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    files, path = _files(folder)
+    if files.type_name == "local":
+        return np.load(f"{path}/{name}", mmap_mode="r")
+    with tempfile.NamedTemporaryFile() as copy, files.open_input_stream(f"{path}/{name}") as there:
+        shutil.copyfileobj(there, copy)
+        copy.flush()
+        return np.load(copy.name, mmap_mode="r")
+
+
+class Lookup:
+    """Counts by key in one task; a shard is mapped when the first key of its range comes."""
+
+    def __init__(self, found: PairCounts) -> None:
+        self.found = found
+        self.shards: dict[int, np.ndarray] = {}
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Of sorted keys that all were counted."""
+        parts, cuts = [], np.searchsorted(keys, self.found.firsts)
+        for k, (low, high) in enumerate(pairwise([*cuts.tolist(), len(keys)])):
+            if low < high:
+                if k not in self.shards:
+                    self.shards[k] = _shard(self.found.folder, self.found.names[k])
+                table = self.shards[k]
+                parts.append(table[1][np.searchsorted(table[0], keys[low:high])])
+        return np.concatenate(parts)
+
+
+def against_counts(links: DataFrame, found: PairCounts) -> DataFrame:
+    """The rows of linked() with n_best and count_sum in place of the pairs."""
+    plain = [f.name for f in links.schema.fields if f.name not in ("steps", "times")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = aligner(a, b)
+        lookup = Lookup(found)
 
-        def sums(p: Aligned) -> tuple[int, ...]:
-            if p.against != found.folder:
-                counts = look_up(found, p.keys)
-                best = int((counts == found.highest[p.keys >> 32]).sum())
-                p.against, p.sums = found.folder, (p.n_a, p.n_b, p.n_groups, len(p.keys), best, int(counts.sum()))
-            return p.sums
+        def sums(docs: list[np.ndarray], times: np.ndarray) -> Iterator[tuple[int, int]]:
+            """n_best and count_sum of some documents, whose keys are looked up together."""
+            keys, back = np.unique(np.concatenate(docs), return_inverse=True)
+            counts = lookup.counts(keys)
+            best = counts == found.highest[keys >> B_BITS]
+            at = np.cumsum([0, *map(len, docs)])
+            n_best, total = (np.r_[0, (x[back] * times).cumsum()] for x in (best, counts))
+            yield from zip((n_best[at[1:]] - n_best[at[:-1]]).tolist(), (total[at[1:]] - total[at[:-1]]).tolist(), strict=True)
 
         for batch in batches:
-            rows = []
-            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = both.parts(cell.as_py())
-                if not parts:
-                    rows.append((doc, 0, 0, 0, 0, 0, 0, ""))
-                    continue
-                digest = hashlib.sha256(";".join([p.groups for p in parts]).encode()).hexdigest()
-                rows.append((doc, *map(sum, zip(*map(sums, parts), strict=True)), digest))
-            kinds = [*[pa.int64()] * 7, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
-
-    schema = ", ".join([*[f"{n} long" for n in names[:-1]], "groups_sha256 string"])
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+            steps, times = batch.column(len(plain)), batch.column(len(plain) + 1)
+            all_times, first = times.values.to_numpy(), times.offsets.to_numpy()
+            out, docs, begun, held = [], [], 0, 0
+            for k, own in enumerate(_keys(steps)):
+                docs.append(own)
+                held += len(own)
+                if held and (held > MOST_KEYS or k + 1 == len(steps)):
+                    out += sums(docs, all_times[first[begun] : first[k + 1]])
+                    docs, begun, held = [], k + 1, 0
+            out += [(0, 0)] * len(docs)  # none of them has a key
+            columns = [*batch.columns[: len(plain)], *(pa.array([x[c] for x in out], pa.int64()) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*plain, "n_best", "count_sum"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in links.schema.fields if f.name in plain]
+    return links.select(*plain, "steps", "times").mapInArrow(run, ", ".join([*kinds, "n_best long", "count_sum long"]))
+
+
+def report(docs: DataFrame, a: str, ranks: str, b: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row per document."""
+    links = common.stored(linked(docs, a, ranks, b))
+    made = against_counts(links, count_pairs(links))
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def table(spark: SparkSession, found: PairCounts) -> DataFrame:
@@ -302,7 +380,7 @@ def table(spark: SparkSession, found: PairCounts) -> DataFrame:
                 keys, counts = _shard(folder, name)
                 for at in range(0, len(keys), BATCH_ROWS):
                     k, n = keys[at : at + BATCH_ROWS], counts[at : at + BATCH_ROWS]
-                    columns = [pa.array(k >> 32), pa.array(k & 0xFFFFFFFF), pa.array(n), pa.array(n == highest[k >> 32])]
+                    columns = [pa.array(k >> B_BITS), pa.array(k & ((1 << B_BITS) - 1)), pa.array(n), pa.array(n == highest[k >> B_BITS])]
                     yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "documents", "best"])
 
     return names.mapInArrow(run, "a long, b long, documents long, best boolean")

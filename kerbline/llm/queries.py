@@ -67,7 +67,7 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return alignment.report(common.documents(spark, sf_dir), vocabulary()[0], public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.report(common.documents(spark, sf_dir), *vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

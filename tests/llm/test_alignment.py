@@ -4,7 +4,6 @@ import hashlib
 import random
 from collections import Counter
 
-import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -13,7 +12,7 @@ from tokenizers import Tokenizer
 from kerbline.llm import alignment, common
 from kerbline.llm.queries import QUERIES, vocabulary
 
-A, B = vocabulary()[0], public_tokenizers.path("piece_bpe_32k.model")
+(A, RANKS), B = vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
@@ -76,23 +75,22 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-ODD = ["a ▁b", "x <0x41> y", "</s> and <|endoftext|> <s>", "tab\there", "two  spaces", "end ", " begin", "\n", "a\n\nb", "é漢\U0001f600 \xa0", "ﬁ ligature ① ½", "one two one", " ", "zero\x00byte", "don't stop"]
+ODD = ["a ▁b", "x <0x41> y", "</s> and <|endoftext|> <s>", "tab\there", "new \u0558 \uab6c letters", "\u2003wide\u2003 space\u2003", "two  spaces", "end ", " begin", "\n", "a\n\nb", "é漢\U0001f600 \xa0", "ﬁ ligature ① ½", "one two one", " ", "zero\x00byte", "don't stop"]
 
 
 def test_random_texts_part_as_whole_texts():
-    r, plain, both = random.Random(3), Plain(), alignment.aligner(A, B)
+    r, plain, both = random.Random(3), Plain(), alignment.aligner(A, RANKS, B)
     some = ["word", "Wort", "'s", "é", "漢字", "<|endoftext|>", "12345", "\n", " ", "  ", "▁", "\t", "x" * 30, ",", "😀"]
     texts = ODD + ["".join(r.choice(some) + r.choice(["", " "]) for _ in range(r.randint(1, 25))) for _ in range(1500)]
     zeros = 0
     for text in texts:
-        want, got = plain.of(text), both.parts(text)
+        want, got = plain.of(text), both.align(text)
         assert (want is None) == (got is None), repr(text)
         if want is None:
             zeros += 1
             continue
-        assert ";".join(p.groups for p in got) == ";".join(want[2]), repr(text)
-        links = np.concatenate([p.keys for p in got]).tolist()
-        assert sorted(links) == sorted(x << 32 | y for x, y in want[3])
+        assert (got.n_a, got.n_b, got.n_groups, got.groups) == (want[0], want[1], len(want[2]), ";".join(want[2])), repr(text)
+        assert got.keys.tolist() == [x << 32 | y for x, y in want[3]]
     assert 0 < zeros < len(texts)
 
 
@@ -104,7 +102,7 @@ def test_every_document(spark, sf_dir):
 
 def test_small_memory_and_many_shards(spark, monkeypatch):
     """With bounds so low that every task forgets words and gives its table out again and again."""
-    monkeypatch.setattr(alignment, "MOST_HELD", 3000)
+    monkeypatch.setattr(alignment, "MOST_WORDS", 3)
     monkeypatch.setattr(alignment, "MOST_KEYS", 40)
     monkeypatch.setattr(alignment, "BATCH_ROWS", 16)
     r = random.Random(4)
@@ -112,8 +110,8 @@ def test_small_memory_and_many_shards(spark, monkeypatch):
     data = [(k, t) for k, t in enumerate(texts)] + [(7, "alpha alpha"), (7, "alpha alpha")]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     want, counts = brute(data)
-    assert rows(alignment.report(docs, A, B)) == want
-    found = alignment.count_pairs(docs, A, B)
+    assert rows(alignment.report(docs, A, RANKS, B)) == want
+    found = alignment.count_pairs(alignment.linked(docs, A, RANKS, B))
     table = {(x["a"], x["b"]): (x["documents"], x["best"]) for x in alignment.table(spark, found).collect()}
     assert {k: v[0] for k, v in table.items()} == dict(counts)
     best = {a: max(n for (x, _), n in counts.items() if x == a) for a, _ in counts}
@@ -123,5 +121,5 @@ def test_small_memory_and_many_shards(spark, monkeypatch):
 
 def test_odd_rows(odd_docs, no_docs):
     want, _ = brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
-    assert rows(alignment.report(odd_docs, A, B)) == want
-    assert rows(alignment.report(no_docs, A, B)) == []
+    assert rows(alignment.report(odd_docs, A, RANKS, B)) == want
+    assert rows(alignment.report(no_docs, A, RANKS, B)) == []
