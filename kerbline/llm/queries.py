@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import alignment, chat_format, common, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, simhash, token_counts, token_shards, toxicity
+from kerbline.llm import alignment, chat_format, common, decontaminate, line_dedup, lm_score, packing, pii, quality_rules, simhash, token_counts, token_shards, toxicity, whitening
 
 #: The contract's planted conversation: both turns hold control strings.
 PLANTED = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -70,6 +70,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(common.documents(spark, sf_dir), *vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -83,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_token_counts": op11_token_counts,
     "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
