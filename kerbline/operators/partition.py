@@ -1,49 +1,11 @@
-"""Strict partition of ground by ordered claims, street widths along an axis, and what follows from them.
-
-Ground is counted in cells of a fixed grid, so pieces add up exactly: a cell belongs to the first claim, by rank and then id, and
-every count is a partial aggregate before its shuffle.
-"""
+"""Street widths along an axis, and what follows from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
-def cells(boxes: DataFrame, *keep: str) -> DataFrame:
-    """The unit cells (cx, cy) that boxes with whole corners cover."""
-    span = lambda a, b: F.when(F.col(b) > F.col(a), F.sequence(F.col(a).cast("long"), F.col(b).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return boxes.select(*keep, "y0", "y1", F.explode(span("x0", "x1")).alias("cx")).select(*keep, "cx", F.explode(span("y0", "y1")).alias("cy"))
-
-
-def union_area(boxes: DataFrame, by: list[str]) -> DataFrame:
-    """by, area: ground that the boxes of a group cover together."""
-    return cells(boxes, *by).distinct().groupBy(*by).agg(F.count("*").alias("area"))
-
-
-def claimed(boxes: DataFrame) -> DataFrame:
-    """id, area: what each claim (rank, id) keeps; of two claims the lower rank wins, then the lower id. Claims that keep nothing have 0."""
-    owner = cells(boxes, "rank", "id").groupBy("cx", "cy").agg(F.min(F.struct("rank", "id")).alias("o"))
-    kept = owner.groupBy(F.col("o.id").alias("id")).agg(F.count("*").alias("area"))
-    return boxes.select("id").join(kept, "id", "left").select("id", F.coalesce("area", F.lit(0)).alias("area"))
-
-
-def neighbours(owned: DataFrame) -> DataFrame:
-    """one, two, edge: length of the border between two owners of cells (cx, cy, id). Each cell meets its right and its upper neighbour."""
-    step = F.explode(F.array(F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")), F.struct(F.lit(0).alias("i"), F.lit(1).alias("j"))))
-    ahead = owned.select("cx", "cy", F.col("id").alias("a"), step.alias("s")).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "a")
-    both = ahead.join(owned, ["cx", "cy"]).filter("a <> id")
-    return both.groupBy(F.least("a", "id").alias("one"), F.greatest("a", "id").alias("two")).agg(F.count("*").alias("edge"))
-
-
-def slivers_joined(owned: DataFrame, least: int) -> DataFrame:
-    """id, into: owners of fewer cells than `least` and the neighbour with the longest border (ties: least id) that takes them."""
-    small = owned.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") < least).select("id")
-    n = neighbours(owned)
-    both = n.unionAll(n.select(F.col("two").alias("one"), F.col("one").alias("two"), "edge")).join(small, F.col("one") == F.col("id"))
-    return both.groupBy("id").agg(F.max_by("two", F.struct("edge", -F.col("two"))).alias("into"))
-
-
 def half_width(hit: str, cap: str, least: str, by: list[str], order: str, k: int = 4) -> Column:
     """Half width at a sample: the moving median over k samples either way of hit or cap, where half of the side's samples hit
     something; else the cap. Never under the least."""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kerbline.operators import filters, partition, spatial
+from kerbline.operators import filters, overlay, partition, spatial
 from kerbline.plans.joins import PART_BOX, points
 from kerbline.plans.registry import query, table
 
+CELL = 16.0  # of the stretches that borders are looked at in
 BOX = f"b AS (SELECT p_partkey AS id, p_size % 4 AS rank, p_brand, {PART_BOX} FROM part)"
 CELLS = "c AS (SELECT id, rank, p_brand, cx, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS cy FROM (SELECT *, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS cx FROM b))"
 OWNED = f"{BOX}, {CELLS}, o AS (SELECT cx, cy, arg_min(id, (rank, id)) AS id FROM c GROUP BY 1, 2)"
@@ -20,12 +21,29 @@ def boxes(spark, sf):
 
 
 def owned(spark, sf):
-    return partition.cells(boxes(spark, sf), "rank", "id").groupBy("cx", "cy").agg(F.min(F.struct("rank", "id")).alias("o")).select("cx", "cy", "o.id")
+    return overlay.owned(boxes(spark, sf))
 
 
 @query("agg10_union_area", f"WITH {BOX}, {CELLS} SELECT p_brand, CAST(count(*) AS BIGINT) AS area FROM (SELECT DISTINCT p_brand, cx, cy FROM c) GROUP BY 1")
 def union_area(spark, sf):
-    return partition.union_area(boxes(spark, sf), ["p_brand"])
+    return overlay.union_area(boxes(spark, sf), ["p_brand"]).withColumn("area", F.col("area").cast("long"))
+
+
+#: The union of boxes with any coordinates: slabs between neighbouring x, and the merged y of what crosses them.
+UNION = """edge AS (SELECT DISTINCT g, x FROM (SELECT g, x0 AS x FROM b UNION ALL SELECT g, x1 FROM b)),
+  slab AS (SELECT g, x AS a, lead(x) OVER (PARTITION BY g ORDER BY x) AS z FROM edge),
+  over_ AS (SELECT s.g, a, z, y0, y1, max(y1) OVER (PARTITION BY s.g, a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM slab s JOIN b ON b.g = s.g AND b.x0 <= a AND b.x1 >= z)"""
+PRICED = """b AS (SELECT o_orderpriority AS g, o_orderkey % 701 / 7.0 AS x0, o_custkey % 997 / 11.0 AS y0,
+  o_orderkey % 701 / 7.0 + o_totalprice / 3e5 AS x1, o_custkey % 997 / 11.0 + 0.3 + o_custkey % 13 / 10.0 AS y1 FROM orders)"""
+
+
+@query("agg10_union_real", f"WITH {PRICED}, {UNION} SELECT g, round(sum((z - a) * greatest(0, y1 - greatest(y0, coalesce(seen, y0)))), 3) AS area FROM over_ GROUP BY 1")
+def union_of_real_boxes(spark, sf):
+    o, x, y = table(spark, sf, "orders"), F.col("o_orderkey") % 701 / 7.0, F.col("o_custkey") % 997 / 11.0
+    far = [(x + F.col("o_totalprice") / 3e5).alias("x1"), (y + 0.3 + F.col("o_custkey") % 13 / 10.0).alias("y1")]
+    b = o.select(F.col("o_orderpriority").alias("g"), x.alias("x0"), y.alias("y0"), *far)
+    return overlay.union_area(b, ["g"]).withColumn("area", F.round("area", 3))
 
 
 @query("pip09_levels", "SELECT p_partkey, unnest(range(p_size % 4 - 2, p_size % 6 - 1)) AS level FROM part")
@@ -67,7 +85,7 @@ def reassign(spark, sf):
 
 @query("pip24_overlap_priority", f"WITH {OWNED} SELECT b.id, CAST(coalesce(n, 0) AS BIGINT) AS area FROM b LEFT JOIN (SELECT id, count(*) AS n FROM o GROUP BY 1) USING (id)")
 def overlap_priority(spark, sf):
-    return partition.claimed(boxes(spark, sf))
+    return overlay.claimed(boxes(spark, sf)).withColumn("area", F.col("area").cast("long"))
 
 
 @query("pip27_rollup", "SELECT n_regionkey AS street, CAST(count(DISTINCT c_custkey) AS BIGINT) AS n, arg_max(c_mktsegment, (k, -ascii(c_mktsegment))) AS common FROM (SELECT *, count(*) OVER (PARTITION BY n_regionkey, c_mktsegment) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1")
@@ -92,12 +110,12 @@ def building_use(spark, sf):
 
 @query("stp14_ground_borders", f"WITH {OWNED}, e AS (SELECT least(a.id, b.id) AS one, greatest(a.id, b.id) AS two FROM o a JOIN o b ON (a.cx + 1 = b.cx AND a.cy = b.cy OR a.cx = b.cx AND a.cy + 1 = b.cy) AND a.id <> b.id) SELECT one, two, CAST(count(*) AS BIGINT) AS edge FROM e GROUP BY 1, 2")
 def ground_borders(spark, sf):
-    return partition.neighbours(owned(spark, sf))
+    return overlay.neighbours(owned(spark, sf), CELL).withColumn("edge", F.col("edge").cast("long"))
 
 
 @query("stp14_slivers", f"WITH {OWNED}, s AS (SELECT id FROM o GROUP BY 1 HAVING count(*) < 6), e AS (SELECT a.id AS id, b.id AS other, count(*) AS edge FROM o a JOIN o b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1 AND a.cx BETWEEN b.cx - 1 AND b.cx + 1 AND a.id <> b.id WHERE a.id IN (SELECT id FROM s) GROUP BY 1, 2) SELECT id, arg_max(other, (edge, -other)) AS \"into\" FROM e GROUP BY 1")
 def slivers(spark, sf):
-    return partition.slivers_joined(owned(spark, sf), 6)
+    return overlay.slivers_joined(owned(spark, sf), 6.0, CELL)
 
 
 @query("stp23_stop_times", "WITH h AS (SELECT user_id AS stop, hour(ts) AS h, count(*) AS n, count(DISTINCT event_type) AS routes FROM events WHERE isodow(ts) = 3 GROUP BY 1, 2) SELECT stop, CAST(sum(n) AS BIGINT) AS departures, CAST(max(n) AS BIGINT) AS peak, CAST(arg_max(h, (n, -h)) AS BIGINT) AS peak_hour FROM h GROUP BY 1")

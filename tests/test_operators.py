@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import outlines, profiles, shapes, tags
-from kerbline.operators import conformance, constraints, facets, filters, fusion, graph, matching, nodes, partition, series, spatial, temporal
+from kerbline.operators import conformance, constraints, facets, filters, fusion, graph, matching, nodes, overlay, series, spatial, temporal
 from kerbline.sources import readers
 
 
@@ -156,7 +156,7 @@ def test_nearest_against_all_pairs(spark, cell):
 
 def test_claims_add_up(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 0, 4, 4), (2, 0, 2, 2, 6, 6), (3, 2, 2, 2, 4, 4)], "id long, rank int, x0 int, y0 int, x1 int, y1 int")
-    got = {r["id"]: r["area"] for r in partition.claimed(boxes).collect()}
+    got = {r["id"]: r["area"] for r in overlay.claimed(boxes).collect()}
     assert got == {1: 12, 2: 16, 3: 0}
 
 
