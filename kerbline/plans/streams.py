@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kerbline.plans.registry import query
@@ -46,8 +49,14 @@ def registry(spark, sf):
     return versions[-1].select("kind", "key", "uid")
 
 
-@query("stream_periods", "WITH g AS (SELECT *, CAST(epoch(ts) - epoch(lag(ts) OVER w) > 43200 AS INT) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), p AS (SELECT *, 1 + coalesce(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts), 0) AS period FROM g) SELECT user_id, CAST(period AS BIGINT) AS period, round(min(epoch(ts)), 3) AS first, round(max(epoch(ts)), 3) AS last FROM p GROUP BY 1, 2")
+@query("stream_periods", """WITH g AS (SELECT *, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 43200000000 AS INT) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  p AS (SELECT *, 1 + coalesce(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts), 0) AS period FROM g),
+  c AS (SELECT user_id, CAST(period AS BIGINT) AS period, min(ts) AS first, max(ts) AS last FROM p GROUP BY 1, 2)
+  SELECT user_id, period, round(epoch(first), 3) AS first, round(epoch(last), 3) AS last FROM c
+  WHERE ceil(epoch_us(last) / 1e3) + 43200000 <= (SELECT epoch_ms(max(ts)) FROM events)""")
 def periods(spark, sf):
     s = feeds.files(spark, sf, "events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    p = ran(spark, feeds.periods(s, "user_id", "ts", 43_200.0), "periods")
-    return p.groupBy("user_id", "period").agg(F.round(F.min("first"), 3).alias("first"), F.round(F.max("last"), 3).alias("last"))
+    p = ran(spark, feeds.periods(s, "user_id", "ts", timedelta(hours=12), "0 seconds"), "periods")
+    seconds = lambda c: F.round(F.col(c).cast("double"), 3).alias(c)
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("first")).cast("long")
+    return p.select("user_id", number.alias("period"), seconds("first"), seconds("last"))
