@@ -38,3 +38,16 @@ def followed(pointers: DataFrame) -> DataFrame:
         if not fell and not closed:
             break
     return now.select("id", "last", "steps", "least", F.col("next").isNotNull().alias("ring"))
+
+
+def reached(pointers: DataFrame, heads: DataFrame) -> DataFrame:
+    """id: what can be reached from the heads (id) over pointers (id, next), the heads included. Each round doubles how far it is
+    looked ahead; the rounds end when one finds nothing new."""
+    jump = pointers.filter("next IS NOT NULL").select("id", "next")
+    seen = cut(heads.select("id").distinct())
+    n, before = seen.count(), -1
+    while n > before:
+        seen = cut(seen.unionAll(seen.join(jump, "id").select(F.col("next").alias("id"))).distinct())
+        before, n = n, seen.count()
+        jump = cut(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("then")), "next").select("id", F.col("then").alias("next")))
+    return seen
