@@ -25,6 +25,15 @@ def one(spark, column):
         "SELECT upper(b), count(*), max(load) OVER (PARTITION BY b) FROM T WHERE load IN (SELECT load FROM t) GROUP BY b, load",
         "SELECT b, x FROM t LATERAL VIEW explode(array(1, 2)) AS x",
         "SELECT * FROM (VALUES (1), (2)) AS v(k) JOIN t ON k = load",
+        "WITH a AS (SELECT 1 AS k), b AS (SELECT k + 1 AS k FROM a) SELECT * FROM a JOIN b USING (k) ORDER BY 1 LIMIT 3 OFFSET 1",
+        "SELECT (WITH a AS (SELECT 1 AS k) SELECT max(k) FROM a) FROM t WHERE EXISTS (SELECT 1 FROM t AS u WHERE u.b = t.b)",
+        "SELECT b, sum(k) FILTER (WHERE k > 0) OVER (PARTITION BY b) FROM t",
+        "SELECT DISTINCT b FROM t UNION ALL SELECT b FROM t EXCEPT SELECT b FROM t INTERSECT SELECT b FROM t",
+        "SELECT b, count(*) FROM t GROUP BY CUBE (b) HAVING count(*) > 1",
+        "SELECT x FROM t LATERAL VIEW explode(sequence(1, 5, 2)) AS x",
+        "SELECT * FROM t PIVOT (sum(k) FOR b IN ('x', 'y'))",
+        "SELECT sum(k) OVER w FROM t WINDOW w AS (ORDER BY b)",
+        "SELECT * FROM t, LATERAL (SELECT t.b AS c)",
     ],
 )
 def test_guard_accepts(spark, sql):
@@ -52,6 +61,21 @@ def test_guard_accepts(spark, sql):
         "SELECT TRANSFORM(b) USING 'cat' FROM t",
         "SET x = 1",
         "SELECT * FROM range(3)",
+        "EXECUTE IMMEDIATE 'DROP VIEW t'",
+        "EXECUTE IMMEDIATE 'SELECT 1'",
+        "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/part.parquet`')",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv') FROM t",
+        "SELECT * FROM other JOIN (WITH other AS (SELECT 1 AS z) SELECT * FROM other) ON true",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "SELECT (WITH x AS (SELECT 1) SELECT max(k) FROM other) FROM t",
+        "SELECT explode(sequence(1, 1000000000))",
+        "SELECT explode(sequence(1, k)) FROM t",
+        "SELECT length(repeat('x', 1000000000))",
+        "SELECT /*+ BROADCAST(t) */ * FROM t",
+        "VALUES (1); DROP VIEW t",
+        "DESCRIBE t",
+        "SHOW TABLES",
+        "BEGIN SELECT 1; END",
     ],
 )
 def test_guard_rejects(spark, sql):
@@ -59,6 +83,23 @@ def test_guard_rejects(spark, sql):
         filters.check_sql(spark, sql, ["t"])
 
 
+def test_sql_over_given_tables_only(spark):
+    """Queries of all kinds are bound to the given frames; a name that leads elsewhere is refused after it is resolved, too."""
+    t = spark.createDataFrame([("x", 1), ("y", 2)], "b string, k int")
+    for sql in ("WITH a AS (SELECT k FROM t) SELECT x.k FROM a AS x JOIN a AS y USING (k)", "SELECT (SELECT max(k) FROM t) AS k FROM t", "SELECT k FROM t AS u JOIN t AS v USING (k)", "SELECT k FROM VALUES (1), (2) AS v(k)"):
+        assert filters.run_sql(spark, sql, {"t": t}).count() == 2
+    spark.range(5).createOrReplaceTempView("secret")
+    check = filters.check_sql
+    try:
+        filters.check_sql = lambda spark, sql, tables: sql
+        for sql in ("SELECT * FROM secret", "SELECT (SELECT max(id) FROM secret) FROM t", "SELECT * FROM IDENTIFIER('secret')"):
+            with pytest.raises(ValueError):
+                filters.run_sql(spark, sql, {"t": t})
+    finally:
+        filters.check_sql = check
+        spark.catalog.dropTempView("secret")
+
+
 def test_sql_leaves_the_callers_views(spark):
     spark.range(3).createOrReplaceTempView("t")
     got = filters.run_sql(spark, "SELECT load FROM t", {"t": spark.createDataFrame([(7,)], "load int")})
