@@ -105,19 +105,24 @@ def rectangularity(ring: Column) -> Column:
 _FORK, _AHEAD, _ASIDE, _HEAD, _WIDE = 0.45, 0.7, 1.0, 0.8, 0.4
 
 
+def _glyph(size: float, ways: tuple[str, ...]) -> list[list[complex]]:
+    """The arrow as drawn on paper: its tip at the origin, ahead along the real axis, left along the imaginary one."""
+    tail, fork, tip = complex(-size), complex(-size * (1 - _FORK)), 0j
+    stem = {"straight": [tail, tip], "left": [fork, fork + complex(_AHEAD, _ASIDE)], "right": [fork, fork + complex(_AHEAD, -_ASIDE)]}
+    drawn = [stem[w] for w in stem if w in ways]
+    heads = []
+    for begin, end in drawn:
+        turn = (end - begin) / abs(end - begin)
+        heads.append([end + turn * p for p in (complex(-_HEAD, _WIDE), 0j, complex(-_HEAD, -_WIDE))])
+    return ([] if "straight" in ways else [[tail, fork]]) + drawn + heads
+
+
 def arrow(tip: Column, u: Column, size: float, ways: tuple[str, ...] = ("straight",)) -> Column:
-    """A painted lane arrow as an array of lines: shaft and branches, then a head at each of their ends; u is its direction."""
-    go = lambda p, d, ahead, left: g.point(p["x"] + d["x"] * ahead - d["y"] * left, p["y"] + d["y"] * ahead + d["x"] * left)
-    tail, fork = go(tip, u, -size, 0.0), go(tip, u, -size * (1 - _FORK), 0.0)
-    straight = "straight" in ways
-    lines, ends = [F.array(tail, tip if straight else fork)], [(tip, u)] if straight else []
-    for way, side in (("left", _ASIDE), ("right", -_ASIDE)):
-        if way in ways:
-            to = go(fork, u, _AHEAD, side)
-            lines.append(F.array(fork, to))
-            n = math.hypot(_AHEAD, side)
-            ends.append((to, go(g.point(F.lit(0.0), F.lit(0.0)), u, _AHEAD / n, side / n)))
-    return F.array(*lines, *[F.array(go(p, d, -_HEAD, _WIDE), p, go(p, d, -_HEAD, -_WIDE)) for p, d in ends])
+    """A painted lane arrow as an array of lines: shaft and branches, then a head at each of their ends; u is its direction. The
+    drawing is the same for all rows, and is turned and moved to each place."""
+    drawing = F.array(*[F.array(*[g.point(F.lit(p.real), F.lit(p.imag)) for p in line]) for line in _glyph(size, ways)])
+    placed = lambda p: g.point(tip["x"] + u["x"] * p["x"] - u["y"] * p["y"], tip["y"] + u["y"] * p["x"] + u["x"] * p["y"])
+    return F.transform(drawing, lambda line: F.transform(line, placed))
 
 
 def tried_wkt(text: Column) -> Column:
