@@ -38,10 +38,11 @@ HOLES = f"""{RINGS},
     FROM shape f LEFT JOIN within w ON w.face = f.ring LEFT JOIN shape h ON h.ring = w.ring WHERE f.area > 0 GROUP BY f.ring, f.sides, f.area, f.perimeter)"""
 
 
-def ringed(spark, sf):
+def lattice(spark, sf):
+    """Nodes (node, x, y, nation) and edges (edge, source, target, street), of which some lead to a node that isn't there."""
     c, k, n = table(spark, sf, "customer"), F.col("c_custkey"), F.col("c_nationkey")
     column, row = k % W, F.floor(k / W)
-    nodes = c.select(k.alias("node"), (column * 100 + (k * 37 + n * 11) % 25).cast("double").alias("x"), (row * 100 + (k * 53 + n * 7) % 25).cast("double").alias("y"))
+    nodes = c.select(k.alias("node"), (column * 100 + (k * 37 + n * 11) % 25).cast("double").alias("x"), (row * 100 + (k * 53 + n * 7) % 25).cast("double").alias("y"), n.alias("nation"))
     inside = column < W - 1
 
     def kind(number, step, street, kept):
@@ -52,7 +53,11 @@ def ringed(spark, sf):
         kind(1, W, 1000 + F.floor(column / 3), (n * 3 + k) % 7 >= 3),
         kind(2, W + 1, F.lit(2000), (F.col("c_mktsegment") == "BUILDING") & inside),
     )
-    edges = c.select(k.alias("source"), F.inline(all_)).filter("kept")
+    return nodes, c.select(k.alias("source"), F.inline(all_)).filter("kept").drop("kept")
+
+
+def ringed(spark, sf):
+    nodes, edges = lattice(spark, sf)
     return faces.rings(faces.half_edges(edges, nodes, "street"))
 
 
