@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from kerbline.operators.store import cut
 
+#: How much wider the cells of the next level of a pyramid are (a power of two), and levels between two cuts of lineage.
+WIDER = 8
+LEVELS_PER_CUT = 4
+
 
 def _cells(low: str, high: str, cell: float):
     return F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
@@ -46,42 +50,57 @@ def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 def nearest(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Each point of a (id, x, y) with the nearest of b: near_id, d (ties: least id); nulls where a has no place or b no point.
 
-    The cells of b that hold a point form a pyramid whose cells double in width, up to four at most that cover all of b. From the
-    top down, each point keeps the cells that may hold its nearest: those no further away than the far corner of any other, which
-    is known to hold a point. At the bottom it meets the points of the few cells left. Rounds grow with the logarithm of the
-    extent, rows per round with the points of a, and no round puts all of b into one cell."""
+    The cells of b that hold a point form a pyramid whose cells are WIDER times as wide from level to level, up to few at most that
+    cover all of b. From the top down, each point keeps the cells that may hold its nearest: those no further away than the far
+    corner of any other, which is known to hold a point. At the bottom it meets the points of the few cells left. Levels grow with
+    the logarithm of the extent, rows per level with the points of a, and none puts all of b into one cell."""
     kind = b.schema["id"].dataType
     placed = a.filter("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y")
     points = b.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("near_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     points = points.withColumns({"cx": F.floor(F.col("bx") / cell), "cy": F.floor(F.col("by") / cell)})
-    extent = points.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    lowest = cut(points.select("cx", "cy").distinct())
+    extent = lowest.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
     if extent[0] is None:
         return a.select("id", F.lit(None).cast(kind).alias("near_id"), F.lit(None).cast("double").alias("d"))
-    levels = [cut(points.select("cx", "cy").distinct())]
+    bits = WIDER.bit_length() - 1
+    at = lambda k: lowest.select(F.shiftright("cx", bits * k).alias("cx"), F.shiftright("cy", bits * k).alias("cy")).distinct()
     up = 0
-    while (extent[1] >> up) - (extent[0] >> up) > 1 or (extent[3] >> up) - (extent[2] >> up) > 1:
+    while (extent[1] >> bits * up) - (extent[0] >> bits * up) > 1 or (extent[3] >> bits * up) - (extent[2] >> bits * up) > 1:
         up += 1
-        levels.append(cut(levels[-1].select(F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy")).distinct()))
-    now = placed.join(F.broadcast(levels[-1]))  # four cells at most
+    now = placed.join(F.broadcast(at(up)))  # four cells at most
     for k in range(up, -1, -1):
         if k < up:
-            inner = F.array(*[F.struct((2 * F.col("cx") + i).alias("cx"), (2 * F.col("cy") + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
-            now = now.select("id", "x", "y", F.inline(inner)).join(levels[k], ["cx", "cy"])
-        wide = cell * 2**k
+            below = at(k).select(F.shiftright("cx", bits).alias("px"), F.shiftright("cy", bits).alias("py"), F.col("cx").alias("ccx"), F.col("cy").alias("ccy"))
+            now = now.join(below, (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py"))).select("id", "x", "y", F.col("ccx").alias("cx"), F.col("ccy").alias("cy"))
+        wide = cell * WIDER**k
         least, most = [], []
-        for at, c in (("x", "cx"), ("y", "cy")):
-            low, high = F.col(c) * wide - F.col(at), F.col(at) - (F.col(c) + 1) * wide
+        for along, c in (("x", "cx"), ("y", "cy")):
+            low, high = F.col(c) * wide - F.col(along), F.col(along) - (F.col(c) + 1) * wide
             least.append(F.greatest(low, high, F.lit(0.0)))
             most.append(F.greatest(-low, -high))
         now = now.withColumns({"least": F.hypot(*least), "most": F.hypot(*most)})
         # A little slack, so that rounding drops no cell that could tie.
         now = now.withColumn("bound", F.min("most").over(Window.partitionBy("id", "x", "y")) * (1 + 1e-9) + 1e-9)
-        now = cut(now.filter("least <= bound").select("id", "x", "y", "cx", "cy"))
+        now = now.filter("least <= bound").select("id", "x", "y", "cx", "cy")
+        if k and k % LEVELS_PER_CUT == 0:
+            now = cut(now)
     d = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2)
     met = now.join(points, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("d"), "near_id")).alias("m")).select("id", "m.near_id", "m.d")
     return a.select("id").join(met, "id", "left")
 
 
+def split_by_nearest(boxes: DataFrame, sites: DataFrame, size: float, cell: float) -> DataFrame:
+    """box, site, cells: how the cells (of a width) whose centres lie in each box (id, x0, y0, x1, y1) fall to the nearest of the sites
+    (id, x, y; ties: least id)."""
+    first = lambda c: F.ceil(F.col(c) / size - 0.5)
+    of = boxes.select(F.col("id").alias("box"), *[first(c).alias(c) for c in ("x0", "y0", "x1", "y1")]).filter("x1 > x0 AND y1 > y0")
+    held = of.select("box", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("i"), "y0", "y1").select("box", "i", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("j"))
+    # Boxes may share cells: each is looked up once.
+    centres = held.select(F.struct("i", "j").alias("id"), ((F.col("i") + 0.5) * size).alias("x"), ((F.col("j") + 0.5) * size).alias("y")).distinct()
+    owner = nearest(centres, sites, cell).select(F.col("id.i").alias("i"), F.col("id.j").alias("j"), F.col("near_id").alias("site"))
+    return held.join(owner, ["i", "j"]).groupBy("box", "site").agg(F.count("*").alias("cells"))
+
+
 def ray_hits(points: DataFrame, boxes: DataFrame, reach: float) -> DataFrame:
     """Distance along +x from each point to the first left edge of a box that the ray meets within reach."""
     rays = points.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + reach).alias("x1"), F.col("y").alias("y1"))

@@ -78,6 +78,12 @@ def nearest(spark, sf):
     return spatial.nearest(p, s, cell=32.0).select("id", F.col("near_id").alias("sid"), F.round("d", 6).alias("d"))
 
 
+@query("geo27_nearest_split", f"WITH b AS (SELECT p_partkey AS box, {PART_BOX} FROM part), s AS (SELECT s_suppkey AS sid, {SUPPLIER_POINT} FROM supplier), c AS (SELECT box, i, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS i FROM b)), o AS (SELECT i, j, arg_min(sid, (sqrt((x - i - 0.5) * (x - i - 0.5) + (y - j - 0.5) * (y - j - 0.5)), sid)) AS site FROM (SELECT DISTINCT i, j FROM c), s GROUP BY 1, 2) SELECT box, site, CAST(count(*) AS BIGINT) AS cells FROM c JOIN o USING (i, j) GROUP BY 1, 2")
+def nearest_split(spark, sf):
+    boxes, sites = points(spark, sf, "part", "p_partkey", PART_BOX), points(spark, sf, "supplier", "s_suppkey", SUPPLIER_POINT)
+    return spatial.split_by_nearest(boxes, sites, 1.0, 32.0)
+
+
 @query("jon09_arg_min_within", f"{NEAREST} SELECT id, arg_min(sid, (d, sid)) AS sid, round(min(d), 6) AS d FROM d WHERE d <= 60 GROUP BY id")
 def arg_min_within(spark, sf):
     p, s = points(spark, sf, "part", "p_partkey", PART_POINT), points(spark, sf, "supplier", "s_suppkey", SUPPLIER_POINT)

@@ -195,6 +195,14 @@ def test_nearest_against_all_pairs(spark, cell):
         assert got[i] == (near, pytest.approx(d))
 
 
+def test_split_by_nearest(spark):
+    """Cells on the line between two sites go to the least id; a box beyond all sites, and one without area."""
+    sites = spark.createDataFrame([(2, 0.0, 0.0), (1, 4.0, 0.0), (3, 0.0, 50.0)], "id long, x double, y double")
+    boxes = spark.createDataFrame([(10, 0.0, 0.0, 4.0, 2.0), (11, 1.5, 0.0, 2.5, 1.0), (12, -900.0, 0.0, -899.0, 1.0), (13, 1.0, 1.0, 1.0, 9.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r["box"], r["site"], r["cells"]) for r in spatial.split_by_nearest(boxes, sites, 1.0, 2.0).collect())
+    assert got == [(10, 1, 4), (10, 2, 4), (11, 2, 1), (12, 2, 1)]
+
+
 def test_claims_add_up(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 0, 4, 4), (2, 0, 2, 2, 6, 6), (3, 2, 2, 2, 4, 4)], "id long, rank int, x0 int, y0 int, x1 int, y1 int")
     got = {r["id"]: r["area"] for r in overlay.claimed(boxes).collect()}
