@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators import browse, filters, spatial
+from kerbline.operators import browse, filters, spatial, trees
 from kerbline.plans.joins import PART_POINT, SUPPLIER_POINT, columns, points
 from kerbline.plans.registry import query, table
 
@@ -19,6 +22,33 @@ def children(spark, sf):
     return browse.children(n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("parent")), s.select(F.col("s_nationkey").alias("parent")), 2)
 
 
+NODES = """t AS MATERIALIZED (SELECT 'r' || r_regionkey AS id, NULL AS parent, 'region' AS kind, ['r' || r_regionkey] AS path FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'nation', ['r' || n_regionkey, 'n' || n_nationkey] FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'customer', ['r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey] FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'supplier', ['r' || n_regionkey, 'n' || n_nationkey, 's' || s_suppkey] FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'order', ['r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey, 'o' || o_orderkey]
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def nodes(spark, sf):
+    """id, parent, kind of regions, nations, customers, suppliers and orders."""
+    i = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    ranks = [("region", "r", "r_regionkey", None, None), ("nation", "n", "n_nationkey", "r", "n_regionkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("orders", "o", "o_orderkey", "c", "o_custkey")]
+    parts = [table(spark, sf, t).select(i(p, k).alias("id"), (i(up, of) if up else F.lit(None).cast("string")).alias("parent"), F.lit(t.removesuffix("s")).alias("kind")) for t, p, k, up, of in ranks]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("grf17_nested", f"WITH {NODES}, o AS (SELECT id, path, row_number() OVER (ORDER BY path) AS k, len(path) AS depth FROM t), n AS (SELECT unnest(path) AS id, count(*) AS n FROM t GROUP BY 1) SELECT id, CAST(2 * k - depth AS BIGINT) AS low, CAST(2 * k - depth + 2 * n - 1 AS BIGINT) AS high FROM o JOIN n USING (id)")
+def nested_numbers(spark, sf):
+    return trees.nested(nodes(spark, sf))
+
+
+@query("api02_below", f"WITH {NODES} SELECT u.id, kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT kind, unnest(path[:-2]) AS id FROM t) u GROUP BY 1, 2")
+def counted_below(spark, sf):
+    n = nodes(spark, sf)
+    return trees.counted_below(trees.nested(n).join(n.select("id", "kind"), "id"), "kind")
+
+
 @query("api03_focus", f"WITH p AS (SELECT p_partkey AS id, {PART_POINT} FROM part), s AS (SELECT s_suppkey AS sid, {SUPPLIER_POINT} FROM supplier WHERE s_suppkey IN (3, 17)) SELECT DISTINCT p.id FROM p JOIN s ON (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) <= 2500")
 def focus(spark, sf):
     chosen = table(spark, sf, "supplier").filter(F.col("s_suppkey").isin(3, 17)).selectExpr("s_suppkey AS id", *columns(SUPPLIER_POINT))
