@@ -122,12 +122,16 @@ def asof(spark, sf):
     return temporal.asof(left, right, "user_id", "ts", {"event_id": "last_view"}).select("event_id", "last_view")
 
 
-@query("jon13_disjoint_periods", "WITH p AS (SELECT user_id, event_type, min(ts) AS t0, max(ts) AS t1 FROM events GROUP BY 1, 2) SELECT a.user_id, a.event_type AS one, b.event_type AS two FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type < b.event_type AND (a.t1 < b.t0 OR b.t1 < a.t0)")
+@query("jon13_disjoint_periods", """WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, min(ts) AS t0, max(ts) AS t1 FROM events GROUP BY 1, 2, 3)
+  SELECT a.user_id, strftime(a.day, '%Y-%m-%d') AS day, a.event_type AS one, b.event_type AS two FROM p a JOIN p b
+    ON a.user_id = b.user_id AND a.day = b.day AND a.event_type < b.event_type AND (a.t1 < b.t0 OR b.t1 < a.t0)""")
 def disjoint_periods(spark, sf):
-    p = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    p = e.groupBy("user_id", "day", "event_type").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_type") < F.col("b.event_type")) & temporal.disjoint("a.t0", "a.t1", "b.t0", "b.t1")
-    return a.join(b, on).select("a.user_id", F.col("a.event_type").alias("one"), F.col("b.event_type").alias("two"))
+    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.event_type") < F.col("b.event_type"))
+    apart = same & temporal.disjoint("a.t0", "a.t1", "b.t0", "b.t1")
+    return a.join(b, apart).select("a.user_id", "a.day", F.col("a.event_type").alias("one"), F.col("b.event_type").alias("two"))
 
 
 @query("jon14_ray_hits", f"WITH s AS (SELECT s_suppkey AS id, {SUPPLIER_POINT} FROM supplier), b AS (SELECT p_partkey AS pid, {PART_BOX} FROM part) SELECT id, min(x0 - x) AS d FROM s JOIN b ON y BETWEEN y0 AND y1 AND x0 >= x AND x0 - x <= 100 GROUP BY id")
@@ -142,9 +146,10 @@ def semi_keys(spark, sf):
     return table(spark, sf, "lineitem").join(keys, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("jon16_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("jon16_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    large = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey").join(large, "c_custkey", "left_anti")
 
 
 @query("jon17_update_from", "SELECT p_partkey, coalesce(u.price, p_retailprice) AS p_retailprice FROM part LEFT JOIN (SELECT l_partkey, round(max(l_extendedprice / l_quantity), 6) AS price FROM lineitem WHERE l_discount > 0.08 GROUP BY 1) u ON l_partkey = p_partkey")

@@ -9,6 +9,7 @@ from kerbline.functions import shapes as g
 from kerbline.operators import graph, nodes, spatial, streets
 from kerbline.plans.geometry import BOX, lines, rings
 from kerbline.plans.joins import PART_BOX, PART_POINT, SUPPLIER_POINT, columns, points
+from kerbline.plans.junctions import LINE, SQUARE, network, squares
 from kerbline.plans.registry import query, table
 
 
@@ -65,9 +66,19 @@ def touch_length(spark, sf):
     return rings(spark, sf).select("id", F.round(o.touch_length(F.col("ring"), beside, 0.05), 6).alias("d"))
 
 
-@query("geo39_rectangularity", f"{BOX} SELECT id, 1.0 AS whole, 0.5 AS half FROM b")
+TRAPEZE = """p AS (SELECT p_partkey AS id, 4 + p_size % 20 AS w, 3 + p_partkey % 11 AS h, p_partkey % 4 AS c FROM part),
+  v AS (SELECT id, unnest([0, w, w - c, 0]) AS x, unnest([0, 0, h, h]) AS y FROM p),
+  e AS (SELECT id, unnest([w, -c, c - w, 0]) AS dx, unnest([0, h, 0, -h]) AS dy FROM p),
+  r AS (SELECT e.id, dx, dy, (max(x * dx + y * dy) - min(x * dx + y * dy)) * (max(y * dx - x * dy) - min(y * dx - x * dy)) / (dx * dx + dy * dy) AS area FROM e JOIN v USING (id) GROUP BY 1, 2, 3)"""
+
+
+@query("geo39_rectangularity", f"WITH {TRAPEZE} SELECT id, round((w - c / 2) * h / (SELECT min(area) FROM r WHERE r.id = p.id), 6) AS share FROM p")
 def rectangularity(spark, sf):
-    return rings(spark, sf).select("id", F.round(o.rectangularity(F.col("ring")), 6).alias("whole"), F.round(o.rectangularity(o.closed(F.slice("ring", 1, 3))), 6).alias("half"))
+    k = F.col("p_partkey")
+    w, h, c = 4 + F.col("p_size") % 20, 3 + k % 11, k % 4
+    zero = F.lit(0)
+    ring = F.array(*[g.point(x, y) for x, y in ((zero, zero), (w, zero), (w - c, h), (zero, h), (zero, zero))])
+    return table(spark, sf, "part").select(k.alias("id"), F.round(o.rectangularity(ring), 6).alias("share"))
 
 
 WAYS = f"WITH s AS (SELECT s_suppkey AS unit, {SUPPLIER_POINT} FROM supplier), b AS (SELECT p_partkey AS other, {PART_BOX} FROM part), p AS (SELECT unit, other, x, y, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x0, y0, x1, y1, sqrt(((x0 + x1) / 2 - x) * ((x0 + x1) / 2 - x) + ((y0 + y1) / 2 - y) * ((y0 + y1) / 2 - y)) AS d FROM s JOIN b ON sqrt(((x0 + x1) / 2 - x) * ((x0 + x1) / 2 - x) + ((y0 + y1) / 2 - y) * ((y0 + y1) / 2 - y)) <= 40)"
@@ -106,9 +117,14 @@ def blended(spark, sf):
     return nodes.weighted(around(spark, sf, 80.0), 1 / ((F.col("d") + 2) * (F.col("d") + 2)), "z").withColumn("z", F.round("z", 4))
 
 
-@query("geo48_bisector", f"{BOX} SELECT id, round(sqrt(0.5), 6) AS x0, round(sqrt(0.5), 6) AS y0 FROM b")
+@query("geo48_bisector", """WITH d AS (SELECT p_partkey AS id, 1 + p_partkey % 7 AS ix, p_partkey % 5 AS iy, p_size % 9 - 2 AS ox, 1 + p_size % 4 AS oy FROM part),
+  n AS (SELECT id, ix / sqrt(ix * ix + iy * iy) + ox / sqrt(ox * ox + oy * oy) AS x, iy / sqrt(ix * ix + iy * iy) + oy / sqrt(ox * ox + oy * oy) AS y FROM d)
+  SELECT id, round(x / sqrt(x * x + y * y), 6) AS x0, round(y / sqrt(x * x + y * y), 6) AS y0 FROM n""")
 def bisector(spark, sf):
-    return xy(lines(spark, sf).select("id", o.bisector(F.col("line")[0], F.col("line")[1], F.col("line")[2]).alias("n")), F.col("n"))
+    k, s = F.col("p_partkey"), F.col("p_size")
+    at = g.point(10 + k % 7, k % 5)
+    after = g.point(10 + k % 7 + s % 9 - 2, k % 5 + 1 + s % 4)
+    return xy(table(spark, sf, "part").select(k.alias("id"), o.bisector(g.point(F.lit(9), F.lit(0)), at, after).alias("n")), F.col("n"))
 
 
 @query("geo49_kernel", f"WITH {NEAR}, d AS (SELECT id, z, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p JOIN s ON sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) <= 90) SELECT id, round(sum(z * exp(-d * d / 1800)) / sum(exp(-d * d / 1800)), 4) AS z FROM d GROUP BY id")
@@ -139,12 +155,22 @@ def stream_kinds(spark, sf):
     return nodes.stream_kinds(s.join(given, "kind").drop("kind"))
 
 
-@query("grf13_connectors", "WITH e AS (SELECT p_partkey % 400 AS section, p_partkey % 97 AS source, (p_partkey * 7 + 3) % 89 AS target, p_size AS len FROM part), n AS (SELECT section, source AS node FROM e UNION ALL SELECT section, target FROM e), odd AS (SELECT section, node, count(*) % 2 AS odd FROM n GROUP BY 1, 2), a AS (SELECT section, sum(odd) AS loose, sum(CASE WHEN odd = 1 AND node % 3 <> 0 THEN 1 ELSE 0 END) AS held FROM odd GROUP BY 1), w AS (SELECT section, CAST(sum(len) AS DOUBLE) AS len FROM e GROUP BY 1 HAVING sum(len) < 150) SELECT section, len, CASE WHEN loose = 0 THEN 'ring' ELSE 'connector' END AS kind FROM w JOIN a USING (section) WHERE loose = 0 OR (loose = 2 AND held = 2)")
+#: Edges of the customers' lattice; those of its corner squares are one section each, all others are sections by themselves.
+SECTIONS = f"""{LINE}, {SQUARE}, e AS MATERIALIZED (SELECT l.edge, l.source, l.target, coalesce(-sq - 1, l.edge) AS section, sqrt((l.x1 - l.x0) ** 2 + (l.y1 - l.y0) ** 2) AS len
+    FROM line l LEFT JOIN square s ON s.edge = l.edge),
+  odd AS (SELECT section, node, count(*) % 2 AS odd FROM (SELECT section, source AS node FROM e UNION ALL SELECT section, target FROM e) GROUP BY 1, 2),
+  a AS (SELECT section, sum(odd) AS loose, sum(CASE WHEN odd = 1 AND degree >= 3 THEN 1 ELSE 0 END) AS held FROM odd JOIN deg USING (node) GROUP BY 1),
+  w AS (SELECT section, sum(len) AS len FROM e GROUP BY 1 HAVING sum(len) < 420)"""
+
+
+@query("grf13_connectors", f"WITH {SECTIONS} SELECT section, round(len, 6) AS len, CASE WHEN loose = 0 THEN 'ring' ELSE 'connector' END AS kind FROM w JOIN a USING (section) WHERE loose = 0 OR (loose = 2 AND held = 2)")
 def connectors(spark, sf):
-    p, k = table(spark, sf, "part"), F.col("p_partkey")
-    e = p.select((k % 400).alias("section"), (k % 97).alias("source"), ((k * 7 + 3) % 89).alias("target"), F.col("p_size").cast("double").alias("len"))
-    junctions = e.select(F.explode(F.array("source", "target")).alias("node")).filter("node % 3 <> 0")
-    return nodes.connectors(e, junctions, 150.0)
+    edges = network(spark, sf)[1]
+    square = (-(F.floor(F.col("i") / 4) + 1000 * F.floor(F.col("j") / 4)) - 1).alias("square")
+    of = edges.join(squares(edges).select("edge"), "edge", "left_semi").select("edge", square)
+    e = edges.join(of, "edge", "left").select(F.coalesce("square", "edge").alias("section"), "source", "target", F.col("length").alias("len"))
+    junctions = graph.degree(edges).filter("degree >= 3").select("node")
+    return nodes.connectors(e, junctions, 420.0).withColumn("len", F.round("len", 6))
 
 
 @query("grf14_shape_clusters", f"WITH RECURSIVE b AS (SELECT p_partkey AS id, {PART_BOX} FROM part), l AS (SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), r(id, seen) AS (SELECT a, a FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen) SELECT id, min(seen) AS cluster FROM r GROUP BY 1")

@@ -78,10 +78,12 @@ def degree_box(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(F.lit(250) / 111320.0, 9).alias("dlat"), F.round(250 / (111320.0 * F.cos(F.radians(40 + F.col("s_nationkey")))), 9).alias("dlon"))
 
 
-@query("mth05_vertical_curve", "SELECT p_partkey, round(CASE WHEN s <= 400 THEN s * 0.04 ELSE 16.0 - (s - 400) * 16 / 600 END, 6) AS z FROM (SELECT p_partkey, CAST(p_partkey % 1000 AS DOUBLE) AS s FROM part)")
+@query("mth05_vertical_curve", """SELECT p_partkey, round(CASE WHEN abs(s - 400) < 60 THEN 16 - 60 * 0.04 + 0.04 * (s - 340) + (-16 / 600.0 - 0.04) / 240 * (s - 340) ** 2
+  WHEN s <= 400 THEN s * 0.04 ELSE 16.0 - (s - 400) * 16 / 600 END, 6) AS z FROM (SELECT p_partkey, CAST(p_partkey % 1000 AS DOUBLE) AS s FROM part)""")
 def vertical_curve(spark, sf):
     knots = [(0.0, 0.0), (400.0, 16.0), (1000.0, 0.0)]
-    return table(spark, sf, "part").select("p_partkey", F.round(profiles.height(knots, (F.col("p_partkey") % 1000).cast("double")), 6).alias("z"))
+    z = profiles.height(knots, (F.col("p_partkey") % 1000).cast("double"), 120.0)
+    return table(spark, sf, "part").select("p_partkey", F.round(z, 6).alias("z"))
 
 
 @query("lst01_lists", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS flags, array_to_string(list_filter(list_sort(list(l_linenumber)), lambda x: x > 2)[1:2], ',') AS later, list_contains(list(l_linestatus), 'O') AS any_open FROM lineitem GROUP BY 1")
