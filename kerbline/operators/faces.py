@@ -43,7 +43,7 @@ def following(halves: DataFrame) -> DataFrame:
     return own.join(sorted_.select("place", F.col("h").alias("next")), "place").select("id", "next")
 
 
-def rings(halves: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def rings(halves: DataFrame) -> DataFrame:
     """The half-edges with ring, the least half-edge of theirs, and next."""
     pointers = cut(following(halves))
     found = followed(pointers).select(F.col("id").alias("h"), F.col("least").alias("ring"))
@@ -128,7 +128,8 @@ def sides(ringed: DataFrame, street: str) -> DataFrame:
     """face, side, street, edges, length: stretches of one street along the outline of a face; a side is called by its last
     half-edge, and by the least one where one street runs all around. Outlines of parts within a face aren't listed."""
     inner = outlines(ringed).filter("inner").select("ring")
-    own = cut(ringed.join(inner, "ring", "left_semi").select("h", "ring", "next", F.col(street).alias("street"), F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("length")))
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    own = cut(ringed.join(inner, "ring", "left_semi").select("h", "ring", "next", F.col(street).alias("street"), length.alias("length")))
     ahead = own.select(F.col("h").alias("next"), F.col("street").alias("then"))
     same = own.join(ahead, "next").select(F.col("h").alias("id"), F.when(F.col("street").eqNullSafe(F.col("then")), F.col("next")).alias("next"))
     named = followed(same).select(F.col("id").alias("h"), F.when(F.col("ring"), F.col("least")).otherwise(F.col("last")).alias("side"))

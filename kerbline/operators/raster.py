@@ -55,7 +55,9 @@ def _gaps(columns: DataFrame) -> DataFrame:
     by = Window.partitionBy("i").orderBy("j0")
     below = F.coalesce(F.lag("j1").over(by) + 1, F.lit(-_FAR))
     last = F.lead("j0").over(by).isNull()
-    pairs = columns.select("i", F.struct(below.alias("j0"), (F.col("j0") - 1).alias("j1")).alias("gap"), F.when(last, F.struct((F.col("j1") + 1).alias("j0"), F.lit(_FAR).alias("j1"))).alias("end"))
+    gap = F.struct(below.alias("j0"), (F.col("j0") - 1).alias("j1"))
+    end = F.when(last, F.struct((F.col("j1") + 1).alias("j0"), F.lit(_FAR).alias("j1")))
+    pairs = columns.select("i", gap.alias("gap"), end.alias("end"))
     return pairs.select("i", F.explode(F.array_compact(F.array("gap", "end"))).alias("g")).select("i", "g.j0", "g.j1").filter("j1 >= j0")
 
 
@@ -109,10 +111,15 @@ def outlines(found: DataFrame, beside: DataFrame) -> DataFrame:
     found = cut(found)
     size = found.groupBy("part").agg(F.sum(F.col("j1") - F.col("j0") + 1).alias("cells"), F.count("*").alias("n"))
     inner = _shared(found, found, 1).groupBy("part").agg(F.sum("n").alias("inner"))
-    ends = beside.select("i", F.explode(F.array(F.struct(F.col("j0").alias("j"), F.lit("low").alias("side")), F.struct(F.col("j1").alias("j"), F.lit("high").alias("side")))).alias("e"))
-    touch = ends.select("i", "e.j", "e.side")
-    own = found.select("part", "i", F.explode(F.array(F.struct((F.col("j1") + 1).alias("j"), F.lit("low").alias("side")), F.struct((F.col("j0") - 1).alias("j"), F.lit("high").alias("side")))).alias("e"))
-    stacked = own.select("part", "i", "e.j", "e.side").join(touch, ["i", "j", "side"]).select("part", F.lit(1).cast("long").alias("n"))
+
+    def tips(df: DataFrame, low: Column, high: Column, *keep: str) -> DataFrame:
+        """A cell and a side for both ends of a run."""
+        both = F.array(F.struct(low.alias("j"), F.lit("low").alias("side")), F.struct(high.alias("j"), F.lit("high").alias("side")))
+        return df.select(*keep, "i", F.inline(both))
+
+    # What lies just above a run begins a run of the other ground with its lower end, and the other way round.
+    own = tips(found, F.col("j1") + 1, F.col("j0") - 1, "part")
+    stacked = own.join(tips(beside, F.col("j0"), F.col("j1")), ["i", "j", "side"]).select("part", F.lit(1).cast("long").alias("n"))
     along = _shared(found, beside, 1).unionAll(_shared(found, beside, -1)).unionAll(stacked).groupBy("part").agg(F.sum("n").alias("along"))
     both = size.join(inner, "part", "left").join(along, "part", "left")
     outline = 2 * F.col("n") + 2 * F.col("cells") - 2 * F.coalesce("inner", F.lit(0))

@@ -43,7 +43,8 @@ def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     cell = radius
     left = a.select(F.struct(*a.columns).alias("a"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = b.select(F.struct(*b.columns).alias("b"), F.explode(around).alias("o")).select("b", (F.floor(F.col("b.x") / cell) + F.col("o.i")).alias("cx"), (F.floor(F.col("b.y") / cell) + F.col("o.j")).alias("cy"))
+    near = b.select(F.struct(*b.columns).alias("b"), F.explode(around).alias("o"))
+    right = near.select("b", (F.floor(F.col("b.x") / cell) + F.col("o.i")).alias("cx"), (F.floor(F.col("b.y") / cell) + F.col("o.j")).alias("cy"))
     return left.join(right, ["cx", "cy"]).withColumn("d", _distance()).filter(F.col("d") <= radius).select("a", "b", "d")
 
 
