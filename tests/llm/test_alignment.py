@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyarrow import fs
 from tokenizers import Tokenizer
 
 from kerbline.llm import alignment, common
@@ -123,3 +125,18 @@ def test_odd_rows(odd_docs, no_docs):
     want, _ = brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert rows(alignment.report(odd_docs, A, RANKS, B)) == want
     assert rows(alignment.report(no_docs, A, RANKS, B)) == []
+
+
+def test_shards_in_a_store_that_is_no_mounted_path(tmp_path, monkeypatch):
+    """They are copied to where they can be mapped, under no name that would stay."""
+    table = np.array([[3, 9, 12], [1, 1, 4]])
+    np.save(tmp_path / "00000000.npy", table)
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(alignment, "_files", lambda folder: (store, "."))
+    monkeypatch.setattr(alignment.tempfile, "tempdir", str(tmp_path / "own"))
+    (tmp_path / "own").mkdir()
+    assert store.type_name != "local"
+    got = alignment._shard("store://x", "00000000.npy")
+    assert isinstance(got, np.memmap) and (got == table).all() and not list((tmp_path / "own").iterdir())
+    found = alignment.PairCounts("store://x", ("00000000.npy",), np.array([3]), np.zeros(1, np.int64))
+    assert alignment.Lookup(found).counts(np.array([9, 12])).tolist() == [1, 4]
