@@ -19,7 +19,7 @@ def fuse(records: DataFrame, radius: float) -> DataFrame:
     can want the same thing. A record without a place begins a thing."""
     rank = F.struct("source_rank", (-F.col("seen")).alias("age"), "id")
     placed = records.select("id", "class", "source_rank", "x", "y", rank.alias("rank"))
-    near = spatial.distance_join(placed, placed, 2 * radius).filter("a.class = b.class AND a.rank < b.rank")
+    near = spatial.distance_join(placed, placed, 2 * radius, ("class",)).filter("a.rank < b.rank")
     near = cut(near.select(F.col("a.id").alias("earlier"), F.col("b.id").alias("id"), "d"))
     sources = cut(records.select("id", "source_rank"))
     waits = cut(near.select("id").distinct())

@@ -38,14 +38,16 @@ def _distance():
     return F.sqrt(dx * dx + dy * dy)
 
 
-def distance_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs (a, b) of points (x, y) within the radius, with their distance d. Cells are as wide as the radius: b goes to the nine around."""
-    cell = radius
-    left = a.select(F.struct(*a.columns).alias("a"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+def distance_join(a: DataFrame, b: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of points (x, y) within the radius, with their distance d; of one value in each column of `by`, if there are any.
+    Cells are as wide as the radius: b goes to the nine around."""
+    cell, keys = radius, [f"_{c}" for c in by]
+    same = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    left = a.select(F.struct(*a.columns).alias("a"), *same, F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near = b.select(F.struct(*b.columns).alias("b"), F.explode(around).alias("o"))
-    right = near.select("b", (F.floor(F.col("b.x") / cell) + F.col("o.i")).alias("cx"), (F.floor(F.col("b.y") / cell) + F.col("o.j")).alias("cy"))
-    return left.join(right, ["cx", "cy"]).withColumn("d", _distance()).filter(F.col("d") <= radius).select("a", "b", "d")
+    near = b.select(F.struct(*b.columns).alias("b"), *same, F.explode(around).alias("o"))
+    right = near.select("b", *keys, (F.floor(F.col("b.x") / cell) + F.col("o.i")).alias("cx"), (F.floor(F.col("b.y") / cell) + F.col("o.j")).alias("cy"))
+    return left.join(right, [*keys, "cx", "cy"]).withColumn("d", _distance()).filter(F.col("d") <= radius).select("a", "b", "d")
 
 
 def nearest(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
