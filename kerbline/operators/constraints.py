@@ -33,7 +33,8 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
 
 
 def suite(checks: list[Check]) -> DataFrame:
-    """id, text, n, status (PASS, FAIL for a broken hard check, INFO), examples: one pass over each check's violations."""
+    """id, text, n, status (PASS, FAIL for a broken hard check, INFO), examples. Each check's violations are read twice: counted, and for their
+    least items; store them first where they are dear."""
     out = None
     for c in checks:
         first = F.slice(F.array_sort(F.collect_set("item")), 1, EXAMPLES)

@@ -17,9 +17,8 @@ def mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def upper_median(value: str) -> Column:
-    """The middle value, of an even number the upper one."""
-    whole = F.array_sort(F.collect_list(value))
-    return F.get(whole, F.floor(F.size(whole) / 2).cast("int"))
+    """The middle value of numbers, of an even number the upper one; a group is held as its different values with their counts."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`)")
 
 
 def top_values(value: str, order: list[Column], k: int) -> Column:
@@ -49,17 +48,20 @@ def value_samples(df: DataFrame, fields: list[str], most: int = 31) -> DataFrame
     """field, samples (its first values, sorted), n (rows of the table)."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
     values = df.select(F.inline(pairs)).groupBy("field", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("field")
-    first = values.withColumn("k", F.row_number().over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w)).filter(F.col("k") <= most)
-    return first.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"), F.max("n").alias("n"))
+    # Each task passes on its first values only; all are counted apart.
+    ranked = values.withColumn("k", F.row_number().over(Window.partitionBy("field").orderBy("value"))).filter(F.col("k") <= most)
+    first = ranked.groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
+    return first.join(values.groupBy("field").agg(F.sum("c").alias("n")), "field").select("field", "samples", "n")
 
 
 def tag_inventory(tagged: DataFrame, k: int) -> DataFrame:
     """key, n, kept, top: how often each key occurs, in how many kept rows, and its k commonest values. tagged: tags (map), kept."""
     c = tagged.select(F.explode("tags"), "kept").groupBy("key", "value").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
-    ranked = c.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "value")))
-    top = F.array_sort(F.collect_list(F.when(F.col("k") <= k, F.struct("k", "value"))))
-    return ranked.groupBy("key").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.array_join(F.transform(top, lambda s: s["value"]), ",").alias("top"))
+    # As above: a key with very many values is no single task.
+    first = c.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "value"))).filter(F.col("k") <= k)
+    top = F.array_sort(F.collect_list(F.struct("k", "value")))
+    named = first.groupBy("key").agg(F.array_join(F.transform(top, lambda s: s["value"]), ",").alias("top"))
+    return c.groupBy("key").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).join(named, "key").select("key", "n", "kept", "top")
 
 
 def peak_hour(df: DataFrame, by: str, at: str) -> DataFrame:
