@@ -13,7 +13,7 @@ from kerbline.operators.store import shared_dir
 from kerbline.plans.geometry import BOX, rings
 from kerbline.plans.joins import PART_POINT, columns
 from kerbline.plans.registry import query, table
-from kerbline.sources import readers, writers
+from kerbline.sources import clustered, readers, writers
 
 
 def place(spark, name):
@@ -57,6 +57,13 @@ def box_scan(spark, sf):
     return readers.in_box(spark.read.parquet(path), 100, 400, 300, 900).select("id")
 
 
+@query("src10_clustered_scan", f"SELECT id, x, y FROM (SELECT p_partkey AS id, {PART_POINT} FROM part) WHERE x BETWEEN 120 AND 310 AND y BETWEEN 440 AND 870")
+def clustered_scan(spark, sf):
+    path, grid = place(spark, "clustered"), clustered.Grid(0.0, 0.0, 1000.0, 1000.0)
+    clustered.write(table(spark, sf, "part").selectExpr("p_partkey AS id", *columns(PART_POINT)), grid, path)
+    return clustered.in_box(spark.read.parquet(path), grid, (120.0, 440.0, 310.0, 870.0))
+
+
 @query("src12_xml", "SELECT n_nationkey AS id, n_name AS name FROM nation")
 def xml(spark, sf):
     path = place(spark, "xml")
