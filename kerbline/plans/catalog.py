@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.plans import aggregates, api, blocks, checks, geometry, graph, joins, junctions, lanes, matching, network, outlines, pipeline, projections, rasters, registry, scalars, sections, sources, streams, windows  # noqa: F401  each registers its queries
+from kerbline.plans import aggregates, alignments, api, blocks, checks, geometry, graph, joins, junctions, lanes, matching, network, outlines, pipeline, projections, rasters, registry, scalars, sections, sources, streams, windows  # noqa: F401  each registers its queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
