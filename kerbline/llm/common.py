@@ -65,4 +65,18 @@ def hash_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     if n <= most:
         return df
     span = 1 << 40
-    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(span)) < int(span * 0.9 * most / n)).limit(most)
+    return df.filter(F.pmod(F.xxhash64(id_col), F.lit(span)) < int(span * 0.9 * most / n)).orderBy(F.xxhash64(id_col), F.xxhash64(*df.columns)).limit(most)
+
+
+def bounded(rows: DataFrame, id_col: str, most_chars: int) -> DataFrame:
+    """Rows (id_col, text, ...) of a sample of some thousands, in the order of a hash of id and text as long as their texts hold no more
+    than `most_chars` characters in all; copies of a row are one. Only hashes and lengths come to the driver."""
+    key = F.xxhash64(id_col, "text")
+    told = stored(rows.distinct())
+    total, level = 0, None
+    for h, n in sorted((r["h"], r["n"]) for r in told.select(key.alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()):
+        total += n
+        if total > most_chars:
+            return told.filter(key <= level) if level is not None else told.limit(0)
+        level = h
+    return told

@@ -6,7 +6,7 @@ normal form (the last digits of a number, the local part of an address) are join
 links grow as nodes. Base nodes hold their kind; loopy sum-product message passing carries it to the candidates, and a candidate
 whose probability of one kind reaches LEVEL becomes a span of that kind. The field runs in every document that has a candidate.
 
-Learning reads a bounded sample of documents, MOST_TRAIN at most by a hash of the id, of texts up to MOST_CHARS long. Weights of
+Learning reads a bounded sample of documents, MOST_TRAIN at most by a hash of the id, of texts up to MOST_CHARS long and MOST_TOTAL in all. Weights of
 shapes, of the chain and of the skip links are fitted together in numpy by pseudo-likelihood. Examples of a kind are the base spans
 and copies of them whose mark is hidden, as the patterns would miss them (an address with its at sign spelt out, a phone number
 without its country code, a card in dotted groups), once beside their original and once alone, and beside it also their digits in
@@ -35,6 +35,8 @@ from kerbline.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TRAIN, MOST_CHARS = 2000, 100_000
+#: Characters that all learnt texts hold together.
+MOST_TOTAL = 8_000_000
 #: Probability from which a candidate becomes a span, and rounds of messages.
 LEVEL, ROUNDS = 0.5, 12
 #: Drawn runs of digits for each base span, steps of the fit, and the weight of its penalty.
@@ -282,8 +284,8 @@ def fit(texts: list[str]) -> Model:
 
 def learn(docs: DataFrame) -> Model:
     told = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= MOST_CHARS))
-    rows = common.hash_sample(told, "doc_id", MOST_TRAIN)
-    return fit([r["text"] for r in rows.orderBy("doc_id", "text").collect()])  # bounded by MOST_TRAIN and MOST_CHARS
+    rows = common.bounded(common.hash_sample(told, "doc_id", MOST_TRAIN), "doc_id", MOST_TOTAL)
+    return fit([r["text"] for r in rows.orderBy("doc_id", "text").collect()])  # bounded by MOST_TOTAL
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:

@@ -1,7 +1,7 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Learning reads a bounded sample of labelled rows, at most MOST_TOXIC toxic and MOST_CLEAN other ones, the first by a hash of the
-id, one text of at most MOST_CHARS characters an id. A word is labelled toxic where its document is and where the word, or a stem of it, is far commoner in toxic documents.
+id, one text of at most MOST_CHARS characters an id, and MOST_TOTAL characters in all. A word is labelled toxic where its document is and where the word, or a stem of it, is far commoner in toxic documents.
 A chain of two states with hashed features of word, stems and ending is fitted to these words in numpy; a logistic curve over a
 document's marginals is fitted to the documents' labels. Scoring then runs over every text: forward-backward gives each word's
 probability, and their sum and maximum give the score; words of at least SPAN_LEVEL are offending, with their offsets.
@@ -31,6 +31,8 @@ from kerbline.llm import chain, common
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
 #: Characters of a text that the sample may hold; a longer labelled text is scored but not learnt from.
 MOST_CHARS = 100_000
+#: Characters that all learnt texts hold together: some 450 MB on the driver while the model is fitted.
+MOST_TOTAL = 8_000_000
 FEATURES = 1 << 18
 ROUNDS = 30
 #: A feature marks words as toxic from this many toxic documents and this ratio of rates.
@@ -148,10 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(common.fold(F.col("doc_id"), 3) != 1)
     first = lambda toxic, most: own.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = first(1, MOST_TOXIC).unionAll(first(0, MOST_CLEAN))
-    # One text an id, the first by hash, of MOST_CHARS at most: the two limits bound what comes to the driver.
+    # One text an id, the first by hash; MOST_TOTAL bounds what comes to the driver.
     texts = docs.select("doc_id", "text").filter(F.length("text") <= MOST_CHARS).join(F.broadcast(sample), "doc_id")
     first = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
-    rows = texts.groupBy("doc_id", "toxic").agg(first.alias("text")).collect()
+    rows = common.bounded(texts.groupBy("doc_id", "toxic").agg(first.alias("text")), "doc_id", MOST_TOTAL).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 

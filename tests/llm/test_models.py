@@ -412,3 +412,22 @@ def test_components_of_fingerprints(spark, monkeypatch, hot):
                 root[max(a, b)] = min(a, b)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.report(docs).collect()}
     assert got == {i: (format(f, "016x"), find(i)) for i, f in rows}
+
+
+def test_bounded_samples(spark):
+    """Samples depend on rows only, not on how they lie, and their texts keep to the bound."""
+    from kerbline.llm import common
+
+    rows = [(k % 70, "x" * (k * 37 % 400)) for k in range(300)] + [(500, None), (500, "y" * 50), (500, "y" * 50), (None, "z")]
+    taken = []
+    for parts in (1, 9):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        some = common.bounded(df, "doc_id", 9_000).collect()
+        assert len({(r["doc_id"], r["text"]) for r in some}) == len(some)
+        assert 8_600 <= sum(len(r["text"] or "") for r in some) <= 9_000
+        drawn = common.hash_sample(df, "doc_id", 40).collect()
+        assert len(drawn) <= 40
+        taken.append((sorted(map(repr, some)), sorted(map(repr, drawn))))
+        assert {tuple(r) for r in common.bounded(df, "doc_id", 1_000_000).collect()} == set(rows)
+        assert common.bounded(df.filter("doc_id = 500 AND text IS NOT NULL"), "doc_id", 49).count() == 0
+    assert taken[0] == taken[1]
