@@ -12,8 +12,9 @@ from kerbline.operators import spatial
 
 def opposite_halves(ways: DataFrame, radius: float, least_angle: float) -> DataFrame:
     """one, two, d: ways (id, name, heading, x, y) of one name that run against each other within the radius."""
-    near = spatial.distance_join(ways, ways, radius).filter("a.id < b.id AND a.name = b.name")
-    return near.filter(F.abs(g.turn(F.col("a.heading"), F.col("b.heading"))) >= least_angle).select(F.col("a.id").alias("one"), F.col("b.id").alias("two"), "d")
+    against = F.abs(g.turn(F.col("a.heading"), F.col("b.heading"))) >= least_angle
+    near = spatial.distance_join(ways, ways, radius, ("name",), ("heading",), against).filter("a.id < b.id")
+    return near.select(F.col("a.id").alias("one"), F.col("b.id").alias("two"), "d")
 
 
 def walks(starts: DataFrame, steps: DataFrame, most: float, hops: int) -> DataFrame:

@@ -80,7 +80,7 @@ def shapes(spark, sf):
 @query("pip21_reassign", f"WITH {BOX}, p AS (SELECT a.id, x.id AS region, (least(a.x1, x.x1) - greatest(a.x0, x.x0)) * (least(a.y1, x.y1) - greatest(a.y0, x.y0)) AS shared FROM b a JOIN b x ON a.id <> x.id AND a.x0 <= x.x1 AND x.x0 <= a.x1 AND a.y0 <= x.y1 AND x.y0 <= a.y1) SELECT id, arg_max(region, (shared, -region)) AS region FROM p GROUP BY 1")
 def reassign(spark, sf):
     b = points(spark, sf, "part", "p_partkey", PART_BOX)
-    return spatial.largest_overlap(spatial.box_join(b, b, 16.0).filter("a.id <> b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("region"))
+    return spatial.largest_overlap(b, 16.0).select("id", F.col("other").alias("region"))
 
 
 @query("pip24_overlap_priority", f"WITH {OWNED} SELECT b.id, CAST(coalesce(n, 0) AS BIGINT) AS area FROM b LEFT JOIN (SELECT id, count(*) AS n FROM o GROUP BY 1) USING (id)")
