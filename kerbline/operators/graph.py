@@ -68,11 +68,24 @@ def distances(edges: DataFrame, sources: DataFrame, length: str, most: float | N
 
 
 def continuations(ends_: DataFrame, least_angle: float = 135.0) -> DataFrame:
-    """node, a, b: pairs of ends (node, edge, heading) that each are the other's most opposite one at their node, within 45 degrees of straight."""
-    a, b = ends_.alias("a"), ends_.alias("b")
+    """node, a, b: pairs of ends (node, edge, heading) that each are the other's most opposite one at their node, within 45 degrees of straight.
+
+    Ends are told apart by their headings: of a node's ends with one heading only the two least edges can be another's choice, and all
+    look for theirs at once. So pairs grow with a node's different headings and not with its ends."""
+    some = ends_.filter("node IS NOT NULL AND edge IS NOT NULL AND heading IS NOT NULL").select("node", "edge", "heading")
+    low = some.groupBy("node", "heading").agg(F.min("edge").alias("low"))
+    more = some.join(low, ["node", "heading"]).filter(F.col("edge") > F.col("low")).groupBy("node", "heading").agg(F.min("edge").alias("more"))
+    at = cut(low.join(more, ["node", "heading"], "left").select("node", "heading", F.filter(F.array("low", "more"), lambda e: e.isNotNull()).alias("edges")))
+    a, b = at.select("node", "heading").alias("a"), at.hint("merge").alias("b")
     turn = F.abs(F.pmod(F.col("a.heading") - F.col("b.heading") + 180.0, F.lit(360.0)) - 180.0)
-    pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.edge") != F.col("b.edge"))).select("a.node", F.col("a.edge").alias("a"), F.col("b.edge").alias("b"), turn.alias("turn"))
-    best = pairs.groupBy("node", "a").agg(F.max_by("b", F.struct("turn", -F.col("b"))).alias("b"), F.max("turn").alias("turn")).filter(F.col("turn") >= least_angle)
+    pairs = a.join(b, F.col("a.node") == F.col("b.node")).filter(turn >= least_angle).select("a.node", "a.heading", turn.alias("turn"), F.explode("b.edges").alias("b"))
+    offered = cut(pairs.groupBy("node", "heading", "b").agg(F.max("turn").alias("turn")).select("node", "heading", F.struct((-F.col("turn")).alias("turn"), "b").alias("m")))
+    one = offered.groupBy("node", "heading").agg(F.min("m").alias("one"))
+    # An end whose own edge is the best of its heading takes the second best.
+    two = offered.join(one, ["node", "heading"]).filter(F.col("m.b") != F.col("one.b")).groupBy("node", "heading").agg(F.min("m").alias("two"))
+    own = some.join(one.join(two, ["node", "heading"], "left").hint("merge"), ["node", "heading"])
+    choice = F.when(F.col("one.b") != F.col("edge"), F.col("one")).otherwise(F.col("two"))
+    best = own.groupBy("node", F.col("edge").alias("a")).agg(F.min(choice).alias("m")).select("node", "a", F.col("m.b").alias("b")).filter("b IS NOT NULL")
     back = best.select("node", F.col("b").alias("a"), F.col("a").alias("b"))
     return best.select("node", "a", "b").join(back, ["node", "a", "b"], "left_semi").filter("a < b")
 
