@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kerbline.functions import shapes as g
-from kerbline.operators import spatial
+from kerbline.operators import nodes, spatial
 from kerbline.plans.joins import PART_BOX, PART_POINT, SUPPLIER_POINT, points
 from kerbline.plans.registry import query, table
 
@@ -158,6 +158,5 @@ def deck_top(spark, sf):
 @query("geo46_inverse_distance", f"WITH p AS (SELECT p_partkey AS id, {PART_POINT} FROM part), s AS (SELECT s_suppkey AS sid, s_acctbal AS z, {SUPPLIER_POINT} FROM supplier), d AS (SELECT id, z, 1 / greatest((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), 0.01) AS w FROM p JOIN s ON (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) <= 10000) SELECT id, round(sum(w * z) / sum(w), 4) AS z FROM d GROUP BY id")
 def inverse_distance(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("z"), ((F.col("s_suppkey") * 6151) % 1000).cast("double").alias("x"), ((F.col("s_suppkey") * 3571) % 1000).cast("double").alias("y"))
-    near = spatial.distance_join(points(spark, sf, "part", "p_partkey", PART_POINT), s, 100.0)
     w = 1 / F.greatest(F.col("d") * F.col("d"), F.lit(0.01))
-    return near.groupBy(F.col("a.id").alias("id")).agg(F.round(F.sum(w * F.col("b.z")) / F.sum(w), 4).alias("z"))
+    return nodes.weighted(points(spark, sf, "part", "p_partkey", PART_POINT), s, 100.0, w, "z").withColumn("z", F.round("z", 4))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import outlines as o
 from kerbline.functions import shapes as g
-from kerbline.operators import graph, nodes, spatial, streets
+from kerbline.operators import graph, nodes, streets
 from kerbline.plans.geometry import BOX, lines, rings
 from kerbline.plans.joins import PART_BOX, PART_POINT, SUPPLIER_POINT, columns, points
 from kerbline.plans.junctions import LINE, SQUARE, network, squares
@@ -90,31 +90,25 @@ WAYS = f"WITH s AS (SELECT s_suppkey AS unit, {SUPPLIER_POINT} FROM supplier), b
 )
 def front_row(spark, sf):
     s = points(spark, sf, "supplier", "s_suppkey", SUPPLIER_POINT)
-    b = points(spark, sf, "part", "p_partkey", PART_BOX).withColumns({"x": (F.col("x0") + F.col("x1")) / 2, "y": (F.col("y0") + F.col("y1")) / 2})
-    near = spatial.distance_join(s, b, 40.0)
-    way = F.array(g.point(F.col("a.x"), F.col("a.y")), g.point(F.col("b.x"), F.col("b.y")))
-    pairs = near.select(F.col("a.id").alias("unit"), F.col("b.id").alias("other"), way.alias("way"), "d", *[F.col(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return nodes.front_row(pairs).select("unit", "other")
+    return nodes.front_others(s, points(spark, sf, "part", "p_partkey", PART_BOX), 40.0)
 
 
 @query("geo43_colours")
 def colours(spark, sf):
-    b = points(spark, sf, "part", "p_partkey", PART_BOX)
-    near = spatial.box_join(b, b, 16.0).filter("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return nodes.colours(b.select("id"), near)
+    return nodes.box_colours(points(spark, sf, "part", "p_partkey", PART_BOX), 16.0)
 
 
 NEAR = f"p AS (SELECT p_partkey AS id, {PART_POINT} FROM part), s AS (SELECT s_suppkey AS sid, s_acctbal AS z, {SUPPLIER_POINT} FROM supplier)"
 
 
-def around(spark, sf, radius):
+def around(spark, sf, radius, weight):
     s = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_acctbal AS z", *columns(SUPPLIER_POINT))
-    return spatial.distance_join(points(spark, sf, "part", "p_partkey", PART_POINT), s, radius)
+    return nodes.weighted(points(spark, sf, "part", "p_partkey", PART_POINT), s, radius, weight, "z").withColumn("z", F.round("z", 4))
 
 
 @query("geo45_blended", f"WITH {NEAR}, d AS (SELECT id, z, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p JOIN s ON sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) <= 80) SELECT id, round(sum(z / ((d + 2) * (d + 2))) / sum(1 / ((d + 2) * (d + 2))), 4) AS z FROM d GROUP BY id")
 def blended(spark, sf):
-    return nodes.weighted(around(spark, sf, 80.0), 1 / ((F.col("d") + 2) * (F.col("d") + 2)), "z").withColumn("z", F.round("z", 4))
+    return around(spark, sf, 80.0, 1 / ((F.col("d") + 2) * (F.col("d") + 2)))
 
 
 @query("geo48_bisector", """WITH d AS (SELECT p_partkey AS id, 1 + p_partkey % 7 AS ix, p_partkey % 5 AS iy, p_size % 9 - 2 AS ox, 1 + p_size % 4 AS oy FROM part),
@@ -130,7 +124,7 @@ def bisector(spark, sf):
 @query("geo49_kernel", f"WITH {NEAR}, d AS (SELECT id, z, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p JOIN s ON sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) <= 90) SELECT id, round(sum(z * exp(-d * d / 1800)) / sum(exp(-d * d / 1800)), 4) AS z FROM d GROUP BY id")
 def kernel(spark, sf):
     # A width of 30, cut off at three times that.
-    return nodes.weighted(around(spark, sf, 90.0), F.exp(-F.col("d") * F.col("d") / 1800.0), "z").withColumn("z", F.round("z", 4))
+    return around(spark, sf, 90.0, F.exp(-F.col("d") * F.col("d") / 1800.0))
 
 
 @query("geo50_extended", f"{BOX} SELECT id, CAST(4 AS BIGINT) AS n, x1 AS x0, y1 + 150 AS y0 FROM b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbline.operators import spatial
+from kerbline.operators import graph, matching, nodes, spatial
 
 
 def test_rows_of_one_box_are_packed(spark):
@@ -26,3 +26,56 @@ def test_pairs_within_a_distance_by_a_condition_on_places(spark):
     apart = spatial.distance_join(rows, rows, 1.0, (), ("side",), F.col("a.side") != F.col("b.side"))
     want = sorted((a, b, abs(a % 3 - b % 3)) for a in range(60) for b in range(60) if a % 2 != b % 2 and abs(a % 3 - b % 3) <= 1)
     assert sorted((r["a"]["id"], r["b"]["id"], r["d"]) for r in apart.collect()) == want
+
+
+def boxes(spark, n, sides=7):
+    return spark.range(n).selectExpr("id", f"CAST(id * 37 % {sides} * 5 AS DOUBLE) AS x0", "CAST(id % 3 * 9 AS DOUBLE) AS y0").withColumns({"x1": F.col("x0") + 3 + F.col("id") % 4, "y1": F.col("y0") + 4})
+
+
+def test_colours_of_boxes_are_those_of_their_links(spark):
+    some = boxes(spark, 60)
+    links = spatial.box_join(some, some, 8.0).filter("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    want = {tuple(r) for r in nodes.colours(some.select("id"), links).collect()}
+    assert {tuple(r) for r in nodes.box_colours(some, 8.0).collect()} == want
+    # As many rounds as equal boxes would not end.
+    equal = spark.range(3000).selectExpr("id", "0D AS x0", "0D AS y0", "1D AS x1", "1D AS y1")
+    assert sorted(r["colour"] for r in nodes.box_colours(equal, 8.0).collect()) == list(range(3000))
+
+
+def test_largest_overlap_of_equal_boxes(spark):
+    rows = [tuple(r) for r in boxes(spark, 80).collect()]
+
+    def best(a):
+        shared = [((min(a[3], b[3]) - max(a[1], b[1])) * (min(a[4], b[4]) - max(a[2], b[2])), -b[0]) for b in rows if b[0] != a[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]]
+        return -max(shared)[1] if shared else None
+
+    got = {r["id"]: r["other"] for r in spatial.largest_overlap(boxes(spark, 80), 8.0).collect()}
+    assert got == {a[0]: best(a) for a in rows if best(a) is not None}
+
+
+def test_continuations_with_many_ends_of_one_heading(spark):
+    ends = [(k % 2, k // 2 % 40, float(k * 45 % 360)) for k in range(120)]
+
+    def best(node, a):
+        turns = [(abs((h - g + 180) % 360 - 180), -b) for n, e, h in ends if (n, e) == (node, a) for m, b, g in ends if m == node and b != a]
+        return -max(turns)[1] if max(turns)[0] >= 135 else None
+
+    choice = {(n, e): best(n, e) for n, e, _ in ends}
+    want = {(n, a, b) for (n, a), b in choice.items() if b is not None and a < b and choice[n, b] == a}
+    got = graph.continuations(spark.createDataFrame(ends, "node long, edge long, heading double"))
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_many_points_of_one_place_are_one_cluster_at_once(spark):
+    points = spark.range(2000).selectExpr("id", "CAST(id % 2 * 100 AS DOUBLE) AS x", "0D AS y")
+    got = nodes.junction_clusters(points, 15.0, 30.0).groupBy("cluster").count().collect()
+    assert {tuple(r) for r in got} == {(0, 1000), (1, 1000)}
+
+
+def test_means_best_names_and_split_of_copies(spark):
+    a = spark.createDataFrame([(k, k % 2, 0.0, 0.0) for k in range(4)], "id long, name int, x double, y double")
+    b = spark.createDataFrame([(k, 1, float(k % 2), 0.0, float(k)) for k in range(10, 16)], "id long, name int, x double, y double, z double")
+    z = {r["id"]: r["z"] for r in nodes.weighted(a, b, 2.0, 1 / (1 + F.col("d")), "z").collect()}
+    assert z == {k: (36 + 39 / 2) / (3 + 3 / 2) for k in range(4)}
+    m = {r["id"]: (r["match_id"], r["same"], r["d"]) for r in matching.name_then_distance(a, b, 2.0, 2.0).collect()}
+    assert m == {0: (10, False, 0.0), 1: (10, True, 0.0), 2: (10, False, 0.0), 3: (10, True, 0.0)}
