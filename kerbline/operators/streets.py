@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import shapes as g
 from kerbline.operators import spatial
+from kerbline.operators.store import cut
 
 
 def opposite_halves(ways: DataFrame, radius: float, least_angle: float) -> DataFrame:
@@ -21,6 +22,8 @@ def walks(starts: DataFrame, steps: DataFrame, most: float, hops: int) -> DataFr
     """start, reached, s: how far a walk gets along steps (a, b, len), one out of each node, within a length and a number of hops.
     All walks take a step together; those that cannot go on stay."""
     now = starts.select("start", F.col("start").alias("node"), F.lit(0.0).alias("s"), F.lit(True).alias("open"))
+    # By sort and merge: a broadcast of all steps would go through the driver at each hop.
+    steps = cut(steps.repartition("a")).hint("merge")
     for k in range(hops):
         ahead = now.join(steps, F.col("node") == F.col("a"), "left")
         go = F.col("open") & F.col("b").isNotNull() & (F.col("s") + F.col("len") <= most)
@@ -98,9 +101,11 @@ def followed(lanes: DataFrame, links: DataFrame, hops: int = 20) -> DataFrame:
 def divided_pairs(stations: DataFrame, within: float, share: float) -> DataFrame:
     """one, two: runs of one name most of whose stations (run, name, x, y) lie within a distance of the other's, either way."""
     n = stations.groupBy("run").agg(F.count("*").alias("n"))
-    s = stations.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("x", "y")))
-    near = spatial.distance_join(s, s, within).filter("a.run <> b.run AND a.name = b.name")
-    held = near.groupBy(F.col("a.run").alias("run"), F.col("b.run").alias("other")).agg(F.count_distinct("a.k").alias("held"))
+    # Stations of one run, name and place are near to the same runs: they are paired once, and counted.
+    s = stations.groupBy("run", "name", "x", "y").agg(F.count("*").alias("k"))
+    near = spatial.distance_join(s, s.drop("k"), within, ("name",), ("run",), F.col("a.run") != F.col("b.run"))
+    near = near.select("a.run", F.col("b.run").alias("other"), "a.name", "a.x", "a.y", "a.k").distinct()
+    held = near.groupBy("run", "other").agg(F.sum("k").alias("held"))
     good = held.join(n, "run").filter(F.col("held") >= share * F.col("n")).select("run", "other")
     both = good.join(good.select(F.col("other").alias("run"), F.col("run").alias("other")), ["run", "other"], "left_semi")
     return both.filter("run < other").select(F.col("run").alias("one"), F.col("other").alias("two"))
