@@ -87,8 +87,7 @@ def nearest_split(spark, sf):
 @query("jon09_arg_min_within", f"{NEAREST} SELECT id, arg_min(sid, (d, sid)) AS sid, round(min(d), 6) AS d FROM d WHERE d <= 60 GROUP BY id")
 def arg_min_within(spark, sf):
     p, s = points(spark, sf, "part", "p_partkey", PART_POINT), points(spark, sf, "supplier", "s_suppkey", SUPPLIER_POINT)
-    near = spatial.distance_join(p, s, 60.0)
-    return near.groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("b.id"), F.struct("d", "b.id")).alias("sid"), F.round(F.min("d"), 6).alias("d"))
+    return spatial.nearest_within(p, s, 60.0).select("id", F.col("near_id").alias("sid"), F.round("d", 6).alias("d"))
 
 
 @query("jon10_ranked_match", f"WITH p AS (SELECT p_partkey AS id, p_size % 25 AS name, {PART_POINT} FROM part), s AS (SELECT s_suppkey AS sid, s_nationkey AS name, {SUPPLIER_POINT} FROM supplier), d AS (SELECT p.id, sid, p.name = s.name AS same, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) AS d FROM p, s) SELECT id, sid, same FROM d WHERE d <= CASE WHEN same THEN 200 ELSE 50 END QUALIFY row_number() OVER (PARTITION BY id ORDER BY same DESC, d, sid) = 1")
