@@ -28,8 +28,9 @@ def registry(spark, sf):
 def ref_or_near(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey AS id", "p_size AS ref", *columns(PART_POINT))
     s = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_suppkey % 60 AS code", *columns(SUPPLIER_POINT))
-    by_ref = p.join(s.select(F.col("id").alias("sid"), F.col("code").alias("ref")), "ref").groupBy("id").agg(F.min("sid").alias("sid"))
-    near = spatial.distance_join(p.join(by_ref, "id", "left_anti"), s, 30.0).groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("b.id"), F.struct("d", "b.id")).alias("sid"))
+    # One supplier for each code, before parts meet them.
+    by_ref = p.join(s.groupBy(F.col("code").alias("ref")).agg(F.min("id").alias("sid")), "ref").groupBy("id").agg(F.min("sid").alias("sid"))
+    near = spatial.nearest_within(p.join(by_ref, "id", "left_anti"), s, 30.0).select("id", F.col("near_id").alias("sid"))
     return by_ref.withColumn("how", F.lit("ref")).unionByName(near.withColumn("how", F.lit("near")))
 
 
