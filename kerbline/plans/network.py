@@ -72,8 +72,7 @@ def median_of_three(spark, sf):
 def storefronts(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey AS id", *columns(PART_POINT))
     s = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", *columns(SUPPLIER_POINT))
-    near = spatial.distance_join(s, p, 10.0)
-    return near.groupBy(F.col("a.id").alias("sid")).agg(F.min_by(F.col("b.id"), F.struct("d", "b.id")).alias("building"))
+    return spatial.nearest_within(s, p, 10.0).select(F.col("id").alias("sid"), F.col("near_id").alias("building"))
 
 
 @query("api01_meta", "SELECT 'c_acctbal' AS field, 'number' AS kind, NULL AS value, CAST(NULL AS BIGINT) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer UNION ALL SELECT 'c_mktsegment', 'choice', c_mktsegment, CAST(count(*) AS BIGINT), NULL, NULL FROM customer GROUP BY c_mktsegment")
