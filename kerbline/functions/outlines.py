@@ -22,8 +22,8 @@ def closed(line: Column) -> Column:
 
 def unit(a: Column, b: Column) -> Column:
     """The direction from a to b, of length one; zero where they are one point."""
-    d = g.distance(a, b)
-    return g.point(F.when(d > 0, (b["x"] - a["x"]) / d).otherwise(0.0), F.when(d > 0, (b["y"] - a["y"]) / d).otherwise(0.0))
+    of = lambda d: g.point(F.when(d > 0, (b["x"] - a["x"]) / d).otherwise(0.0), F.when(d > 0, (b["y"] - a["y"]) / d).otherwise(0.0))
+    return g.let(g.distance(a, b), of)
 
 
 def bisector(before: Column, at: Column, after: Column) -> Column:
@@ -35,18 +35,21 @@ def bisector(before: Column, at: Column, after: Column) -> Column:
 def parallel(line: Column, by: Column) -> Column:
     """A line of any number of points moved to its left, corners mitred; where the line turns back on itself, the point moves with
     the piece before it."""
-    units = F.transform(g.segments(line), lambda s: unit(s["a"], s["b"]))
     last = F.size(line) - 1
 
-    def moved(p: Column, i: Column) -> Column:
-        u, v = F.get(units, F.greatest(i - 1, F.lit(0))), F.get(units, F.least(i, last - 1))
+    def corners(units: Column) -> Column:
+        return F.transform(line, lambda p, i: F.struct(p.alias("p"), F.get(units, F.greatest(i - 1, F.lit(0))).alias("u"), F.get(units, F.least(i, last - 1)).alias("v")))
+
+    def moved(c: Column) -> Column:
+        p, u, v = c["p"], c["u"], c["v"]
         dot = u["x"] * v["x"] + u["y"] * v["y"]
         back = dot < -0.999
         k = F.when(back, by).otherwise(by / (1 + F.when(back, 0.0).otherwise(dot)))
         nx, ny = F.when(back, -u["y"]).otherwise(-u["y"] - v["y"]), F.when(back, u["x"]).otherwise(u["x"] + v["x"])
         return g.point(p["x"] + k * nx, p["y"] + k * ny)
 
-    return F.when(last > 0, F.transform(line, moved)).otherwise(line)
+    units = F.transform(g.segments(line), lambda s: unit(s["a"], s["b"]))
+    return F.when(last > 0, F.transform(g.let(units, corners), moved)).otherwise(line)
 
 
 def extended(line: Column, by: Column) -> Column:
@@ -91,14 +94,20 @@ def crosses_box(way: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
 def rectangularity(ring: Column) -> Column:
     """Area as a share of the smallest rectangle around the ring that stands on one of its sides."""
 
-    def around(s: Column) -> Column:
-        u = unit(s["a"], s["b"])
-        along, across = F.transform(ring, lambda p: p["x"] * u["x"] + p["y"] * u["y"]), F.transform(ring, lambda p: p["y"] * u["x"] - p["x"] * u["y"])
-        size = (F.array_max(along) - F.array_min(along)) * (F.array_max(across) - F.array_min(across))
-        return F.when(g.distance(s["a"], s["b"]) > 0, size)
+    spread = lambda values: g.let(values, lambda v: F.array_max(v) - F.array_min(v))
+
+    def size(points: Column, u: Column) -> Column:
+        along, across = F.transform(points, lambda p: p["x"] * u["x"] + p["y"] * u["y"]), F.transform(points, lambda p: p["y"] * u["x"] - p["x"] * u["y"])
+        return spread(along) * spread(across)
+
+    def around(points: Column, s: Column) -> Column:
+        return F.when(g.distance(s["a"], s["b"]) > 0, g.let(unit(s["a"], s["b"]), lambda u: size(points, u)))
+
+    def share(points: Column) -> Column:
+        least = F.array_min(F.transform(g.segments(points), lambda s: around(points, s)))
+        return g.let(least, lambda n: F.when(n > 0, F.abs(g.signed_area(points)) / n))
 
-    least = F.array_min(F.transform(g.segments(ring), around))
-    return F.when(least > 0, F.abs(g.signed_area(ring)) / least)
+    return g.let(ring, share)
 
 
 # Fixed values of the painted arrow, in metres: the fork as a share of the shaft, a branch's reach ahead and aside, a head's length and half width.

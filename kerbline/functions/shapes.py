@@ -18,6 +18,11 @@ def distance(a: Column, b: Column) -> Column:
     return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
 
 
+def let(value: Column, of) -> Column:
+    """of(value) with the value worked out once: inside higher-order functions an expression is evaluated wherever it stands."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def segments(line: Column) -> Column:
     """The pairs of neighbouring points."""
     n = F.size(line)
@@ -78,26 +83,43 @@ def interpolate(line: Column, at: Column) -> Column:
 
 def project(line: Column, p: Column) -> Column:
     """(s, t) of the nearest place on the line: length along it, and distance from it, positive to the left; the first of equals."""
+    return _projected(segments(line), p)
+
+
+def _projected(pieces: Column, p: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("d"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
 
     def step(state: Column, g: Column) -> Column:
-        dx, dy = g["b"]["x"] - g["a"]["x"], g["b"]["y"] - g["a"]["y"]
-        px, py = p["x"] - g["a"]["x"], p["y"] - g["a"]["y"]
-        square = dx * dx + dy * dy
-        f = F.when(square > 0, F.least(F.greatest((px * dx + py * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        d = F.hypot(px - f * dx, py - f * dy)
-        nearer = state["d"].isNull() | (d < state["d"])
-        side = F.when(dx * py - dy * px >= 0, 1.0).otherwise(-1.0)
-        return F.struct((state["at"] + F.sqrt(square)).alias("at"), F.when(nearer, d).otherwise(state["d"]).alias("d"), F.when(nearer, state["at"] + f * F.sqrt(square)).otherwise(state["s"]).alias("s"), F.when(nearer, side * d).otherwise(state["t"]).alias("t"))
+        named = lambda **of: F.struct(*[c.alias(n) for n, c in of.items()])
+        vectors = named(dx=g["b"]["x"] - g["a"]["x"], dy=g["b"]["y"] - g["a"]["y"], px=p["x"] - g["a"]["x"], py=p["y"] - g["a"]["y"])
+
+        def share(v: Column) -> Column:
+            along = lambda square: F.when(square > 0, F.least(F.greatest((v["px"] * v["dx"] + v["py"] * v["dy"]) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+            return let(v["dx"] * v["dx"] + v["dy"] * v["dy"], lambda q: named(v=v, f=along(q), size=F.sqrt(q)))
 
-    return F.aggregate(segments(line), zero, step, lambda s: F.struct(s["s"].alias("s"), s["t"].alias("t")))
+        def apart(w: Column) -> Column:
+            v, f = w["v"], w["f"]
+            side = F.when(v["dx"] * v["py"] - v["dy"] * v["px"] >= 0, 1.0).otherwise(-1.0)
+            return named(d=F.hypot(v["px"] - f * v["dx"], v["py"] - f * v["dy"]), f=f, size=w["size"], side=side)
+
+        def after(n: Column) -> Column:
+            at = state["at"] + n["size"]
+            here = named(at=at, d=n["d"], s=state["at"] + n["f"] * n["size"], t=n["side"] * n["d"])
+            return F.when(state["d"].isNull() | (n["d"] < state["d"]), here).otherwise(named(at=at, d=state["d"], s=state["s"], t=state["t"]))
+
+        return let(let(let(vectors, share), apart), after)
+
+    return F.aggregate(pieces, zero, step, lambda s: F.struct(s["s"].alias("s"), s["t"].alias("t")))
 
 
 def extent(axis: Column, shape: Column) -> Column:
     """Range of a shape's vertices on an axis: s0, s1 along it, t0, t1 across."""
-    st = F.transform(shape, lambda p: project(axis, p))
-    s, t = F.transform(st, lambda q: q["s"]), F.transform(st, lambda q: q["t"])
-    return F.struct(F.array_min(s).alias("s0"), F.array_max(s).alias("s1"), F.array_min(t).alias("t0"), F.array_max(t).alias("t1"))
+
+    def ranges(st: Column) -> Column:
+        s, t = F.transform(st, lambda q: q["s"]), F.transform(st, lambda q: q["t"])
+        return F.struct(F.array_min(s).alias("s0"), F.array_max(s).alias("s1"), F.array_min(t).alias("t0"), F.array_max(t).alias("t1"))
+
+    return let(let(segments(axis), lambda pieces: F.transform(shape, lambda p: _projected(pieces, p))), ranges)
 
 
 def distance_to(line: Column, p: Column) -> Column:

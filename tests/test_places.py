@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbline.operators import graph, matching, nodes, spatial
+from kerbline.functions import outlines
+from kerbline.functions import shapes as g
+from kerbline.operators import graph, matching, nodes, spatial, streets, temporal
 
 
 def test_rows_of_one_box_are_packed(spark):
@@ -79,3 +81,22 @@ def test_means_best_names_and_split_of_copies(spark):
     assert z == {k: (36 + 39 / 2) / (3 + 3 / 2) for k in range(4)}
     m = {r["id"]: (r["match_id"], r["same"], r["d"]) for r in matching.name_then_distance(a, b, 2.0, 2.0).collect()}
     assert m == {0: (10, False, 0.0), 1: (10, True, 0.0), 2: (10, False, 0.0), 3: (10, True, 0.0)}
+
+
+def test_expressions_on_outlines_stay_small(spark):
+    # What stands in a higher-order function is evaluated wherever it stands; each is named once more as the column.
+    plan = lambda c: spark.range(1).select(g.rectangle(*[F.col("id") + k for k in range(4)]).alias("r")).select(c)._jdf.queryExecution().analyzed().toString()
+    assert plan(outlines.parallel(F.col("r"), F.lit(1.0))).lower().count("hypot(") <= 2
+    assert plan(g.extent(F.col("r"), F.col("r"))).lower().count("hypot(") <= 2
+    assert plan(outlines.rectangularity(F.col("r"))).lower().count("hypot(") <= 4
+
+
+def test_range_join_of_equal_values_and_hulls_of_many_groups(spark):
+    p = spark.range(400).selectExpr("id AS p", "CAST(id % 4 AS DOUBLE) AS at")
+    i = spark.range(300).selectExpr("id AS i", "CAST(id % 3 AS DOUBLE) AS low", "CAST(id % 3 + 2 AS DOUBLE) AS high")
+    got = temporal.range_join(p, i, "at", "low", "high", 1.5)
+    assert got.columns == ["p", "at", "i", "low", "high"]
+    assert got.agg(F.count("*"), F.count_distinct("p", "i")).first() == (60000, 60000)
+    pts = spark.range(9000).select((F.col("id") % 3000).alias("k"), g.point(F.floor(F.col("id") / 3000), F.col("id") % 2).alias("p"))
+    hull = streets.hulls(pts, "k").collect()
+    assert len(hull) == 3000 and {tuple((q["x"], q["y"] - r["k"] % 2) for q in r["hull"]) for r in hull} == {((0.0, 0.0), (2.0, 0.0), (0.0, 0.0))}
