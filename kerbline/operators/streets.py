@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,22 +56,32 @@ def hulls(points: DataFrame, by: str) -> DataFrame:
     """by, hull: the convex hull of each group's points (p), closed, counter-clockwise. Points inside a group's box of extremes are
     few in practice; a group is one intersection or one building."""
 
-    def hull(rows: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(p["x"], p["y"]) for p in rows["p"]})
-
-        def half(some: list) -> list:
+    def half(some: list) -> list:
+        out: list = []
+        for q in some:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out
+
+    def hulls_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Very many small groups: a batch of them at a time."""
+        for batch in batches:
+            lists, flat, ends = batch.column(1), batch.column(1).flatten(), [0]
+            x, y = flat.field("x").to_pylist(), flat.field("y").to_pylist()
             out: list = []
-            for q in some:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out
-
-        ring = half(pts)[:-1] + half(pts[::-1])
-        return pd.DataFrame({by: [rows[by].iloc[0]], "hull": [[{"x": x, "y": y} for x, y in ring]]})
+            start = 0
+            for n in lists.value_lengths().to_pylist():
+                pts = sorted(set(zip(x[start : start + n], y[start : start + n], strict=True)))
+                start += n
+                out += half(pts)[:-1] + half(pts[::-1])
+                ends.append(len(out))
+            both = [pa.array([p[k] for p in out], pa.float64()) for k in (0, 1)]
+            ring = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(both, ["x", "y"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ring], [by, "hull"])
 
     kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "p").groupBy(by).applyInPandas(hull, f"{by} {kind}, hull array<{g.POINT}>")
+    return points.groupBy(by).agg(F.collect_list("p").alias("p")).filter(F.size("p") > 0).mapInArrow(hulls_of, f"{by} {kind}, hull array<{g.POINT}>")
 
 
 def straight(line: Column, tolerance: float) -> Column:
