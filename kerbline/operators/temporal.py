@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.spatial import met, packed, unpacked
+
 
 def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:
     """Points and the intervals [low, high) that hold them. Both sides meet in buckets of the given width, so the join has a key to
-    shuffle by; an interval is repeated for each bucket it touches, which a width near the usual length keeps to two or so."""
+    shuffle by; an interval is repeated for each bucket it touches, which a width near the usual length keeps to two or so. Points of
+    one place, and equal intervals, meet as lists, and pairs are made from pairs of lists."""
     on = on or []
     bucket = lambda c: F.floor(F.col(c) / width)
-    i = intervals.filter(F.col(high) > F.col(low)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    p = points.withColumn("_bucket", bucket(at))
-    return p.join(i, ["_bucket", *on]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bucket")
+    some = intervals.filter(F.col(high) > F.col(low)).dropna(subset=on) if on else intervals.filter(F.col(high) > F.col(low))
+    keys = lambda name: [F.col(f"{name}.{c}").alias(f"_{c}_on") for c in on]
+    i = packed(some, [low, high, *on], "b").select("b", "_b", *keys("b"), F.explode(F.sequence(bucket(f"b.{low}"), bucket(f"b.{high}"))).alias("_bucket"))
+    p = packed(points.dropna(subset=[at, *on]), [at, *on], "a").select("a", "_a", *keys("a"), bucket(f"a.{at}").alias("_bucket"))
+    pairs = met(p, i, ["_bucket", *[f"_{c}_on" for c in on]]).filter((F.col(f"a.{at}") >= F.col(f"b.{low}")) & (F.col(f"a.{at}") < F.col(f"b.{high}")))
+    both = unpacked(pairs, points.columns, intervals.columns, [at, *on], place_b=[low, high, *on])
+    return both.select(*[F.col(f"a.{c}").alias(c) for c in [*on, *[c for c in points.columns if c not in on]]], *[F.col(f"b.{c}").alias(c) for c in intervals.columns if c not in on])
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, take: dict[str, str]) -> DataFrame:
