@@ -19,12 +19,22 @@ def moving_median(value: str, by: list[str], order: list[str], k: int) -> Column
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """A global number from 1 in the given order: ranges are sorted side by side, and each is shifted by the sizes of those before."""
     # Written down: ranges that were drawn again after a loss would number some rows twice.
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # The range is in the upper bits of that id, the place in it in the lower 33.
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # One row per partition.
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long")
-    return ranged.join(F.broadcast(starts), "_part").withColumn(name, own + F.col("_start")).drop("_part", "_start")
+    return ranged.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, own + 1 + F.col("_start")).drop("_part", "_start", "_at")
+
+
+def summed(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of a whole number over all rows before each in the given order, ranges side by side as in `numbered`."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.sum(value).alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.coalesce(own, F.lit(0)) + F.col("_start")).drop("_part", "_start")
 
 
 def _run(by: list[str], order: list[str], category: str) -> tuple[Column, Column]:

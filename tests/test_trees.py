@@ -55,3 +55,13 @@ def test_no_tree(spark):
     assert trees.nested(none).count() == 0
     one = spark.createDataFrame([(4, 4)], "id long, parent long")
     assert trees.nested(one).count() == 0
+
+
+def test_rounds_grow_with_depth_and_not_with_nodes(spark, monkeypatch):
+    cuts, written = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a: cuts.append(1) or written(df, *a))
+    rows = [(k, None if k == 0 else (k - 1) // 40) for k in range(3000)]
+    got = {x["id"]: (x["low"], x["high"]) for x in trees.nested(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got == walk(rows)
+    # A way around all of them is 6,000 places long, 13 rounds.
+    assert len(cuts) <= 10
