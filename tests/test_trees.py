@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from kerbline.operators import trees
+from kerbline.operators import pointers, series, store, trees
 
 
 def walk(rows):
@@ -58,10 +58,39 @@ def test_no_tree(spark):
 
 
 def test_rounds_grow_with_depth_and_not_with_nodes(spark, monkeypatch):
-    cuts, written = [], type(spark.range(1)).checkpoint
-    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a: cuts.append(1) or written(df, *a))
+    cuts = []
+    for module in (trees, series, pointers):
+        monkeypatch.setattr(module, "cut", lambda df: cuts.append(1) or store.cut(df))
     rows = [(k, None if k == 0 else (k - 1) // 40) for k in range(3000)]
     got = {x["id"]: (x["low"], x["high"]) for x in trees.nested(spark.createDataFrame(rows, "id long, parent long")).collect()}
     assert got == walk(rows)
     # A way around all of them is 6,000 places long, 13 rounds.
     assert len(cuts) <= 10
+
+
+def test_loops_of_joins_keep_plans_small(spark):
+    now = spark.range(20).selectExpr("id", "(id + 1) % 20 AS next")
+    for _ in range(12):
+        now = store.cut(now.join(now.selectExpr("id AS next", "next AS then"), "next").selectExpr("id", "then AS next"))
+    assert now.count() == 20
+    # The guess of the size that joins and broadcasts go by.
+    size = now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 1e9
+
+
+def test_pointers_into_rings_and_lists(spark):
+    r = random.Random(4)
+    next_ = {k: (k + 1 if k < 40 else 0) for k in range(41)} | {k: k + 1 for k in range(100, 190)} | {190: None, 300: 300, 400: 999, 201: 202, 202: 203, 203: 7, 204: 150}
+    rows = list(next_.items())
+    r.shuffle(rows)
+    got = {x["id"]: x for x in pointers.followed(spark.createDataFrame(rows, "id long, next long")).collect()}
+    assert sorted(got) == sorted(next_)
+    for k in next_:
+        way, at = [k], next_[k]
+        while at is not None and at not in way:
+            way.append(at)
+            at = next_.get(at)
+        assert got[k]["ring"] == (at is not None), k
+        assert got[k]["least"] == min(way), k
+        if at is None:
+            assert (got[k]["last"], got[k]["steps"]) == (way[-1], len(way) - 1)
