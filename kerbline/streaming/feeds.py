@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from kerbline.operators import matching
 
@@ -39,70 +36,11 @@ def merge_registry(read, write, now):
     return merge
 
 
-class _Presence(StatefulProcessor):
-    """The open periods of a key, as state; each has a timer at the time from which no row that may still come can belong to it."""
-
-    def __init__(self, key: str, at: str, gap: timedelta) -> None:
-        self.key, self.at, self.gap = key, at, gap / timedelta(microseconds=1)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "firsts array<long>, lasts array<long>")
-
-    def _timer(self, last: int) -> int:
-        return -int(-(last + self.gap) // 1000)  # milliseconds, as the watermark is
-
-    def _held(self) -> list[tuple[int, int]]:
-        return list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
-
-    def _hold(self, periods: list[tuple[int, int]]) -> None:
-        if periods:
-            self.open.update(([p[0] for p in periods], [p[1] for p in periods]))
-        else:
-            self.open.clear()
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        before = self._held()
-        times = sorted(t for f in rows for t in f[self.at].dropna().astype("datetime64[us]").astype("int64").tolist())
-        merged: list[tuple[int, int]] = []
-        for first, last in sorted([*before, *((t, t) for t in times)]):
-            if merged and first - merged[-1][1] <= self.gap:
-                merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
-            else:
-                merged.append((first, last))
-        old, new = ({self._timer(last) for _, last in periods} for periods in (before, merged))
-        for t in old - new:
-            self.handle.deleteTimer(t)
-        for t in new - old:
-            self.handle.registerTimer(t)
-        self._hold(merged)
-        yield self._rows(key, [])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = self._held()
-        self._hold([p for p in held if self._timer(p[1]) > now])
-        yield self._rows(key, [p for p in held if self._timer(p[1]) <= now])
-
-    def _rows(self, key: tuple, closed: list[tuple[int, int]]) -> pd.DataFrame:
-        # A plain column of objects, as strings of newer pandas don't go through.
-        keys = pd.Series([key[0]] * len(closed), dtype=object)
-        frame = {self.key: keys, "first": [p[0] for p in closed], "last": [p[1] for p in closed]}
-        return pd.DataFrame(frame).astype({"first": "datetime64[us]", "last": "datetime64[us]"})
-
-    def close(self) -> None:
-        pass
-
-
 def periods(stream: DataFrame, key: str, at: str, gap: timedelta, late: str) -> DataFrame:
     """key, first, last: an object's times of presence; a pause of more than the gap begins a new one. A period is given once, when
     the watermark shows that nothing can join it any more, and its state ends then. Rows later than the lateness that is waited for
     are left out; rows in time that come out of order join the periods they lie in or beside, and may join two into one. Rows
-    without a time are left out; those without a key are the periods of one that is null. State with timers needs the
-    RocksDB store, which is set for the session."""
-    kind = stream.schema[key].dataType.simpleString()
-    session = stream.sparkSession
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.withWatermark(at, late).groupBy(key).transformWithStateInPandas(
-        _Presence(key, at, gap), f"{key} {kind}, first timestamp, last timestamp", "Append", "EventTime"
-    )
+    without a time are left out; those without a key are the periods of one that is null."""
+    width = f"{gap // timedelta(microseconds=1)} microseconds"
+    g = stream.withWatermark(at, late).groupBy(key, F.session_window(at, width)).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    return g.select(key, "first", "last")

@@ -45,3 +45,16 @@ def test_periods_close_once(spark, tmp_path):
         assert new == sorted(want, key=str), k
         # Each period was given once, and what is left in state are the open ones.
         assert len(rows_now) == len({(r["key"], r["first"]) for r in rows_now})
+
+
+def test_pause_of_the_gap_itself_goes_on_and_nothing_runs_in_python(spark, tmp_path):
+    micro = timedelta(microseconds=1)
+    rows = [("a", at(0)), ("a", at(10)), ("a", at(20) + micro), ("b", at(500))]
+    spark.createDataFrame(rows, "key string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "in"))
+    made = feeds.periods(stream, "key", "ts", timedelta(minutes=10), "0 seconds")
+    assert "InPy" not in made._jdf.queryExecution().logical().toString() and "InPandas" not in made._jdf.queryExecution().logical().toString()
+    q = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema(made.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", at(0), at(10)), ("a", at(20) + micro, at(20) + micro)]
