@@ -28,14 +28,15 @@ _TILE = ["g", "ix", "iy"]
 _BOX = ["x0", "y0", "x1", "y1"]
 
 
-def _divided(pieces: DataFrame, low: tuple[float, float], width: float) -> DataFrame:
-    """The pieces of tiles of this width, cut at the tiles they divide into."""
-    part = width / SPLIT
+def _divided(pieces: DataFrame, low: tuple[float, float], width: float, parts: int | None = None) -> DataFrame:
+    """The pieces of tiles of this width, cut at the tiles they divide into: parts (SPLIT) on each side."""
+    parts = parts or SPLIT
+    part = width / parts
     for c, at in (("x", low[0]), ("y", low[1])):
-        own = F.col(f"i{c}") * SPLIT
+        own = F.col(f"i{c}") * parts
         # One more on either side than the quotients say, as those are rounded; what has no width goes.
         first = F.greatest(own, F.floor((F.col(f"{c}0") - at) / part) - 1)
-        last = F.least(own + (SPLIT - 1), F.floor((F.col(f"{c}1") - at) / part) + 1)
+        last = F.least(own + (parts - 1), F.floor((F.col(f"{c}1") - at) / part) + 1)
         pieces = pieces.withColumn(f"i{c}", F.explode(F.sequence(first, last)))
         begin, end = at + F.col(f"i{c}") * part, at + (F.col(f"i{c}") + 1) * part
         pieces = pieces.withColumns({f"{c}0": F.greatest(f"{c}0", begin), f"{c}1": F.least(f"{c}1", end)}).filter(f"{c}1 > {c}0")
@@ -88,10 +89,55 @@ def area() -> Column:
     return F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
 
 
+def _filled(low: tuple[float, float], width: float) -> Column:
+    """Bits of the parts of its tile that a piece fills: the part at (i, j) has bit j * SPLIT + i. SPLIT is 8 at most."""
+    part = width / SPLIT
+    begins = lambda c, at, i: at + (F.col(f"i{c}") * SPLIT + i) * part
+    fills = lambda c, at, i: (F.col(f"{c}0") <= begins(c, at, i)) & (F.col(f"{c}1") >= begins(c, at, i + 1))
+    of = lambda bits: reduce(Column.bitwiseOR, bits)
+    row = of([F.when(fills("x", low[0], i), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(SPLIT)])
+    return of([F.when(fills("y", low[1], j), F.shiftleft(row, SPLIT * j)).otherwise(F.lit(0).cast("long")) for j in range(SPLIT)])
+
+
 def union_area(boxes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, area: what the boxes of a group cover together. The largest come first, as they hide most."""
-    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return owned(boxes.select(*by, (-size).alias("rank"), F.lit(0).alias("id"), *_BOX), by).groupBy(*by).agg(area().alias("area"))
+    """by, area: what the boxes of a group cover together.
+
+    Tiles are divided as in `owned`, but as no owner is asked for, a part that one piece fills is done: what fills it is told from the
+    tile's pieces before they are cut, and none is passed on to it. So what is passed on are pieces of parts that none fills, and the
+    more boxes lie over one another, the fewer these are. The first tiles are about as wide as the boxes."""
+    group = F.struct(*by) if by else F.lit(0)
+    real = boxes.select(group.alias("g"), *[F.col(c).cast("double").alias(c) for c in _BOX]).filter("x1 > x0 AND y1 > y0")
+    # Of boxes that share a corner and a side, the longest.
+    real = cut(real.groupBy("g", "x0", "y0", "y1").agg(F.max("x1").alias("x1")).select("g", *_BOX))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    low_x, low_y, high_x, high_y, n, sides, ground = real.agg(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"), F.count("*"), F.sum(w + h), F.sum(w * h)).first()
+    if low_x is None:
+        return boxes.select(*by, F.lit(0.0).alias("area")).limit(0)
+    low, whole = (low_x, low_y), 2.0 ** math.ceil(math.log2(max(high_x - low_x, high_y - low_y)))
+    # Halved while boxes are cut in two at most on average, and tiles would hold many.
+    width, least = whole, whole / SPLIT**DEEPEST
+    while width > least and ground / (width / 2) ** 2 + sides / (width / 2) <= n and (whole / width) ** 2 * MOST_PIECES < n:
+        width /= 2
+    pieces = _divided(real.withColumns({"ix": F.lit(0).cast("long"), "iy": F.lit(0).cast("long")}), low, whole, int(whole / width))
+    done, areas = [], []
+    while True:
+        # No piece is shuffled for these figures: they are added up before.
+        tiles = cut(pieces.withColumn("filled", _filled(low, width)).groupBy(*_TILE).agg(F.count("*").alias("n"), F.bit_or("filled").alias("filled")))
+        known = F.broadcast(tiles) if tiles.count() <= MOST_BROADCAST else tiles
+        seen = pieces.join(known, _TILE)
+        enough = F.col("n") <= MOST_PIECES if width > least else F.lit(True)
+        done.append(seen.filter(enough).groupBy(*_TILE).agg(F.collect_list(F.struct(F.lit(0).alias("o"), *_BOX)).alias("pieces")).select("g", "pieces"))
+        more = tiles.filter(F.col("n") > MOST_PIECES)
+        if width <= least or more.isEmpty():
+            break
+        areas.append(more.select("g", (F.bit_count("filled") * (width / SPLIT) ** 2).alias("area")).filter("area > 0"))
+        parts = _divided(seen.filter(~enough).select(*_TILE, *_BOX, "filled"), low, width)
+        place = (F.col("iy") % SPLIT * SPLIT + F.col("ix") % SPLIT).cast("int")
+        open_ = F.call_function("shiftright", "filled", place).bitwiseAND(F.lit(1)) == 0
+        pieces = cut(parts.filter(open_).select(*_TILE, *_BOX).distinct())
+        width /= SPLIT
+    areas.append(_cells(reduce(DataFrame.unionAll, done)).select("g", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")))
+    return reduce(DataFrame.unionAll, areas).groupBy("g").agg(F.sum("area").alias("area")).select(*[F.col(f"g.{c}").alias(c) for c in by], "area")
 
 
 def claimed(boxes: DataFrame) -> DataFrame:

@@ -87,3 +87,27 @@ def test_slivers(spark):
     boxes = [("a", 0, 1, 0.0, 0.0, 10.0, 10.0), ("a", 1, 2, 9.5, 0.0, 10.2, 10.0), ("a", 2, 3, 10.0, 0.0, 14.0, 9.0), ("a", 3, 4, 20.0, 0.0, 20.1, 1.0)]
     got = overlay.slivers_joined(overlay.owned(spark.createDataFrame(boxes, KIND)), 3.0, 2.0).collect()
     assert [(r["id"], r["into"]) for r in got] == [(2, 1)]  # 10 along box 1, 9 along box 3; box 4 has no neighbour
+
+
+def test_hidden_parts_are_not_passed_on(spark, monkeypatch):
+    """Thousands of boxes over one another: rows written stay near the boxes, whatever they are cut into."""
+    r = random.Random(2)
+    boxes = [(g, 0, k, x, y, x + r.uniform(1, 2), y + r.uniform(1, 2)) for k in range(4000) for g, x, y in [(r.choice("ab"), r.uniform(0, 10), r.uniform(0, 10))]]
+    rows, kept = [], overlay.cut
+
+    def counted(df):
+        out = kept(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(overlay, "cut", counted)
+    got = {x["g"]: x["area"] for x in overlay.union_area(spark.createDataFrame(boxes, KIND), ["g"]).collect()}
+    for g in "ab":
+        own, want = [b for b in boxes if b[0] == g], 0.0
+        for y0, y1 in pairwise(sorted({v for b in own for v in (b[4], b[6])})):
+            end = float("-inf")
+            for x0, x1 in sorted((b[3], b[5]) for b in own if b[4] <= y0 and b[6] >= y1):
+                want += max(0.0, x1 - max(x0, end)) * (y1 - y0)
+                end = max(end, x1)
+        assert got[g] == pytest.approx(want)
+    assert sum(rows) < 4 * len(boxes), rows
