@@ -17,26 +17,31 @@ from kerbline.operators.pointers import reached
 from kerbline.operators.store import cut
 
 
-def changes(samples: DataFrame, differs: Column, kind: str) -> DataFrame:
-    """section, s, kind: where a sample (section, s, ...) differs from the one before it in its section; `differs` compares columns
-    with those before them, named before_<column>. Ties at one position are taken in the order of the other columns."""
+def all_changes(samples: DataFrame, differs: dict[str, Column]) -> DataFrame:
+    """section, s, kind: where a sample (section, s, ...) differs from the one before it in its section, for each kind by its own
+    condition; these compare columns with those before them, named before_<column>. Ties at one position are taken in the order of the
+    other columns. The samples are put in order once, whatever the number of kinds."""
     rest = [c for c in samples.columns if c not in ("section", "s")]
-    placed = cut(series.numbered(samples, ["section", "s", *rest], "place"))
+    placed = series.numbered(samples, ["section", "s", *rest], "place")
     before = placed.select((F.col("place") + 1).alias("place"), F.col("section").alias("before_section"), *[F.col(c).alias(f"before_{c}") for c in ["s", *rest]])
     both = placed.join(before, "place").filter(F.col("section").eqNullSafe(F.col("before_section")))
-    return both.filter(differs).select("section", "s", F.lit(kind).alias("kind"))
+    kinds = F.array_compact(F.array(*[F.when(condition, F.lit(kind)) for kind, condition in differs.items()]))
+    return both.select("section", "s", F.explode(kinds).alias("kind"))
+
+
+def changes(samples: DataFrame, differs: Column, kind: str) -> DataFrame:
+    """The changes of one kind."""
+    return all_changes(samples, {kind: differs})
 
 
 def _after(positions: DataFrame, probes: DataFrame, at_or_after: bool) -> DataFrame:
     """The probes (id, section, s) with place: the number of the first position (section, s, place from 1 over all sections) at or
     after them, or of the last one at or before them; it may lie in another section."""
     # A probe stands before the positions that equal it where the next one is asked for, and after them where the last one is.
-    both = positions.select("section", "s", F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"))
-    asked = probes.select("section", "s", F.lit(-1 if at_or_after else 1).alias("side"), "id")
-    order = ["section", "s", "side", "id"]
-    placed = series.numbered(both.unionAll(asked), order, "all").filter("side <> 0")
-    own = series.numbered(placed, order, "own")
-    return own.select("id", (F.col("all") - F.col("own") + (1 if at_or_after else 0)).alias("place"))
+    both = positions.select("section", "s", F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(1).cast("long").alias("n"))
+    asked = probes.select("section", "s", F.lit(-1 if at_or_after else 1).alias("side"), "id", F.lit(0).cast("long").alias("n"))
+    placed = series.summed(both.unionAll(asked), ["section", "s", "side", "id"], "n", "before").filter("side <> 0")
+    return placed.select("id", (F.col("before") + (1 if at_or_after else 0)).alias("place"))
 
 
 def kept_cuts(sections: DataFrame, cuts: DataFrame, least: float, priority: list[str]) -> DataFrame:

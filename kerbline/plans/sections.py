@@ -34,9 +34,8 @@ def found(spark, sf):
     sections = e.groupBy("section").agg(F.max("s").alias("length"))
     marks = F.explode(F.sequence(F.lit(1), F.floor(F.col("length") / 100))).alias("m")
     marked = sections.filter("length >= 100").select("section", marks).select("section", (F.col("m") * 100.0).alias("s"), F.lit("mark").alias("kind"))
-    by_type = cuts.changes(e, F.col("kind") != F.col("before_kind"), "type")
-    by_value = cuts.changes(e, F.abs(F.col("value") - F.col("before_value")) > STEP, "value")
-    kept = cuts.kept_cuts(sections, cuts.united(by_type, by_value, marked), LEAST, ["value", "type", "mark"])
+    changed = cuts.all_changes(e, {"type": F.col("kind") != F.col("before_kind"), "value": F.abs(F.col("value") - F.col("before_value")) > STEP})
+    kept = cuts.kept_cuts(sections, cuts.united(changed, marked), LEAST, ["value", "type", "mark"])
     return cuts.ranges(sections, kept)
 
 

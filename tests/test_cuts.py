@@ -53,6 +53,18 @@ def test_changes(spark):
     assert sorted(((r["section"], r["s"]) for r in got), key=str) == [("x", 3.0), ("y", 1.0), ("y", 1.0), (None, 6.0)]
 
 
+def test_changes_of_several_kinds_in_one_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [("a", 1.0, "p", 1.0), ("a", 2.0, "q", 9.0), ("a", 3.0, "q", 1.0), ("a", 4.0, None, 1.0), ("b", 0.0, "p", 5.0), ("b", 1.0, "p", None), ("b", 2.0, "r", 5.0)]
+    calls, kept = [], cuts.series.numbered
+    monkeypatch.setattr(cuts.series, "numbered", lambda *a: calls.append(a) or kept(*a))
+    by = {"type": F.col("v") != F.col("before_v"), "value": F.abs(F.col("w") - F.col("before_w")) > 2}
+    got = cuts.all_changes(spark.createDataFrame(rows, "section string, s double, v string, w double"), by).collect()
+    assert sorted(map(tuple, got)) == [("a", 2.0, "type"), ("a", 2.0, "value"), ("a", 3.0, "value"), ("b", 2.0, "type")]
+    assert len(calls) == 1
+
+
 def test_no_sections(spark):
     sections = spark.createDataFrame([], "section long, length double")
     none = spark.createDataFrame([], "section long, s double, kind string")
