@@ -230,6 +230,39 @@ def test_attention_scores_and_gradients():
     assert len(pairs)
 
 
+def test_gradient_of_consecutive_blocks():
+    r = np.random.default_rng(6)
+    texts = [r.integers(0, 299, k).astype(np.int32) for k in (0, 1, 7, 8, 9, 70, 33)]
+    by, _ = bigrams([t.tolist() for t in texts], 300)
+    m = attention.Model(by)
+    m.p = {k: v.astype(float) + r.normal(size=v.shape) * 0.1 for k, v in m.p.items()}
+    layout = attention.Layout(np.concatenate(texts), np.array([len(t) for t in texts]), 299)
+    for a, b in ((0, len(layout.inputs)), (0, 1), (3, 9), (7, 16)):
+        want, by_name = m.gradient(layout.inputs[a:b], layout.before()[a:b], layout.first[a:b], layout.targets[a:b])
+        loss, n, got = m.gradient_sums(layout, a, b)
+        assert loss / n == pytest.approx(want) and n == (layout.targets[a:b] >= 0).sum()
+        assert got.keys() == by_name.keys()
+        for name in got:
+            assert got[name] == pytest.approx(by_name[name], abs=1e-9), name
+
+
+def test_every_block_trains_all_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "MOST_BLOCKS", 0)  # none to start with
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["ash", "birch", "cedar", "elm", f"w{k}"]) for _ in range(60)) for k in range(40)] + ["zebra quartz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ready = lm_score.prepared(docs, vocabulary(), {})
+    symbols = np.zeros(lm_score.END + 1)
+    for row in ready.collect():
+        np.add.at(symbols, [*np.frombuffer(row["symbols"], "<u2"), lm_score.END], 1)
+    models = [lm_score.trained(ready.repartition(k), symbols) for k in (1, 5)]
+    new = attention.Model(models[0].by)
+    seen = np.unique(new.by.row[np.flatnonzero(symbols)])
+    assert (models[0].p["e"] != new.p["e"]).all(axis=1)[seen].all()
+    assert all((models[0].p[k] != new.p[k]).mean() > 0.9 for k in ("q", "k", "v", "r", "w1", "w2", "b2"))
+    assert all(models[0].p[k] == pytest.approx(models[1].p[k], abs=1e-5) for k in new.p)
+
+
 def test_lookup_finds_every_key():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32))
